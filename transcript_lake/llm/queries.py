@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from transcript_lake.llm import mixing, rules
+from transcript_lake.llm import binary, counts, mixing, packing, rules
 
-QUERIES = {"op9_rules": rules.op9_rules, "op10_mixing": mixing.op10_mixing}
+QUERIES = {
+    "op3_packing": packing.op3_packing,
+    "op6_binary": binary.op6_binary,
+    "op7_counts": counts.op7_counts,
+    "op9_rules": rules.op9_rules,
+    "op10_mixing": mixing.op10_mixing,
+}
 ORACLES = {"op9_rules": rules.ORACLE, "op10_mixing": mixing.ORACLE}
