@@ -6,6 +6,8 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 from tokenizers.models import Unigram
 from tokenizers.pre_tokenizers import Metaspace
@@ -33,8 +35,19 @@ def expected(tokenizer, text):
 
 def test_pieces_encode_as_the_whole(tokenizer):
     own = word_tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
-    for x, ids in zip(ODD * 2, own.encode(ODD * 2), strict=True):
-        assert ids + b"\0\0\0\0" == expected(tokenizer, x), x
+    for _ in range(2):
+        ids, starts = own.encode(ODD, 0)
+        for x, lo, hi in zip(ODD, starts[:-1], starts[1:], strict=True):
+            assert ids[lo:hi].tobytes() == expected(tokenizer, x), x
+
+
+@given(st.lists(st.text(st.sampled_from("ab0Zé .,!'#\n\t\u00a0\u2028\x1c\x85日\u0301_\x00"), max_size=30), min_size=1, max_size=8))
+@settings(max_examples=300, deadline=None)
+def test_any_text_encodes_as_the_whole(texts):
+    own = word_tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    ids, starts = own.encode(texts)
+    for x, lo, hi in zip(texts, starts[:-1], starts[1:], strict=True):
+        assert ids[lo:hi].tolist() == own.tokenizer.encode(x, add_special_tokens=False).ids, repr(x)
 
 
 @pytest.mark.parametrize("bits", [1, 3, 8, 15, 16, 17, 24, 31, 32])

@@ -117,16 +117,16 @@ def write_tokens(docs: DataFrame, path: str | None = None, end_id: int = END_ID,
     def encode(batches):
         tokenizer, shard = word_tokenizer(path), TaskContext.get().partitionId()
         bits = bits_for(max(tokenizer.vocab_size, end_id + 1))
-        end, before, number, doc_ids, ends, parts, size = np.array([end_id], "<u4").tobytes(), 0, 0, [], [], [], 0
+        before, number, doc_ids, ends, parts, size = 0, 0, [], [], [], 0
 
         def row():
-            ids = np.frombuffer(b"".join(parts), "<u4")
-            return pa.RecordBatch.from_pylist([{"shard": shard, "block": number, "doc_ids": doc_ids, "n_ids": size, "data": block(ends, ids, bits, before)}], SCHEMA)
+            return pa.RecordBatch.from_pylist([{"shard": shard, "block": number, "doc_ids": doc_ids, "n_ids": size, "data": block(ends, np.concatenate(parts), bits, before)}], SCHEMA)
 
         for batch, texts in slices(batches, 1):
-            for key, raw in zip(batch.column(0).to_pylist(), tokenizer.encode(texts), strict=True):
-                parts += [raw, end]
-                size += len(raw) // 4 + 1
+            ids, starts = tokenizer.encode(texts, end_id)
+            for key, lo, hi in zip(batch.column(0).to_pylist(), starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                parts.append(ids[lo:hi])
+                size += hi - lo
                 doc_ids.append(key)
                 ends.append(size)
                 if size >= BLOCK_IDS:

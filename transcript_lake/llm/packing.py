@@ -29,13 +29,12 @@ def cut(docs: DataFrame, length: int = LENGTH, path: str | None = None, end_id:
     path = path or vocabulary(VOCABULARY)
 
     def encode(batches):
-        tokenizer, end, step = word_tokenizer(path), np.array([end_id], "<u4").tobytes(), 4 * length
+        tokenizer = word_tokenizer(path)
         for batch, texts in slices(batches, 1):
             rows = []
-            for key, raw in zip(batch.column(0).to_pylist(), tokenizer.encode(texts), strict=True):
-                raw += end
-                n = len(raw) // 4
-                rows += [(key, lo // 4, min(length, n - lo // 4), zlib.crc32(memoryview(raw)[lo : lo + step]), n) for lo in range(0, len(raw), step)]
+            ids, starts = tokenizer.encode(texts, end_id)
+            for key, first, last in zip(batch.column(0).to_pylist(), starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                rows += [(key, lo - first, min(length, last - lo), zlib.crc32(ids[lo : min(last, lo + length)]), last - first) for lo in range(first, last, length)]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(encode, PIECES)

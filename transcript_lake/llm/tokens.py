@@ -4,32 +4,31 @@ from __future__ import annotations
 
 import os
 import re
-from contextlib import suppress
 from functools import lru_cache
 from itertools import islice
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Words of which a Python worker keeps the ids.
 CACHE_WORDS = 500_000
 
-#: Two white-space characters side by side: cutting between them could split what the tokenizer reads as one run.
-RUN = re.compile(r"\s[ \n]|\n\s")
+#: White space, as any of the libraries understands it, beside a blank or newline: cutting there could split one run.
+SPACE = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
+RUN = rf"{SPACE}[ \n]|\n{SPACE}|\x00"
 CUT = re.compile(r"(?<=\S)(?=[ \n])")
 
-
-def pieces(text: str) -> list[str]:
-    """The text cut before blanks, before newlines and, where no other white space is beside them, after newlines."""
-    if "\0" in text or RUN.search(text):
-        return CUT.split(text)
-    return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+#: Between a letter or digit and a sign (not an apostrophe, which begins an ending) a new token always begins.
+SIGN = "([0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff])([!-&(-/:-@\\[-`{-~])"
 
 
 class WordTokenizer:
     """Encodes a text as the tokenizers library does on the whole, from the ids of its pieces.
 
-    The tokenizer's own splitting never joins a non-blank character with white space after it, so pieces cut between
-    the two have the ids that they have within the text. The library encodes each distinct piece; up to CACHE_WORDS
+    The tokenizer's own splitting never joins a non-blank character with white space after it, nor a letter or digit
+    with a sign after it, so pieces cut between the two have the ids that they have within the text. Texts with white
+    space side by side or with special tokens are cut with more care. The library encodes each distinct piece of a batch; up to CACHE_WORDS
     are kept, those met first, among which are the frequent ones."""
 
     def __init__(self, path: str) -> None:
@@ -40,6 +39,8 @@ class WordTokenizer:
         self.vocab_size = self.tokenizer.get_vocab_size()
         self.newline = self.tokenizer.token_to_id("\u010a")
         self.kept: dict[str, bytes] = {"": b""}
+        special = [re.escape(x.content) for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.careful = "|".join([RUN, *special])
 
     def encoded(self, new: list[str]) -> dict[str, bytes]:
         """The ids of each piece. Pieces without newlines are encoded many at a time, with a newline between, which is a token of its own there."""
@@ -59,23 +60,39 @@ class WordTokenizer:
             found |= {x: np.array(e.ids, "<u4").tobytes() for x, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True)}
         return found
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [pieces(x) for x in texts]
-        ids = [list(map(self.kept.get, x)) for x in cut]
-        holes = [(x, out) for x, out in zip(cut, ids, strict=True) if None in out]
-        if holes:
-            new = self.encoded(list({p for x, out in holes for p, y in zip(x, out, strict=True) if y is None}))
-            for x, out in holes:
-                at = -1
-                with suppress(ValueError):
-                    while True:
-                        at = out.index(None, at + 1)
-                        out[at] = new[x[at]]
-            room = CACHE_WORDS - len(self.kept)
-            if room > 0:
+    def cut(self, texts: pa.Array) -> pa.ListArray:
+        """Each text's pieces."""
+        runs = pc.match_substring_regex(texts, self.careful)
+        plain = pc.replace_substring_regex(pc.if_else(runs, "", texts), SIGN, "\\1\0\\2")
+        plain = pc.replace_substring(pc.replace_substring(plain, " ", "\0 "), "\n", "\0\n\0")
+        out = pc.split_pattern(plain, "\0")
+        if not pc.any(runs).as_py():
+            return out
+        careful = iter([CUT.split(x) for x in texts.filter(runs).to_pylist()])
+        return pa.array([next(careful) if run else x for run, x in zip(runs.to_pylist(), out.to_pylist(), strict=True)], out.type)
+
+    def encode(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, with end after each if it is given, and where each text's ids begin (and the last's end)."""
+        lists = self.cut(pa.array(texts, pa.large_string()))
+        codes = lists.flatten().dictionary_encode()
+        words = codes.dictionary.to_pylist()
+        found = list(map(self.kept.get, words))
+        if None in found:
+            new = self.encoded([w for w, x in zip(words, found, strict=True) if x is None])
+            found = [new[w] if x is None else x for w, x in zip(words, found, strict=True)]
+            if (room := CACHE_WORDS - len(self.kept)) > 0:
                 self.kept.update(islice(new.items(), room))
-        return [b"".join(x) for x in ids]
+        flat, sizes = np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+        index = codes.indices.to_numpy()
+        lengths = sizes[index]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        starts = ends[np.asarray(lists.offsets) - lists.offsets[0].as_py()]
+        ids = flat[np.arange(ends[-1]) + np.repeat((np.cumsum(sizes) - sizes)[index] - ends[:-1], lengths)]
+        if end is None:
+            return ids, starts
+        out = np.full(len(ids) + len(texts), end, "<u4")
+        out[np.arange(len(ids)) + np.repeat(np.arange(len(texts)), np.diff(starts))] = ids
+        return out, starts + np.arange(len(texts) + 1)
 
 
 def vocabulary(name: str) -> str:
