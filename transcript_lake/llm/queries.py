@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from transcript_lake.llm import binary, counts, flac, mixing, packing, rules
+from transcript_lake.llm import binary, counts, flac, jaccard, mixing, packing, rules
 
 QUERIES = {
     "op2_flac": flac.op2_flac,
     "op3_packing": packing.op3_packing,
+    "op5_jaccard": jaccard.op5_jaccard,
     "op6_binary": binary.op6_binary,
     "op7_counts": counts.op7_counts,
     "op9_rules": rules.op9_rules,
