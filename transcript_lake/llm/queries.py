@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from transcript_lake.llm import binary, counts, flac, jaccard, mixing, packing, rules
+from transcript_lake.llm import binary, counts, flac, html, jaccard, mixing, packing, pii, rules
 
 QUERIES = {
+    "op1_pii": pii.op1_pii,
     "op2_flac": flac.op2_flac,
     "op3_packing": packing.op3_packing,
     "op5_jaccard": jaccard.op5_jaccard,
     "op6_binary": binary.op6_binary,
     "op7_counts": counts.op7_counts,
+    "op8_html": html.op8_html,
     "op9_rules": rules.op9_rules,
     "op10_mixing": mixing.op10_mixing,
 }
