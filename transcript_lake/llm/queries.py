@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from transcript_lake.llm import binary, counts, flac, html, jaccard, mixing, packing, pii, rules
+from transcript_lake.llm import binary, chains, counts, flac, html, jaccard, mixing, packing, pii, rules
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op2_flac": flac.op2_flac,
     "op3_packing": packing.op3_packing,
+    "op4_chains": chains.op4_chains,
     "op5_jaccard": jaccard.op5_jaccard,
     "op6_binary": binary.op6_binary,
     "op7_counts": counts.op7_counts,
