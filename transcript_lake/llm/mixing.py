@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from transcript_lake.llm.common import WORD, materialise, running_start, table
+from transcript_lake.llm.common import WORD, joined, materialise, running_start, table
 
 WEIGHTS = (1, 2, 3)
 MAX_EPOCHS = 3
@@ -37,20 +37,18 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: in
     return sources.select("source_key", "source_size", F.when(over, F.col("source_size").cast("double") * max_epochs).otherwise(share).alias("target"))
 
 
-def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
-    """Per row of docs: doc_id, size (words), source_size, target (of its source), copies, taken (words, repeats counted).
+def _keys(doc_id: str, source: str, text: str, seed: str) -> dict[str, Column]:
+    return {
+        "source_key": F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("")),
+        "order": F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(doc_id).cast("string"), F.lit("null")))),
+        "size": F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long"),
+    }
 
-    Each document is repeated as often as its source's target holds the source whole. For the rest, documents are put in
-    the order of a seeded hash and taken while their middle lies within what is left, so a source ends within half a
-    document of its target. Prefix sums run over slices of the hash, so a hot source spreads over many tasks.
 
-    Null text: size 0. Null source: a source of its own, last in order. A source without words: target 0, nothing taken.
-    Rows that are equal in all columns are rows of their own. No rows: no rows. Other columns are ignored.
-    """
-    key = F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit(""))
-    order = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))))
-    size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    sized = materialise(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), key.alias("source_key"), order.alias("order"), size.alias("size")), "sizes")
+def _dealt(docs: DataFrame, text: str, doc_id: str, source: str, weights: tuple[int, ...], max_epochs: int, seed: str) -> DataFrame:
+    """Per row: doc_id, source_key, order, size, its source's size, target and whole copies, and whether it is taken once more."""
+    keys = _keys(doc_id, source, text, seed)
+    sized = materialise(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), *[c.alias(k) for k, c in keys.items()]), "sizes")
     digits, rows = 2, sized.count()
     while rows > SLICE_ROWS * 16**digits:
         digits += 1
@@ -63,11 +61,38 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
     dealt = sized.join(slices.drop("slice_size"), ["source_key", "slice"]).withColumn("start", F.col("slice_start") + F.sum("size").over(within) - F.col("size"))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     rest = F.col("target") - F.col("whole") * F.col("source_size")
-    copies = F.when(F.col("size") == 0, 0).otherwise(F.least(F.col("whole") + (2 * F.col("start") + F.col("size") <= 2 * rest).cast("int"), F.lit(max_epochs)))
-    out = dealt.withColumn("whole", whole).withColumn("copies", copies.cast("int"))
+    return dealt.withColumn("whole", whole.cast("int")).withColumn("again", (F.col("whole") < max_epochs) & (2 * F.col("start") + F.col("size") <= 2 * rest))
+
+
+def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
+    """Per row of docs: doc_id, size (words), source_size, target (of its source), copies, taken (words, repeats counted).
+
+    Each document is repeated as often as its source's target holds the source whole. For the rest, documents are put in
+    the order of a seeded hash and taken while their middle lies within what is left, so a source ends within half a
+    document of its target. Prefix sums run over slices of the hash, so a hot source spreads over many tasks.
+
+    Null text: size 0. Null source: a source of its own, last in order. A source without words: target 0, nothing taken.
+    Rows that are equal in all columns are rows of their own. No rows: no rows. Other columns are ignored."""
+    copies = F.when(F.col("size") == 0, 0).otherwise(F.col("whole") + F.col("again").cast("int"))
+    out = _dealt(docs, text, doc_id, source, weights, max_epochs, seed).withColumn("copies", copies)
     return out.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
+def repeat(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
+    """docs with each row as often as mix takes it; rows without words go.
+
+    The documents taken once more are the first of their source in the seeded order, so the last of them is all that a
+    source needs to tell: docs are joined with one row a source and never moved. Equal rows at that last place are all taken."""
+    dealt = _dealt(docs, text, doc_id, source, weights, max_epochs, seed)
+    last = F.max(F.when(F.col("again"), F.struct("order", "doc_id", "size")))
+    ends = materialise(dealt.groupBy(F.col("source_key").alias("_source_key")).agg(F.max("whole").alias("_whole"), last.alias("_last")), "mix-ends")
+    keys = {f"_{k}": c for k, c in _keys(doc_id, source, text, seed).items()}
+    at = F.struct(F.col("_order").alias("order"), F.col(doc_id).alias("doc_id"), F.col("_size").alias("size"))
+    copies = F.when(F.col("_size") == 0, 0).otherwise(F.col("_whole") + F.coalesce(at <= F.col("_last"), F.lit(False)).cast("int"))
+    out = joined(docs.withColumns(keys), ends, "_source_key", "inner").withColumn("_copies", copies).where("_copies > 0")
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("copies")
 
