@@ -132,8 +132,16 @@ def test_text(spark):
     assert one(text.bundle_path(F.lit("/repo/x/../y.md"), F.lit("/repo/"))) == "y.md"
     assert one(text.same_model(F.lit("a/m"), F.lit("m")))
     assert tuple(one(text.plan_job(F.lit("Read the file /w/plans/p1/02-go.md and execute the agent job now")))) == ("p1", "02-go.md")
-    assert one(text.prose_summary(F.lit("# Top\n```\ncode here\n```\n- item\nProse comes.\nmore"))) == "Prose comes."
-    assert one(text.prose_summary(F.lit("## Only a heading"))) == "Only a heading"
+    none = F.array().cast("array<string>")
+    assert one(text.prose_summary(F.lit("# Top\n```\ncode here\n```\nfunc main\n/path\n---\nProse comes.\nmore"), none)) == "Prose comes."
+    assert one(text.prose_summary(F.lit("## Only a heading"), F.array(F.lit("Only a heading")))) == "Only a heading"
+    assert one(text.first_line(F.lit("\n  ## Title\nx"))) == "Title"
+    assert tuple(one(text.briefing(F.lit("see '/w/plans/p1/.artifacts/job-1/briefing-12.xml'")))) == ("/w/plans/p1", "p1", "job-1")
+    assert [tuple(one(text.session_parts(F.lit(p)))) for p in ("/h/projects/a/s.jsonl", "/h/projects/a/s/subagents/x.jsonl", "/h/projects/a/s/subagents/workflows/wf_1/x.jsonl")] == [("s", "a"), ("s", "a"), ("wf_1", "a/s/subagents/workflows")]
+    assert [one(text.tool_summary(F.lit("bash"), F.parse_json(F.lit(j)))) for j in ('{"command": " ls  -l "}', '{"command": ["bash", "-lc", "make"]}', '{"query": "%s"}' % ("q" * 50), "{}")] == ["Bash(ls -l)", "Bash(make)", "Bash(%s...)" % ("q" * 37), "Bash"]
+    assert one(text.folder_for_tree(F.lit("/Users/foo/bar"))) == "--Users-foo-bar--" and one(text.folder_for_chat(F.lit("/a/.b"))) == "-a--b"
+    assert one(text.tree_session_id(F.lit("/x/2025_a_b.jsonl"))) == "a_b"
+    assert one(text.rollout_session_id(F.lit("/x/rollout-1-0a0a0a0a-0a0a-0a0a-0a0a-0a0a0a0a0a0a.jsonl"))) == "0a0a0a0a-0a0a-0a0a-0a0a-0a0a0a0a0a0a"
     assert one(text.provider_of(F.lit("/home/x/.codex/sessions/a.jsonl"))) == "codex"
     assert one(text.config_hash(F.lit("m"), F.lit(""), F.lit(None).cast("string"), F.create_map(F.lit("b"), F.lit("<1>"), F.lit("a"), F.lit("2")))) == one(F.sha2(F.lit('{"model":"m","components":{"a":"2","b":"\\u003c1\\u003e"}}'), 256))
 
@@ -162,30 +170,30 @@ def test_arms(spark):
     stamp = lambda kind, data, pos: ("s", "leaf", pos, f"e{pos}", kind, data)
     rows = [
         stamp("experiment_config", '{"config": {"model": "p/m", "components": {"context": "c0"}}}', 0),
-        stamp("experiment_config", '{"config": {"model": "p/m", "provider": "p", "components": {"context": "c1", "tools": ""}}, "config_hash": "bad", "replicate": 0, "bundle_files": []}', 1),
+        stamp("experiment_config", '{"config": {"model": "p/m", "provider": "p", "components": {"context": "c1", "plan": ""}}, "config_hash": "bad", "replicate": 0, "bundle_files": []}', 1),
         stamp("experiment_metric", '{"metrics": {"context.off_bundle_reads": 2, "Bad": 1, "a.b.c": 1}, "turns": 4}', 2),
         stamp("experiment_metric", '{"metrics": {"context.off_bundle_reads": 3}}', 3),
         stamp("experiment_metric", "{torn", 4),
-        ("s2", "leaf", 0, "e0", "experiment_config", '{"model": "m", "context": "old", "job_id": "j"}'),
+        ("s2", "leaf", 0, "e0", "experiment_config", '{"context": "old", "job_id": "j", "x_version": "1", "plan": "", "replicate": 1}'),
     ]
     custom = spark.createDataFrame(rows, "session_id string, leaf_id string, pos long, id string, custom_type string, data_json string")
     stamps = arms.config_stamps(custom)
     got = {r.session_id: r for r in stamps.collect()}
-    assert (got["s"].components, got["s"].replicate, got["s"].bundle_files, got["s"].is_legacy) == ({"context": "c1", "tools": ""}, 0, [], False)
+    assert (got["s"].components, got["s"].replicate, got["s"].bundle_files, got["s"].is_legacy) == ({"context": "c1", "plan": ""}, 0, [], False)
     assert (got["s2"].components, got["s2"].is_legacy, got["s2"].job_id, got["s2"].bundle_files) == ({"context": "old"}, True, "j", None)
     marks = arms.metric_stamps(custom).first()
     assert (marks.component_metrics, marks.turns) == ({"context.off_bundle_reads": 3.0}, 4)
     models = spark.createDataFrame([("s", "leaf", ["m", "other"]), ("s2", "leaf", ["x/m"])], "session_id string, leaf_id string, models array<string>")
     squeezed = spark.createDataFrame([("s2", "leaf", True)], "session_id string, leaf_id string, compacted boolean")
     codes = sorted((r.session_id, r.code) for r in arms.arm_warnings(custom, stamps, models, squeezed).collect())
-    assert codes == [("s", "bad_metric_key"), ("s", "bad_metric_key"), ("s", "hash_mismatch"), ("s", "malformed"), ("s", "model_disagreement"), ("s2", "compacted"), ("s2", "legacy_shape")]
+    assert codes == [("s", "bad_metric_key"), ("s", "bad_metric_key"), ("s", "config_hash_mismatch"), ("s", "malformed_entry"), ("s", "model_disagreement"), ("s2", "compacted_arm"), ("s2", "legacy_config_shape")]
     branches = spark.createDataFrame([("s", "leaf", True), ("s2", "leaf", True), ("s3", "leaf", True)], "session_id string, leaf_id string, is_active boolean")
     cost = spark.createDataFrame([("s", "leaf", 5)], "session_id string, leaf_id string, input long")
     process = spark.createDataFrame([("s", "leaf", 7, 2), ("s2", "leaf", 1, 3)], "session_id string, leaf_id string, tool_calls long, turns long")
     table = arms.arm_table(branches, stamps, arms.metric_stamps(custom), cost, process, squeezed, arms.arm_warnings(custom, stamps, models, squeezed))
     groups = {r.value: r for r in arms.by_component(table, "context").collect()}
     assert set(groups) == {"c1", "old"} and groups["c1"].turns.mean == 4 and groups["old"].compacted == 1
-    assert tuple(arms.counted_out(table, "tools").first()) == (1, 1)
+    assert tuple(arms.counted_out(table, "plan").first()) == (1, 1)
     assert arms.component_metrics(table, "context").first().summary.mean == 3
     good, skipped = arms.arm_partials(table)
     assert good.count() == 1 and {r.reason for r in skipped.collect()} == {"unattributed", "no replicate"}
@@ -205,9 +213,9 @@ def test_outline(spark):
     rows = [("s", 0, "user", None, [p("text", text="Do it")]), ("s", 1, "assistant", None, [p("reasoning", text="hm"), p("text", text="# Plan\nFirst we look.\n## Step"), p("tool_call", call="t", name="Read")]), ("s", 2, "user", None, [p("tool_result", call="t", out="x", err=True)]), ("s", 3, "user", "note", [p("text", text="fyi")])]
     entries = spark.createDataFrame(rows, schema).withColumn("parts", F.transform("parts", lambda x: x.withField("input", F.try_parse_json(x["input"]))))
     items = outline.with_folds(outline.outline(entries)).orderBy("seq", "sub_seq").collect()
-    assert [(i.kind, i.title, i.level, i.status) for i in items] == [("prompt", "Do it", 0, None), ("reasoning", "hm", 2, None), ("response", "First we look.", 1, None), ("heading", "Plan", 2, None), ("heading", "Step", 3, None), ("tool", "Read", 2, "error"), ("notice", "fyi", 0, None)]
-    assert [i.descendants for i in items] == [5, 0, 3, 1, 0, 0, 0]
-    assert [r.activity for r in outline.activity_label(entries).orderBy("seq").collect()] == ["prompted", "running Read", "reading a result", "prompted"]
+    assert [(i.kind, i.title, i.level, i.status) for i in items] == [("prompt", "Do it", 1, None), ("assistant", "First we look.", 1, None), ("heading", "Plan", 2, None), ("heading", "Step", 3, None), ("tool", "Read", 1, "failed"), ("reasoning", "hm", 1, None), ("notice", "fyi", 1, None)]
+    assert [i.descendants for i in items] == [0, 2, 1, 0, 0, 0, 0] and [i.has_kids for i in items][1]
+    assert [r.activity for r in outline.activity_label(entries).orderBy("seq").collect()] == ["reading input", "tool: Read", "processing tool result", "reading input"]
 
 
 def test_catalogue(spark):

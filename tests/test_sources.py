@@ -25,7 +25,7 @@ def test_claude_usage(spark, put, tmp_path):
     rows = dedup(jsonl.arrival(claude.usage_entries(lines)))
     total = rollup.usage_totals(rows).first()
     assert (total.input, total.output, total.messages, total.cache_write_5m, total.cache_write_1h) == (6000, 600, 3, 4, 3)
-    assert {(r.session_id, r.project, r.agent_id) for r in rows.collect()} == {("S", "-repo", None), ("agent-a1", "-repo", "a1"), ("S", "-repo", "w")}
+    assert {(r.session_id, r.project, r.agent_id) for r in rows.collect()} == {("S", "-repo", None), ("agent-a1", "-repo", "a1"), ("wf_1", "-repo/S/subagents/workflows", "w")}
     assert [tuple(r)[1] for r in jsonl.rejected_lines(lines).collect()] == [2]
     inner = catalog.inner_session_ids(lines.withColumn("session_id", F.get_json_object("line", "$.sessionId")))
     assert {r.parent_session_id for r in inner.collect()} == {"S"}
@@ -78,7 +78,7 @@ def test_codex(spark, put, tmp_path):
     assert [(r.input, r.cache_read, r.output) for r in rows] == [(200, 1000, 150), (400, 1600, 300), (40, 20, 5)]
     assert {(r.session_id, r.project, r.model, r.message_id) for r in rows} == {("C", "/repo", "gpt", "")}
     entries = codex.entries(lines).orderBy("seq").collect()
-    assert [(e.role, [p.type for p in e.parts]) for e in entries] == [("user", ["text"]), ("assistant", ["tool_call"]), ("user", ["tool_result"]), ("assistant", []), ("assistant", []), ("assistant", ["text"]), ("assistant", [])]
+    assert [(e.role, [p.type for p in e.parts]) for e in entries] == [("user", ["text"]), ("assistant", ["tool_call"]), ("assistant", ["tool_result"]), ("assistant", []), ("assistant", []), ("assistant", ["text"]), ("assistant", [])]
     assert entries[2].parts[0].is_error and entries[2].parts[0].output == "no"
     m = metrics.process_metrics(codex.entries(lines)).first()
     assert (m.tool_calls, m.turns, m.files_touched, m.unsupported) == (1, 1, None, ["files_touched", "files_edited"])
@@ -125,7 +125,9 @@ def test_opencode(spark, tmp_path):
     assert [(x.model, x.input, x.output, x.cache_read, x.cache_write_5m, x.native_cost, x.project) for x in r] == [("a/b", 130, 100, 550, 70, None, "proj")]
     e = opencode.entries(messages, parts).collect()
     assert len(e) == 1 and [p.name or p.text for p in e[0].parts] == ["hi", "read", "patch"]
-    assert metrics.process_metrics(opencode.entries(messages, parts)).first().touched == ["/r"]
+    m = metrics.process_metrics(opencode.entries(messages, parts)).first()
+    assert (m.tool_calls, m.touched, m.unsupported) == (2, None, ["files_touched", "files_edited"])
+    assert e[0].parts[2].title == "patch 01234567 (1 file)"
 
 
 def test_workflow(spark, put, tmp_path):

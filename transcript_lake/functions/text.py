@@ -19,11 +19,15 @@ def base_name(path: Column) -> Column:
 
 
 def session_parts(path: Column) -> Column:
-    """struct(session_id, project) of a log's path below projects/: a plain file, an agent's file, or one below a session's folder."""
-    rest = F.split(F.regexp_replace(path, "^.*/projects/", ""), "/")
-    name = F.regexp_replace(F.element_at(rest, -1), r"\.jsonl$", "")
-    session = F.when(F.size(rest) > 2, F.element_at(rest, 2)).otherwise(name)
-    return F.struct(session.alias("session_id"), F.element_at(rest, 1).alias("project"))
+    """struct(session_id, project) of a log's path, by what is below the first projects folder (all of it, if there is none):
+    project/file.jsonl; …/session/subagents/file; else the folder that holds the file is the session and those above are the project."""
+    rest = F.split(F.regexp_replace(path, "^.*?/projects/", ""), "/")
+    n, name = F.size(rest), F.regexp_replace(F.element_at(rest, -1), r"\.jsonl$", "")
+    upto = lambda k: F.coalesce(filled(F.array_join(F.slice(rest, 1, F.greatest(n - k, F.lit(0))), "/")), F.lit("Unknown Project"))
+    plain, below = (n == 2) & F.element_at(rest, -1).endswith(".jsonl"), (n >= 4) & (F.get(rest, n - 2) == "subagents")
+    session = F.when(plain, name).when(below, F.get(rest, n - 3)).when(n >= 2, F.get(rest, n - 2)).otherwise("unknown")
+    project = F.when(plain, F.get(rest, F.lit(0))).when(below, upto(3)).otherwise(upto(2))
+    return F.struct(session.alias("session_id"), project.alias("project"))
 
 
 def agent_id(path: Column) -> Column:
@@ -38,9 +42,21 @@ def uuid_in_name(path: Column) -> Column:
     return filled(F.regexp_extract(base_name(path), f"({UUID})", 1))
 
 
+def agent_label(path: Column) -> Column:
+    """An agent's id from its file's name; the session's own transcript is its parent."""
+    return F.coalesce(agent_id(path), F.lit("parent"))
+
+
+def rollout_session_id(path: Column) -> Column:
+    """The id at the end of a rollout's name, or the name."""
+    name = F.regexp_replace(base_name(path), r"\.jsonl$", "")
+    return F.coalesce(filled(F.regexp_extract(name, f"({UUID})$", 1)), name)
+
+
 def tree_session_id(path: Column) -> Column:
-    """The part after the last underscore of the file's name."""
-    return F.regexp_replace(F.substring_index(base_name(path), "_", -1), r"\.jsonl$", "")
+    """The part of the file's name after the first underscore; without one, the name."""
+    name = F.regexp_replace(base_name(path), r"\.[^.]*$", "")
+    return F.when(name.contains("_"), F.regexp_replace(name, "^[^_]*_", "")).otherwise(name)
 
 
 def folder_for_tree(cwd: Column) -> Column:
@@ -49,20 +65,34 @@ def folder_for_tree(cwd: Column) -> Column:
 
 
 def folder_for_chat(cwd: Column) -> Column:
-    """A working directory as the folder name of chat logs: all but letters and digits become hyphens."""
-    return F.regexp_replace(cwd, "[^A-Za-z0-9]", "-")
+    """A working directory as the folder name of chat logs: slashes become hyphens, and a dot after one too."""
+    return F.replace(F.replace(cwd, F.lit("/"), F.lit("-")), F.lit("-."), F.lit("--"))
 
 
 def provider_of(path: Column) -> Column:
-    """The runtime that wrote a log, from its path; claude where nothing tells."""
-    return F.when(path.contains("/.codex/") | path.rlike(r"/rollout-[^/]*\.jsonl$"), "codex").when(path.contains("/opencode/"), "opencode").when(path.contains("/.pi/"), "pi").otherwise("claude")
+    """The runtime that wrote a log, from its path; claude where nothing tells. Jobs keep pi's sessions with their artifacts."""
+    has = path.contains
+    return (
+        F.when(has("/.codex/") | has("/codex/sessions/"), "codex")
+        .when(has("/opencode/storage/"), "opencode")
+        .when(has("/.pi/") | has("/pi/agent/sessions/") | (has("/.artifacts/") & has("/sessions/")), "pi")
+        .otherwise("claude")
+    )
 
 
 def plan_job(text: Column) -> Column:
-    """struct(plan, job) named by a message that tells an agent to read and execute a job file."""
-    path = F.regexp_extract(text, r"Read the file (\S+) and execute the agent job", 1)
-    plan = F.when(path.contains("/plans/"), F.element_at(F.split(F.substring_index(path, "/plans/", -1), "/"), 1)).otherwise(F.element_at(F.split(path, "/"), -2))
-    return F.when(path != "", F.struct(plan.alias("plan"), base_name(path).alias("job")))
+    """struct(plan, job) named by a message that tells an agent to read and execute a job file: the first path in it, up to " and"."""
+    told = text.contains("Read the file") & text.contains("and execute the agent job")
+    path = F.coalesce(filled(F.regexp_extract(text, r"(?s)^[^/]*(/.*?) and", 1)), F.regexp_extract(text, r"(?s)^[^/]*(/[^ ]*) ", 1))
+    parts = F.split(path, "/")
+    return F.when(told & path.contains("/plans/") & path.endswith(".md"), F.struct(F.element_at(parts, -2).alias("plan"), F.element_at(parts, -1).alias("job")))
+
+
+def briefing(text: Column) -> Column:
+    """struct(plan_dir, plan, job_id) of the first briefing file that a message names."""
+    pattern = r"(/[^'\"\s]+/plans/[^/]+)/\.artifacts/([^/]+)/briefing-\d+\.xml"
+    folder = F.regexp_extract(text, pattern, 1)
+    return F.when(folder != "", F.struct(folder.alias("plan_dir"), base_name(folder).alias("plan"), F.regexp_extract(text, pattern, 2).alias("job_id")))
 
 
 def rfc3339_millis(ts: Column) -> Column:
@@ -145,31 +175,67 @@ def shortened(text: Column, most: int = 80) -> Column:
     return F.when(F.length(line) > most, F.concat(F.substring(line, 1, most - 3), F.lit("..."))).otherwise(line)
 
 
-def tool_summary(name: Column, variant: Column) -> Column:
-    """A tool's name with its most telling argument."""
-    argument = first_filled(variant, ["command", "cmd", "file_path", "filePath", "path", "pattern", "query", "url", "description", "prompt"])
-    return F.when(argument.isNull(), name).otherwise(F.concat(name, F.lit(": "), shortened(argument)))
+def _capped(text: Column, most: int) -> Column:
+    return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most - 3), F.lit("..."))).otherwise(text)
 
 
-def result_status(status: Column, has_result: Column, is_error: Column) -> Column:
-    return F.when(has_result & is_error, "error").when(has_result, "completed").when(filled(status).isNotNull(), status).otherwise("running")
+def short_path(path: Column) -> Column:
+    """A path of over 50 characters and more than three parts, cut to its last two."""
+    parts = F.split(path, "/")
+    return F.when((F.length(path) > 50) & (F.size(parts) > 3), F.concat(F.lit(".../"), F.element_at(parts, -2), F.lit("/"), F.element_at(parts, -1))).otherwise(path)
 
 
-def patch_title(files: Column, hash_: Column) -> Column:
-    return F.when(F.size(files) == 1, F.concat(F.lit("patch "), F.element_at(files, 1))).when(F.size(files) > 1, F.concat(F.lit("patch "), F.size(files).cast("string"), F.lit(" files"))).otherwise(F.concat(F.lit("patch "), F.left(hash_, F.lit(8))))
-
-
-def prose_summary(text: Column) -> Column:
-    """The first line of prose outside code fences; where there is none, the first heading."""
-    marked = F.aggregate(
-        F.split(text, "\n"),
-        F.struct(F.lit(False).alias("fence"), F.lit(None).cast("string").alias("prose"), F.lit(None).cast("string").alias("heading")),
-        lambda acc, line: F.when(F.trim(line).startswith("```"), F.struct((~acc["fence"]).alias("fence"), acc["prose"].alias("prose"), acc["heading"].alias("heading"))).otherwise(
-            F.struct(
-                acc["fence"].alias("fence"),
-                F.coalesce(acc["prose"], F.when(~acc["fence"] & ~F.trim(line).rlike(r"^(#|[-*+|>] |\d+[.)] |$)"), F.trim(line))).alias("prose"),
-                F.coalesce(acc["heading"], F.when(~acc["fence"] & F.trim(line).rlike("^#{1,6} "), F.regexp_replace(F.trim(line), "^#+ +", ""))).alias("heading"),
-            )
-        ),
+def tool_summary(name: Column, variant: Column, title: Column | None = None) -> Column:
+    """Name(argument): the tool's name with a capital, and its command, path, pattern, query or url, whichever it has first; else its title."""
+    given = lambda k: F.try_variant_get(variant, f"$.{k}", "string")
+    is_text = lambda k: F.schema_of_variant(F.try_variant_get(variant, f"$.{k}", "variant")) == "STRING"
+    words = F.try_variant_get(variant, "$.command", "array<string>")
+    shell = F.when((F.size(words) >= 3) & F.get(words, F.lit(1)).isin("-lc", "-c"), F.get(words, F.lit(2))).otherwise(F.array_join(words, " "))
+    argument = (
+        F.when(is_text("command"), _capped(F.trim(given("command")), 60)).when(F.size(words) > 0, _capped(F.trim(shell), 60)).when(is_text("file_path"), short_path(given("file_path"))).when(is_text("filePath"), short_path(given("filePath")))
+        .when(is_text("pattern"), given("pattern")).when(is_text("query"), _capped(given("query"), 40)).when(is_text("url"), given("url"))
+    )
+    shown = F.coalesce(filled(argument), filled(title if title is not None else F.lit(None).cast("string")))
+    whole = F.when(shown.isNull(), _capital(name)).otherwise(F.concat(_capital(name), F.lit("("), shown, F.lit(")")))
+    return F.trim(F.regexp_replace(whole, r"\s+", " "))
+
+
+def _capital(name: Column) -> Column:
+    return F.concat(F.upper(F.substring(name, 1, 1)), name.substr(F.lit(2), F.length(name)))
+
+
+def result_status(status: Column, has_result: Column, is_error: Column, output: Column) -> Column:
+    """failed, completed or running: by the result, else by the call's own word for it, else by whether there is output."""
+    own = F.lower(status)
+    return (
+        F.when(has_result, F.when(is_error, "failed").otherwise("completed")).when(own.isin("completed", "complete", "success", "succeeded", "done"), "completed").when(own.isin("failed", "error"), "failed")
+        .when(own.isin("pending", "running", "in_progress"), "running").when(F.coalesce(output, F.lit("")) != "", "completed").otherwise("running")
     )
-    return F.coalesce(marked["prose"], marked["heading"])
+
+
+def patch_title(files: Column, hash_: Column) -> Column:
+    n = F.greatest(F.size(F.coalesce(files, F.array().cast("array<string>"))), F.lit(0))
+    count = F.concat(F.lit("("), n.cast("string"), F.when(n == 1, " file)").otherwise(" files)"))
+    return F.concat_ws(" ", F.lit("patch"), filled(F.left(hash_, F.lit(8))), count)
+
+
+def first_line(text: Column) -> Column:
+    """The first line that is not blank, without the marks of a heading; null if there is none."""
+    return F.regexp_replace(F.get(F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != ""), F.lit(0)), "^[# ]+", "")
+
+
+# How lines of code begin that are no prose.
+CODE = ("package ", "import ", "func ", "return ", "var ", "const ", "type ")
+
+
+def prose_summary(text: Column, headings: Column) -> Column:
+    """The first line of prose outside code fences, else the first of headings; null if there is neither. Prose has a letter or
+    digit and begins with no heading mark, slash, or word of code."""
+    prose = lambda x: x.rlike(r"[\p{L}\p{Nd}]") & ~x.startswith("#") & ~x.startswith("/") & ~F.lower(x).rlike("^(" + "|".join(CODE) + ")")
+
+    def step(acc: Column, x: Column) -> Column:
+        fence = x.startswith("```")
+        return F.struct((acc["fence"] != fence).alias("fence"), F.coalesce(acc["found"], F.when(~fence & ~acc["fence"] & prose(x), x)).alias("found"))
+
+    begin = F.struct(F.lit(False).alias("fence"), F.lit(None).cast("string").alias("found"))
+    return F.coalesce(F.aggregate(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), begin, step, lambda acc: acc["found"]), F.get(headings, F.lit(0)))

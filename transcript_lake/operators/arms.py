@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from transcript_lake.functions.text import METRIC_KEY, config_hash, filled, same_model
 
 CONFIG_TYPE, METRIC_TYPE = "experiment_config", "experiment_metric"
-COMPONENTS = ("context", "knowledge", "model", "prompt", "skills", "tools")
+# The words for parts of a configuration, and what the old flat stamp holds besides components.
+COMPONENTS = ("prompt", "context", "memory", "skills", "plan", "briefing")
 KEY = ["session_id", "leaf_id"]
-LEGACY_PLAIN = ("config_hash", "schema", "job_id", "task_id", "model", "provider", "worktree_commit", "replicate", "sweep")
+LEGACY_PLAIN = ("job_id", "provider", "schema", "config_hash", "task_id", "replicate", "sweep", "bundle_files")
 
 
 def _text(path: str) -> Column:
@@ -31,15 +32,19 @@ def parsed(custom: DataFrame) -> DataFrame:
 def config_stamps(custom: DataFrame, config_type: str = CONFIG_TYPE) -> DataFrame:
     """Per branch, the last stamp that can be read: model, provider, worktree_commit, components, config_hash, schema, job_id, task_id, replicate, bundle_files and is_legacy.
 
-    A stamp without a config object is of the old flat shape: its plain string fields that are no known ones are the components."""
+    A stamp without a config is of the old flat shape: its other filled string fields are the components, the provider is pi unless
+    given, and there is no model and no hash. Fields whose names end in _version are no components."""
     rows = parsed(custom).where((F.col("custom_type") == config_type) & F.col("data").isNotNull())
     nested = F.try_variant_get("data", "$.config", "variant").isNotNull()
-    flat = F.map_filter(F.try_variant_get("data", "$", "map<string, string>"), lambda k, v: ~k.isin(*LEGACY_PLAIN) & v.isNotNull() & ~v.rlike(r"^[\[{]"))
+    fields = F.try_variant_get("data", "$", "map<string, variant>")
+    plain = F.map_filter(fields, lambda k, v: ~k.isin(*LEGACY_PLAIN) & ~k.endswith("_version") & (F.schema_of_variant(v) == "STRING"))
+    flat = F.map_filter(F.transform_values(plain, lambda k, v: F.try_variant_get(v, "$", "string")), lambda k, v: v != "")
+    own = lambda c: F.when(nested, c)
     stamp = F.struct(
-        F.coalesce(_text("$.config.model"), _text("$.model")).alias("model"), F.coalesce(_text("$.config.provider"), _text("$.provider")).alias("provider"), F.coalesce(_text("$.config.worktree_commit"), _text("$.worktree_commit")).alias("worktree_commit"),
+        _text("$.config.model").alias("model"), F.when(nested, _text("$.config.provider")).otherwise(F.coalesce(_text("$.provider"), F.lit("pi"))).alias("provider"), _text("$.config.worktree_commit").alias("worktree_commit"),
         F.when(nested, F.try_variant_get("data", "$.config.components", "map<string, string>")).otherwise(flat).alias("components"),
-        _text("$.config_hash").alias("config_hash"), F.try_variant_get("data", "$.schema", "int").alias("schema"), _text("$.job_id").alias("job_id"), _text("$.task_id").alias("task_id"),
-        F.try_variant_get("data", "$.replicate", "int").alias("replicate"), F.try_variant_get("data", "$.bundle_files", "array<string>").alias("bundle_files"), (~nested).alias("is_legacy"), F.col("id").alias("entry_id"),
+        own(_text("$.config_hash")).alias("config_hash"), own(F.try_variant_get("data", "$.schema", "int")).alias("schema"), _text("$.job_id").alias("job_id"), own(_text("$.task_id")).alias("task_id"),
+        own(F.try_variant_get("data", "$.replicate", "int")).alias("replicate"), own(F.try_variant_get("data", "$.bundle_files", "array<string>")).alias("bundle_files"), (~nested).alias("is_legacy"), F.col("id").alias("entry_id"),
     )
     return rows.groupBy(*KEY).agg(F.max_by(stamp, "pos").alias("s")).select(*KEY, "s.*")
 
@@ -66,12 +71,12 @@ def arm_warnings(custom: DataFrame, stamps: DataFrame, models: DataFrame, compac
     seen = models.join(stamps.select(*KEY, "model"), KEY, "left")
     differs = (F.size("models") > 1) | (F.col("model").isNotNull() & (F.size("models") == 1) & ~same_model(F.col("model"), F.element_at("models", 1)))
     found = [
-        warn(rows.where(stamped & F.col("data").isNull()), "malformed", F.concat(F.lit("cannot be read: "), F.col("custom_type"))),
-        warn(stamps.where("is_legacy"), "legacy_shape", F.lit("configuration in the old flat shape"), "entry_id"),
-        warn(stamps.where(~F.col("is_legacy") & F.col("config_hash").isNotNull() & (own != F.col("config_hash"))), "hash_mismatch", F.concat(F.lit("computed "), own), "entry_id"),
+        warn(rows.where(stamped & F.col("data").isNull()), "malformed_entry", F.concat(F.lit("cannot be read: "), F.col("custom_type"))),
+        warn(stamps.where("is_legacy"), "legacy_config_shape", F.lit("configuration in the old flat shape"), "entry_id"),
+        warn(stamps.where(~F.col("is_legacy") & F.col("config_hash").isNotNull() & (own != F.col("config_hash"))), "config_hash_mismatch", F.concat(F.lit("computed "), own), "entry_id"),
         warn(bad_keys, "bad_metric_key", F.col("key")),
         warn(seen.where(differs), "model_disagreement", F.concat_ws(", ", "models"), None),
-        warn(compacted.where("compacted"), "compacted", F.lit("the conversation was compacted"), None),
+        warn(compacted.where("compacted"), "compacted_arm", F.lit("the conversation was compacted"), None),
     ]
     return reduce(DataFrame.unionByName, found)
 

@@ -72,8 +72,8 @@ def newest_transcript(files: DataFrame, after=None) -> DataFrame:
 
 def job_files(files: DataFrame) -> DataFrame:
     """(plan_dir, job_id, file_path) from the id in the first 40 lines of job files (file_path, text)."""
-    head = F.array_join(F.slice(F.split("text", "\n"), 1, 40), "\n")
-    found = F.regexp_extract(head, r"(?m)^id:\s*[\"']?([^\"'\s]+)", 1)
+    head = F.array_join(F.slice(F.split("text", "\n"), 1, 41), "\n")
+    found = F.regexp_extract(head, r"(?m)^\s*id:\s*[\"']?([^\"'\s]+)", 1)
     return files.select(F.regexp_replace("file_path", "/[^/]*$", "").alias("plan_dir"), found.alias("job_id"), "file_path").where("job_id <> ''")
 
 

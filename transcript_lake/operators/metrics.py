@@ -7,21 +7,21 @@ from pyspark.sql import functions as F
 
 from transcript_lake.functions.text import edits_churn, first_filled, line_churn
 
-# What each runtime's file tools are called, and the spellings of their arguments.
+# What each runtime's file tools are called, and how their arguments are spelled.
 # provider, tool, kind, path keys, old-text keys, new-text keys, key of a list of edits
 RULES = [
-    ("claude", "read", "read", ["file_path", "path"], [], [], None),
-    ("claude", "write", "edit", ["file_path", "path"], [], [], None),
-    ("claude", "edit", "edit", ["file_path", "path"], ["old_string"], ["new_string"], None),
-    ("claude", "multiedit", "edit", ["file_path", "path"], ["old_string"], ["new_string"], "edits"),
+    ("claude", "read", "read", ["file_path"], [], [], None),
+    ("claude", "grep", "read", ["path"], [], [], None),
+    ("claude", "edit", "edit", ["file_path"], ["old_string"], ["new_string"], None),
+    ("claude", "write", "edit", ["file_path"], [], [], None),
+    ("claude", "multiedit", "edit", ["file_path"], ["old_string"], ["new_string"], "edits"),
     ("claude", "notebookedit", "edit", ["notebook_path", "file_path"], [], [], None),
-    ("pi", "read", "read", ["path", "file_path"], [], [], None),
-    ("pi", "write", "edit", ["path", "file_path"], [], [], None),
-    ("pi", "edit", "edit", ["path", "file_path"], ["oldText", "old_string"], ["newText", "new_string"], "edits"),
+    ("pi", "read", "read", ["path"], [], [], None),
+    ("pi", "grep", "read", ["path"], [], [], None),
+    ("pi", "find", "read", ["path"], [], [], None),
     ("pi", "ls", "read", ["path"], [], [], None),
-    ("opencode", "read", "read", ["filePath", "file_path", "path"], [], [], None),
-    ("opencode", "write", "edit", ["filePath", "file_path", "path"], [], [], None),
-    ("opencode", "edit", "edit", ["filePath", "file_path", "path"], ["oldString", "old_string"], ["newString", "new_string"], "edits"),
+    ("pi", "edit", "edit", ["path"], [], [], None),
+    ("pi", "write", "edit", ["path"], [], [], None),
 ]
 RULED = sorted({r[0] for r in RULES})
 

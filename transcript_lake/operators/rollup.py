@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from transcript_lake.functions.text import agent_id, rfc3339_millis
+from transcript_lake.functions.text import agent_label, rfc3339_millis
 from transcript_lake.functions.usage import CLASSES, context_tokens, total_tokens, zero
 
 SESSION = ["provider", "project", "session_id"]
@@ -57,7 +57,7 @@ def model_usage(entries: DataFrame) -> DataFrame:
 
 def agent_usage(entries: DataFrame) -> DataFrame:
     """Per session and agent; an agent's model is the one seen first. Needs agent_id, or file_path to tell it from."""
-    rows = entries if "agent_id" in entries.columns else entries.withColumn("agent_id", agent_id(F.col("file_path")))
+    rows = entries if "agent_id" in entries.columns else entries.withColumn("agent_id", agent_label(F.col("file_path")))
     rows = rows.where("agent_id is not null")
     return rows.groupBy(*SESSION, "agent_id").agg(*sums(), *costs(rows), F.min_by("model", "arrival").alias("model"))
 

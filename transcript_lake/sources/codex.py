@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from transcript_lake.functions.text import uuid_in_name
+from transcript_lake.functions.text import rollout_session_id
 from transcript_lake.functions.usage import zero
 from transcript_lake.operators.codex import carry_forward, cumulative_delta, final_value
 from transcript_lake.sources.jsonl import PART, entry_rows, instant, parsed, part, usage_rows
@@ -17,7 +17,7 @@ PAYLOAD = (
 )
 LINE = f"timestamp string, type string, payload {PAYLOAD}"
 UNKNOWN_MODEL = "codex/unknown"
-CLASSES = ["input", "output", "cache_read", "reasoning"]
+CLASSES = ["input", "output", "cache_read"]
 
 
 def split(counts: Column) -> Column:
@@ -47,7 +47,7 @@ def usage_entries(lines: DataFrame) -> DataFrame:
     """A row for each rise of the cumulative counts. Message ids are empty: these rows are never replays."""
     rows = cumulative_delta(token_counts(lines), CLASSES)
     return usage_rows(rows.select(
-        F.lit("codex").alias("provider"), "file_path", "line_no", "project", F.coalesce("session_id", uuid_in_name(F.col("file_path"))).alias("session_id"), F.lit("").alias("message_id"), F.lit("").alias("request_id"), F.lit(False).alias("is_sidechain"),
+        F.lit("codex").alias("provider"), "file_path", "line_no", "project", F.coalesce("session_id", rollout_session_id(F.col("file_path"))).alias("session_id"), F.lit("").alias("message_id"), F.lit("").alias("request_id"), F.lit(False).alias("is_sidechain"),
         F.coalesce("model", F.lit(UNKNOWN_MODEL)).alias("model"), "ts", "input", "output", "cache_read", F.lit(0).cast("long").alias("reasoning"),
     ))
 
@@ -57,22 +57,22 @@ def entries(lines: DataFrame) -> DataFrame:
     set the environment are left out; arguments that are no JSON are kept as text."""
     rows = carry_forward(_envelopes(lines), ["session_id"])
     p, kind = F.col("p"), F.concat_ws(".", "type", "p.type")
-    arguments = F.coalesce(F.try_parse_json(p["arguments"]), F.parse_json(F.to_json(F.struct(p["arguments"].alias("raw")))))
-    texts = F.array_join(F.transform(F.filter(p["content"], lambda c: F.coalesce(c["text"], F.lit("")) != ""), lambda c: c["text"]), "\n")
+    arguments = F.coalesce(F.try_parse_json(p["arguments"]), F.parse_json(F.to_json(F.struct(F.nullif(p["arguments"], F.lit("")).alias("arguments")))))
+    texts = F.transform(F.filter(p["content"], lambda c: c["type"].isin("input_text", "output_text") & (F.coalesce(c["text"], F.lit("")) != "")), lambda c: part(type=F.lit("text"), text=c["text"]))
     exit_code = F.try_variant_get(F.try_parse_json(p["output"]), "$.metadata.exit_code", "int")
     none = F.array().cast(f"array<{PART}>")
     parts = (
         F.when(kind == "event_msg.agent_reasoning", F.array(part(type=F.lit("reasoning"), text=p["text"])))
         .when(kind == "event_msg.agent_message", F.array(part(type=F.lit("text"), text=p["message"])))
         .when(kind == "event_msg.token_count", none)
-        .when(kind == "response_item.message", F.array(part(type=F.lit("text"), text=texts)))
+        .when(kind == "response_item.message", texts)
         .when(kind == "response_item.function_call", F.array(part(type=F.lit("tool_call"), tool_call_id=p["call_id"], name=p["name"], input=arguments)))
-        .when(kind == "response_item.function_call_output", F.array(part(type=F.lit("tool_result"), tool_call_id=p["call_id"], output=F.coalesce(F.try_variant_get(F.try_parse_json(p["output"]), "$.output", "string"), p["output"]), is_error=F.coalesce(exit_code != 0, F.lit(False)))))
+        .when(kind == "response_item.function_call_output", F.array(part(type=F.lit("tool_result"), tool_call_id=p["call_id"], output=F.coalesce(F.try_variant_get(F.try_parse_json(p["output"]), "$.output", "string"), F.lit("")), is_error=F.coalesce(exit_code != 0, F.lit(False)))))
     )
-    role = F.when(kind.isin("response_item.message", "response_item.function_call_output"), F.coalesce(p["role"], F.lit("user"))).otherwise("assistant")
+    role = F.when(kind == "response_item.message", F.coalesce(F.nullif(p["role"], F.lit("")), F.lit("user"))).otherwise("assistant")
     setting = (kind == "response_item.message") & (F.coalesce(p["role"] == "assistant", F.lit(False)) | F.exists(F.coalesce(p["content"], F.array().cast("array<struct<type: string, text: string>>")), lambda c: F.coalesce(c["text"], F.lit("")).contains("<environment_context>")))
     last = F.col("last")
     tokens = F.when(last.isNotNull(), F.struct(last["input"].alias("input"), last["output"].alias("output"), last["reasoning"].alias("reasoning"), last["cache_read"].alias("cache_read"), F.lit(None).cast("bigint").alias("cache_write"), F.lit(None).cast("double").alias("cost")))
-    return entry_rows(rows.where(parts.isNotNull() & ~setting & ((kind != "event_msg.token_count") | last.isNotNull())).select(
-        F.lit("codex").alias("provider"), "file_path", F.coalesce("session_id", uuid_in_name(F.col("file_path"))).alias("session_id"), F.col("line_no").alias("seq"), "type", role.alias("role"), "ts", F.lit(False).alias("is_sidechain"), parts.alias("parts"), tokens.alias("tokens"),
+    return entry_rows(rows.where(parts.isNotNull() & ~setting & F.when(kind == "event_msg.token_count", last.isNotNull()).otherwise((F.size(parts) > 0) & ~F.exists(parts, lambda x: (x["type"] != "tool_call") & x["text"].isNull() & x["tool_call_id"].isNull()))).select(
+        F.lit("codex").alias("provider"), "file_path", F.coalesce("session_id", rollout_session_id(F.col("file_path"))).alias("session_id"), F.col("line_no").alias("seq"), "type", role.alias("role"), "ts", F.lit(False).alias("is_sidechain"), parts.alias("parts"), tokens.alias("tokens"),
     ))

@@ -18,7 +18,7 @@ def _run_id():
 def journal(lines: DataFrame) -> DataFrame:
     """started and result events of journals; other types are left out."""
     rows = parsed(lines.where(base_name(F.col("file_path")) == "journal.jsonl"), LINE).where("j.type in ('started', 'result')")
-    return rows.select(_run_id().alias("run_id"), "file_path", "line_no", F.col("j.type").alias("type"), F.col("j.agentId").alias("agent_id"), F.col("j.result").alias("result"))
+    return rows.select(_run_id().alias("run_id"), "file_path", "line_no", F.col("j.type").alias("type"), F.col("j.key").alias("key"), F.col("j.agentId").alias("agent_id"), F.col("j.result").alias("result"))
 
 
 def scoreboard(events: DataFrame) -> DataFrame:
@@ -36,5 +36,5 @@ def runs(lines: DataFrame) -> DataFrame:
 def entries(lines: DataFrame) -> DataFrame:
     """Journal events as system entries."""
     rows = journal(lines)
-    text = F.concat(F.lit("agent "), "agent_id", F.when(F.col("type") == "started", " started").otherwise(F.concat(F.lit(" finished: "), F.coalesce(F.try_variant_get("result", "$", "string"), F.to_json("result"), F.lit("")))))
-    return entry_rows(rows.select(F.lit("claude").alias("provider"), "file_path", F.col("run_id").alias("session_id"), F.col("line_no").alias("seq"), "type", F.lit("system").alias("role"), F.lit(False).alias("is_sidechain"), "agent_id", F.array(part(type=F.lit("text"), text=text)).alias("parts")))
+    text = F.concat(F.lit("workflow agent "), F.coalesce("agent_id", F.lit("")), F.lit(" "), "type", F.lit(" (key "), F.coalesce("key", F.lit("")), F.lit(")"), F.when(F.col("result").isNotNull(), F.concat(F.lit("\n"), F.to_json("result"))).otherwise(""))
+    return entry_rows(rows.select(F.lit("journal").alias("provider"), "file_path", F.col("run_id").alias("session_id"), F.col("line_no").alias("seq"), "type", F.lit("system").alias("role"), F.lit(True).alias("is_sidechain"), "agent_id", F.array(part(type=F.lit("text"), text=text)).alias("parts")))
