@@ -4,8 +4,9 @@ import json
 
 from pyspark.sql import functions as F
 
-from transcript_lake.operators import catalog, metrics, rollup
+from transcript_lake.operators import arms, catalog, metrics, rollup, tree
 from transcript_lake.operators.dedup import dedup
+from transcript_lake.plans import arms as plan
 from transcript_lake.sources import claude, codex, jsonl, opencode, pi, registry, workflow
 
 
@@ -29,6 +30,10 @@ def test_claude_usage(spark, put, tmp_path):
     assert [tuple(r)[1] for r in jsonl.rejected_lines(lines).collect()] == [2]
     inner = catalog.inner_session_ids(lines.withColumn("session_id", F.get_json_object("line", "$.sessionId")))
     assert {r.parent_session_id for r in inner.collect()} == {"S"}
+    whole = rollup.by_inner_session(rows, inner)
+    assert [(r.session_id, r.project, r.input, r.messages) for r in rollup.session_usage(whole).collect()] == [("S", "-repo", 6000, 3)]
+    per_file = rollup.transcript_totals(jsonl.arrival(claude.usage_entries(lines)))
+    assert sorted(r.input for r in per_file.collect()) == [1000, 2000, 3000]
     stats = rollup.token_stats(claude.usage_entries(lines)).where("messages = 2").first()
     assert (stats.input_tokens, stats.output_tokens) == (2000, 200)
 
@@ -148,3 +153,31 @@ def test_registry(spark, put, tmp_path):
     rows = registry.registry(spark, str(tmp_path))
     assert [r.session_id for r in catalog.latest_attempts(rows).collect()] == ["s2"]
     assert [r.session_id for r in registry.archived(spark, str(tmp_path)).collect()] == ["s2"]
+
+
+def test_arms_of_a_corpus(spark, put, tmp_path):
+    usage = {"input": 10, "output": 1, "cacheRead": 0, "cacheWrite": 0, "cost": {"total": 0.25}}
+    say = lambda i, p, **m: {"type": "message", "id": i, "parentId": p, "message": {"role": "assistant", "model": "m", "usage": usage, **m}}
+    put(
+        "x_P.jsonl",
+        {"type": "session", "id": "P", "cwd": "/repo"},
+        {"type": "custom", "id": "k", "parentId": None, "customType": "experiment_config", "data": {"config": {"model": "p/m", "components": {"context": "c1"}}, "replicate": 0, "bundle_files": ["a.md"]}},
+        {"type": "message", "id": "u", "parentId": "k", "message": {"role": "user", "content": "go"}},
+        say("b", "u", content=[{"type": "toolCall", "id": "t", "name": "read", "arguments": {"path": "/repo/b.md"}}, {"type": "toolCall", "id": "t2", "name": "read", "arguments": {"path": "/repo/x/../a.md"}}]),
+        say("c", "u", content="other"),
+        {"type": "custom", "id": "z", "parentId": "c", "customType": "experiment_metric", "data": {"metrics": {"context.hits": 2}}},
+    )
+    lines = jsonl.raw_lines(spark, str(tmp_path))
+    table, warnings = plan.lift_arms(lines)
+    arm = table.collect()
+    assert [(r.leaf_id, r.input, r.cost, r.turns, r.tool_calls, r.component_metrics, r.models, r.replicate) for r in arm] == [("z", 10, 0.25, 1, 0, {"context.hits": 2.0}, ["m"], 0)]
+    assert warnings.count() == 0
+    both, _ = plan.lift_arms(lines, all_branches=True)
+    assert {r.leaf_id: (r.tool_calls, r.component_metrics) for r in both.collect()} == {"b": (2, None), "z": (0, {"context.hits": 2.0})}
+    group = arms.by_component(both, "context").first()
+    assert (group.value, group.n, group.tool_calls.mean) == ("c1", 2, 1.0)
+    nodes = tree.tree_nodes(pi.tree_rows(lines))
+    found = tree.branches(nodes)
+    custom = tree.custom_entries(found, nodes)
+    reads = plan.bundle_reads(found, pi.entries(lines), arms.config_stamps(custom), spark.createDataFrame([("P", "/repo")], "session_id string, cwd string"))
+    assert {r.leaf_id: r.off_bundle_reads for r in reads.collect()} == {"b": 1.0, "z": 0.0}

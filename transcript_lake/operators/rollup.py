@@ -87,6 +87,26 @@ def cumulative_stats(counts: DataFrame, key: str = "file_path", order: str = "li
     return counts.groupBy(key).agg(F.count("*").alias("messages"), F.max_by("total", order).alias("total"), F.max_by("last", order).alias("latest"), F.max_by("context_window", order).alias("context_window"))
 
 
+def transcript_totals(entries: DataFrame) -> DataFrame:
+    """Per file, sums of its responses, replays taken out within the file only."""
+    from transcript_lake.operators.dedup import dedup
+
+    own = F.when(F.coalesce("message_id", F.lit("")) == "", F.lit("")).otherwise(F.concat_ws("\x1f", "file_path", "message_id"))
+    return dedup(entries.withColumn("message_id", own)).groupBy("file_path").agg(*sums())
+
+
+def by_inner_session(entries: DataFrame, inner: DataFrame) -> DataFrame:
+    """entries under the session that their file names inside (catalog.inner_session_ids), so that agents' and workflows' files
+    count with their parent; the project is then the parent file's, the one whose name is the session."""
+    named = entries.join(inner, "file_path", "left").withColumn("session_id", F.coalesce("parent_session_id", "session_id")).drop("parent_session_id")
+    parents = named.where(F.col("file_path").endswith(F.concat(F.lit("/"), F.col("session_id"), F.lit(".jsonl")))).groupBy("session_id").agg(F.min("project").alias("_project"))
+    return named.join(parents, "session_id", "left").withColumn("project", F.coalesce("_project", "project")).drop("_project")
+
+
+def by_cost(models: DataFrame) -> DataFrame:
+    return models.orderBy(F.desc("cost"), "model")
+
+
 def first_provider_with_usage(sessions: DataFrame, ranks: dict[str, int] | None = None) -> DataFrame:
     """Of a session id's rows in several providers, those of the first provider that has billable usage; claude comes first."""
     from pyspark.sql import Window
