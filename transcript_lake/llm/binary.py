@@ -94,14 +94,14 @@ class Block:
         return self.ids(int(self.starts[k]), int(self.ends[k]))
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """The batches in slices of about SLICE_CHARS, with the texts; null texts are empty."""
+def slices(batches: Iterator[pa.RecordBatch], text: int, most: int = SLICE_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """The batches in slices of about `most` characters, with the texts; null texts are empty."""
     for batch in batches:
         texts = batch.column(text).to_pylist()
         lo, chars = 0, 0
         for hi, x in enumerate(texts, 1):
             chars += len(x or "")
-            if chars >= SLICE_CHARS or hi == len(texts):
+            if chars >= most or hi == len(texts):
                 yield batch.slice(lo, hi - lo), [x or "" for x in texts[lo:hi]]
                 lo, chars = hi, 0
 

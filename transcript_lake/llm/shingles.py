@@ -6,6 +6,10 @@ import numpy as np
 
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+
+#: Characters of text that are hashed at once; each takes some 60 bytes meanwhile.
+HASHED_CHARS = 1_000_000
+
 _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
