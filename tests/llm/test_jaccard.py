@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from transcript_lake.llm import jaccard
+from transcript_lake.llm import graph, jaccard
 from transcript_lake.llm.graph import components
 from transcript_lake.llm.shingles import shingle_sets, word_hashes
 
@@ -102,7 +102,9 @@ def test_hashes():
     assert [len(s) for s in shingle_sets(texts, 3)] == [2, 0, 3, 1, 1]
 
 
-def test_components_of_a_path_and_a_star(spark):
+@pytest.mark.parametrize("small", [0, 100_000])
+def test_components_of_a_path_and_a_star(spark, monkeypatch, small):
+    monkeypatch.setattr(graph, "SMALL_LINKS", small)
     links = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 130)] + [(500, 500)]
     rng = random.Random(1)
     rng.shuffle(links)

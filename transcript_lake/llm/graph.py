@@ -8,27 +8,35 @@ from pyspark.sql import functions as F
 from transcript_lake.llm.common import materialise
 
 
+#: Links up to which one task walks the rounds without shuffles; checked by a count.
+SMALL_LINKS = 100_000
+
+
 def _min_neighbour(pairs: DataFrame) -> DataFrame:
     """From (u, v): (u, v, m) with m the least of u and its v's. The minimum is summed up before the shuffle."""
     least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     return pairs.join(least, "u")
 
 
+def _is_open(edges: DataFrame) -> bool:
+    """Whether some node has two least neighbours, or hangs on one that hangs on another."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up > 0 and down > 0)").limit(1).count() > 0
+
+
 def components(links: DataFrame) -> DataFrame:
     """From links (a, b): (node, component), the least node that each node reaches; nodes without links are absent.
 
     Alternates large and small stars: neighbours are hung on the least one, first the larger ones, then the smaller,
-    until nothing changes; that takes about as many rounds as the logarithm of the longest path. Each round's edges are
-    written to the shared folder, and only a count and a checksum come to the driver."""
+    until each hangs on one that hangs on none; that takes about as many rounds as the logarithm of the longest path.
+    Each round's edges are written to the shared folder; only whether there is more to do comes to the driver."""
     edges = materialise(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    before = None
+    small = edges.count() <= SMALL_LINKS
     while True:
-        mark = edges.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first()
-        if tuple(mark) == before or mark[0] == 0:
+        edges = edges.coalesce(1) if small else edges
+        if not _is_open(edges):
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v")).distinct()
-        before = tuple(mark)
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _min_neighbour(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        down = large.where("u > v")
-        small = _min_neighbour(down)
-        edges = materialise(small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(small.select("u", F.col("m").alias("v"))).distinct(), "links")
+        large = _min_neighbour(edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = _min_neighbour(large.coalesce(1) if small else large)
+        hung = low.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v")))
+        edges = materialise((hung.coalesce(1) if small else hung).distinct(), "links")

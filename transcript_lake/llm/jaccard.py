@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from transcript_lake.llm.binary import slices
 from transcript_lake.llm.common import BROADCAST_ROWS, materialise, table
 from transcript_lake.llm.graph import components
-from transcript_lake.llm.shingles import PRIME, mix, shingle_sets
+from transcript_lake.llm.shingles import HASHED_CHARS, PRIME, mix, shingle_sets
 
 WORDS = 3
 SIMILARITY = (90, 100)
@@ -51,7 +51,7 @@ def sketch(docs: DataFrame, k: int) -> tuple[np.ndarray, int]:
     width = 1 << (SLOTS - PARTS)
 
     def occur(batches):
-        for _, texts in slices(batches, 0):
+        for _, texts in slices(batches, 0, HASHED_CHARS):
             sets = shingle_sets(texts, k)
             slot = np.sort(np.concatenate(sets) >> np.uint64(64 - SLOTS)).astype(np.uint32)
             cuts = np.searchsorted(slot, np.arange((1 << PARTS) + 1) * width)
@@ -150,7 +150,7 @@ def sketched_rows(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     def run(batches):
         raw, freq = shared.value
         signer = Signer(np.frombuffer(raw, np.uint8), freq, num, den)
-        for batch, texts in slices(batches, 1):
+        for batch, texts in slices(batches, 1, HASHED_CHARS):
             cols = [[], [], [], [], []]
             for s in shingle_sets(texts, k):
                 key = (int(np.bitwise_xor.reduce(mix(s ^ PRIME))) ^ int(s.sum())) if len(s) else 0
@@ -178,7 +178,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, num:
     left = materialise(both.select("a", "b", "na", "ma", "nb", "mb").mapInArrow(near, "a long, b long"), "near")
 
     def make(batches):
-        for batch, texts in slices(batches, 1):
+        for batch, texts in slices(batches, 1, HASHED_CHARS):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([short(s) for s in shingle_sets(texts, k)], pa.binary())], names=["rep", "hashes"])
 
     needed = materialise(left.select(F.col("a").alias("doc_id")).union(left.select("b")).distinct(), "needed")
@@ -226,8 +226,11 @@ def jaccard_classes(docs: DataFrame, k: int = WORDS, similarity: tuple[int, int]
     open_ = at.join(mixed, "sig")
     other = open_.select("sig", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("rare").alias("rare2"), F.col("component").alias("component2"))
     across = open_.join(other, "sig").where((F.col("component") < F.col("component2")) & sized("n", "n2"))
-    more = across.select(*pair("rep", "rep2")).distinct().join(stars, ["a", "b"], "left_anti")
-    every = components(links.union(verified(materialise(more, "across"), classes, docs, k, num, den)))
+    more = materialise(across.select(*pair("rep", "rep2")).distinct().join(stars, ["a", "b"], "left_anti"), "across")
+    every = first
+    if more.limit(1).count():
+        known = first.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        every = components(known.union(verified(more, classes, docs, k, num, den)))
 
     classed = rows.select("doc_id", "n", "key").join(reps, ["key", "n"], "left").join(every.withColumnRenamed("node", "rep"), "rep", "left")
     own = F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
