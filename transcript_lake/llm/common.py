@@ -46,6 +46,14 @@ def joined(left: DataFrame, right: DataFrame, key: str, how: str = "left", salts
     return salted.join(many, [key, "_salt"], how).drop("_salt")
 
 
+def hashed_sample(df: DataFrame, text: str, most: int) -> DataFrame:
+    """The distinct values of a text column whose hashes are the least, at most `most`. First the hashes alone find the
+    last one that belongs, then texts up to it are taken, so no task gathers the texts of many."""
+    key = F.md5(F.col(text))
+    last = df.where(F.col(text).isNotNull()).select(key.alias("_key")).distinct().orderBy("_key").limit(most).agg(F.max("_key")).first()[0]
+    return df.where(key <= F.lit(last)).select(F.col(text), key.alias("_key")).dropDuplicates(["_key"]).drop("_key")
+
+
 def running_start(df: DataFrame, order: list[Column], value: Column, name: str) -> DataFrame:
     """df with column name: the sum of value over all rows before, in the given order (ties: any order among equal keys).
     Ranges of the order are dealt to partitions; one total a partition is all that meets in one task."""

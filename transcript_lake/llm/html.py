@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from transcript_lake.llm.binary import slices
-from transcript_lake.llm.common import table
+from transcript_lake.llm.common import hashed_sample, table
 
 #: Weights are fitted on at most so many pages, those of the least hash among the ones that mark their main part.
 TRAIN_PAGES = 2_000
@@ -170,7 +170,7 @@ def extract(source: str, weights: Weights) -> str:
 
 def fit(pages: DataFrame, column: str = "html", most: int = TRAIN_PAGES) -> Weights:
     """Weights from at most `most` pages that mark their main part by an element, which is their label: those of the
-    least hash of the page. Tasks count; the driver gets the 2,000 most frequent features' sums."""
+    least hash, copies once. Tasks count; the driver gets the 2,000 most frequent features' sums."""
 
     def count(batches):
         inside, outside = Counter(), Counter()
@@ -182,7 +182,7 @@ def fit(pages: DataFrame, column: str = "html", most: int = TRAIN_PAGES) -> Weig
         names = list({*inside, *outside})
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([inside[x] for x in names], pa.int64()), pa.array([outside[x] for x in names], pa.int64())], names=["name", "inside", "outside"])
 
-    sample = pages.where(F.col(column).rlike("(?i)<(article|main)\\b")).select(F.col(column).alias("html")).orderBy(F.md5("html")).limit(most)
+    sample = hashed_sample(pages.where(F.col(column).rlike("(?i)<(article|main)\\b")), column, most)
     sums = sample.repartition(16).mapInArrow(count, "name string, inside long, outside long").groupBy("name").agg(F.sum("inside").alias("i"), F.sum("outside").alias("o"))
     rows = sums.orderBy(F.desc(F.col("i") + F.col("o")), "name").limit(2_000).collect()
     return Weights({r.name: r.i for r in rows}, {r.name: r.o for r in rows})

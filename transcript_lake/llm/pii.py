@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from transcript_lake.llm.binary import slices
-from transcript_lake.llm.common import table
+from transcript_lake.llm.common import hashed_sample, table
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
@@ -218,7 +218,7 @@ def suspicious(text: str) -> bool:
 
 
 def fit(docs: DataFrame, text: str = "text", texts: int = TRAIN_TEXTS) -> Field:
-    """The field, from at most `texts` texts with a digit or an @: those of the least hash of the text. Tasks count; the
+    """The field, from at most `texts` texts with a digit or an @: those of the least hash, copies once. Tasks count; the
     driver gets the sums, whose number is bounded by the traits."""
     n = len(LABELS)
 
@@ -237,7 +237,7 @@ def fit(docs: DataFrame, text: str = "text", texts: int = TRAIN_TEXTS) -> Field:
                     sums.setdefault(f"{name} {LABELS[g.label[a]]}", np.zeros(n, np.int64))[g.label[b]] += 1
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([x.tolist() for x in sums.values()], pa.list_(pa.int64()))], names=["name", "counts"])
 
-    sample = docs.where(F.col(text).rlike("[0-9@]")).select(F.col(text).alias("text")).orderBy(F.md5("text")).limit(texts)
+    sample = hashed_sample(docs.where(F.col(text).rlike("[0-9@]")), text, texts)
     found = sample.repartition(16).mapInArrow(count, "name string, counts array<long>")
     sums = found.groupBy("name").agg(F.array(*[F.sum(F.col("counts")[k]) for k in range(n)]).alias("counts")).collect()
     return Field({r.name: list(r.counts) for r in sums})
