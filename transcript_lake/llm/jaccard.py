@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from transcript_lake.llm.binary import slices
@@ -84,13 +84,13 @@ class Signer:
         self.width = np.log(den / num) * 1.001
 
     def sign(self, s: np.ndarray) -> tuple[np.ndarray, int]:
-        """The signatures of a set of hashes, and how many of its shingles are rare."""
+        """The signatures of a set of hashes (even: a rare shingle, odd: a pair of frequent ones), and how many of its shingles are rare."""
         n = len(s)
         lev = self.levels[s >> np.uint64(64 - SLOTS)]
         s = s[np.lexsort((s, lev))]
         rare = int((lev < self.frequent).sum())
         need = n - -(-self.num * n // self.den) + 1
-        out = [s[: min(rare, need)]]
+        out = [s[: min(rare, need)] & ~np.uint64(1)]
         if rare < need:
             own = int(np.log(n) / self.width)
             for band in (own, own + 1):
@@ -109,7 +109,7 @@ class Signer:
                     if not len(same):
                         break
                     a, b = rest[same], rest[same + gap]
-                    out.append(mix((np.minimum(a, b) * PRIME ^ np.maximum(a, b)) + np.uint64(band + 1)))
+                    out.append(mix((np.minimum(a, b) * PRIME ^ np.maximum(a, b)) + np.uint64(band + 1)) | np.uint64(1))
         return np.concatenate(out), rare
 
     def bitmap(self, s: np.ndarray) -> bytes:
@@ -213,11 +213,18 @@ def jaccard_classes(docs: DataFrame, k: int = WORDS, similarity: tuple[int, int]
     classes = materialise(rows.where("n > 0").join(reps.withColumnRenamed("rep", "doc_id"), ["doc_id", "key", "n"], "left_semi").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "rep"), "signed-classes")
 
     signed = classes.select(F.explode("sigs").alias("sig"), "rep", "n", "rare")
-    hot = materialise(signed.groupBy("sig").agg(F.count("*").alias("sets"), F.min(F.struct("rare", "rep", "n")).alias("pivot")).where("sets > 1").select("sig", F.col("pivot.rep").alias("pivot"), F.col("pivot.n").alias("pivot_n")), "hot")
+    hot = materialise(signed.groupBy("sig").agg(F.count("*").alias("sets"), F.min(F.struct("rare", "rep", "n")).alias("pivot")).where("sets > 1").select("sig", F.col("pivot.rep").alias("pivot"), F.col("pivot.n").alias("pivot_n"), F.col("pivot.rare").alias("pivot_rare")), "hot")
     buckets = materialise(signed.join(hot, "sig"), "buckets")
-    sized = lambda x, y: F.least(F.col(x), F.col(y)) * den >= F.greatest(F.col(x), F.col(y)) * num
+
+    def sized(n1: str, r1: str, n2: str, r2: str) -> Column:
+        """Whether sets of a signature can be similar by their sizes. A set with a pair of frequent shingles among its signatures
+        has all its rare ones there too, so two such sets either meet by a rare one as well, or share none of the rare."""
+        a, b = F.col(n1), F.col(n2)
+        shared = F.when(F.col("sig").bitwiseAND(1) == 0, F.least(a, b)).otherwise(F.least(a - F.col(r1), b - F.col(r2)))
+        return shared * den >= (a + b - shared) * num
+
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    stars = materialise(buckets.where((F.col("rep") != F.col("pivot")) & sized("n", "pivot_n")).select(*pair("rep", "pivot")).distinct(), "stars")
+    stars = materialise(buckets.where((F.col("rep") != F.col("pivot")) & sized("n", "rare", "pivot_n", "pivot_rare")).select(*pair("rep", "pivot")).distinct(), "stars")
     links = verified(stars, classes, docs, k, num, den)
 
     first = components(links)
@@ -225,7 +232,7 @@ def jaccard_classes(docs: DataFrame, k: int = WORDS, similarity: tuple[int, int]
     mixed = at.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("sig")
     open_ = at.join(mixed, "sig")
     other = open_.select("sig", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("rare").alias("rare2"), F.col("component").alias("component2"))
-    across = open_.join(other, "sig").where((F.col("component") < F.col("component2")) & sized("n", "n2"))
+    across = open_.join(other, "sig").where((F.col("component") < F.col("component2")) & sized("n", "rare", "n2", "rare2"))
     more = materialise(across.select(*pair("rep", "rep2")).distinct().join(stars, ["a", "b"], "left_anti"), "across")
     every = first
     if more.limit(1).count():
