@@ -125,3 +125,22 @@ def test_held_out_pages(spark):
         found += len(got)
         good += sum((Counter(want) & Counter(got)).values())
     assert good / found > 0.95 and good / words > 0.95
+
+
+def test_nothing_of_the_main_part_is_dropped():
+    weights = html.Weights({"word p": 900, "tag p": 90, "tag article": 9, "tag h1": 9}, {"word a": 900, "tag a": 900, "tag div": 90})
+    long = "A paragraph of the text that is quite long so that it counts."
+    a, b = f"<article><p>{long} One.</p><p>{long}</p></article>", "<article><p>Second.</p></article>"
+    both = f"{long} One.\n\n{long}\n\nSecond."
+    cases = {
+        f"<nav><a>x</a></nav><main><h1>T</h1><p>lead</p>{a}</main>": f"T\n\nlead\n\n{long} One.\n\n{long}",
+        f"<main>{a}{b}</main>": both,
+        f"<body><nav><a>x</a></nav>{a}<div><a>more</a></div>{b}</body>": both,
+        f"<article><p>Before.</p><div class='main-content'><p>{long}</p><p>{long}</p></div><p>After.</p></article>": f"Before.\n\n{long}\n\n{long}\n\nAfter.",
+        f"<div class='page no-sidebar with-comments'>{a}</div>": f"{long} One.\n\n{long}",
+        f"<article><div class='entry-header'><h1>T</h1></div><p>{long}</p></article>": f"T\n\n{long}",
+        f"<form class='search'>{a}</form>": f"{long} One.\n\n{long}",
+        f"<article><p>{long}</p><div class='related'><p>Other.</p></div><div class='cookie-notice'><p>Agree?</p></div></article>": long,
+    }
+    for source, want in cases.items():
+        assert html.extract(source, weights) == want, source

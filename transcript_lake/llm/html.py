@@ -6,6 +6,7 @@ import html
 import math
 import re
 from collections import Counter
+from collections.abc import Iterable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -36,16 +37,20 @@ PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Page:
-    """A page as a row of tokens: tags and texts, each text with its block, the main element around it, and whether it stands beside the article."""
+    """A page as a row of tokens: tags and texts, each text with its block, the outermost main element around it, and whether it stands
+    beside the article. What holds all article and main elements of the page stands beside none, unless its name says so."""
 
     def __init__(self, source: str) -> None:
         self.tokens: list[tuple[str, str]] = []  # (feature, text); tags have no text
         self.block: list[int] = []
         self.main: list[int] = []
-        self.beside: list[bool] = []
         self.broken: list[bool] = []  # white space stands for a tag before this text
-        stack: list[tuple[str, bool, bool]] = []  # name, beside, main
+        self.parent: list[int] = []  # of each main element, the number of the element around it
+        stack: list[tuple[str, bool, bool, int]] = []  # name, beside, main, number
         block, mains, where = 0, 0, []
+        around_it: list[tuple[int, ...]] = []  # of each token, the elements around it that are beside
+        marked, holds, named = 0, Counter(), set()
+        number = 0
         gap = False
         for m in TOKEN.finditer(source):
             name = m["name"]
@@ -53,7 +58,8 @@ class Page:
                 continue
             if name is None:
                 around = next((s[0] for s in reversed(stack) if s[0] in ("a", "li", "p", "td", "h1", "h2", "h3", "label")), "")
-                self.put(f"word {around}", m["text"], block, where[-1] if where else -1, any(s[1] for s in stack), gap)
+                self.put(f"word {around}", m["text"], block, where[0] if where else -1, gap)
+                around_it.append(tuple(s[3] for s in stack if s[1]))
                 gap = False
                 continue
             name = name.lower()
@@ -68,28 +74,39 @@ class Page:
                             where.pop()
                         if top[0] == name:
                             break
-                self.put(f"tag /{name}", "", block, where[-1] if where else -1, any(s[1] for s in stack), False)
+                self.put(f"tag /{name}", "", block, where[0] if where else -1, False)
+                around_it.append(tuple(s[3] for s in stack if s[1]))
                 continue
-            words = {w.lower() for a in NAMED.finditer(m["rest"] or "") for w in PARTS.findall(a[1] or a[2] or a[3] or "")}
-            main = name in MAIN or "main" in words
-            aside = name in ASIDE or (name == "header" and not where) or bool(words & BESIDE and name not in ("html", "body", "article", "main"))
+            named_by = [[w.lower() for w in PARTS.findall(x)] for a in NAMED.finditer(m["rest"] or "") for x in (a[1] or a[2] or a[3] or "").split()]
+            words = {w for x in named_by for w in x}
+            called = name not in ("html", "body", "article", "main") and any(x and BESIDE.issuperset(x) for x in named_by)
+            main = name in MAIN or ("main" in words and name not in ("html", "body") and not words & BESIDE)
+            aside = name in ASIDE or (name == "header" and not where) or called
+            number += 1
             if name == "p" or name == "li":
                 while stack and stack[-1][0] in ("b", "i", "em", "strong", "span", "font", "u", "a"):
                     stack.pop()
                 if stack and stack[-1][0] == name:
                     stack.pop()
             if name not in VOID and not (m["rest"] or "").endswith("/"):
-                stack.append((name, aside, main))
+                if name in MAIN:
+                    marked += 1
+                    holds.update(s[3] for s in stack)
+                if aside and name in ASIDE - {"form"}:
+                    named.add(number)
                 if main:
                     where.append(mains)
+                    self.parent.append(stack[-1][3] if stack else 0)
                     mains += 1
-            self.put(f"tag {name}" + "".join(f".{w}" for w in sorted(words)[:1]), "", block, where[-1] if where else -1, any(s[1] for s in stack), False)
+                stack.append((name, aside, main, number))
+            self.put(f"tag {name}" + "".join(f".{w}" for w in sorted(words)[:1]), "", block, where[0] if where else -1, False)
+            around_it.append(tuple(s[3] for s in stack if s[1]))
+        self.beside = [any(x in named or not marked or holds[x] < marked for x in found) for found in around_it]
 
-    def put(self, feature: str, text: str, block: int, main: int, beside: bool, gap: bool) -> None:
+    def put(self, feature: str, text: str, block: int, main: int, gap: bool) -> None:
         self.tokens.append((feature, text))
         self.block.append(block)
         self.main.append(main)
-        self.beside.append(beside)
         self.broken.append(gap)
 
 
@@ -131,10 +148,10 @@ def region(page: Page, weights: Weights) -> tuple[int, int]:
     return at
 
 
-def blocks(page: Page, lo: int, hi: int) -> list[str]:
-    """The texts of tokens lo to hi, one a block: references decoded, white space made one blank, what stands beside the article left out."""
+def blocks(page: Page, tokens: Iterable[int]) -> list[str]:
+    """The texts of tokens, one a block: references decoded, white space made one blank, what stands beside the article left out."""
     out, last, parts = [], None, []
-    for k in range(lo, hi):
+    for k in tokens:
         feature, text = page.tokens[k]
         if not feature.startswith("word") or page.beside[k]:
             continue
@@ -147,25 +164,26 @@ def blocks(page: Page, lo: int, hi: int) -> list[str]:
 
 
 def extract(source: str, weights: Weights) -> str:
-    """The page's main text. The best part is widened to the whole of the main element that holds most of its words,
-    or, where the page marks none, to the whole of the blocks that it touches."""
+    """The page's main text. The best part is widened to the whole of the outermost main element that holds most of its words and of
+    those beside it in the same element, or, where the page marks none, to the whole of the blocks that it touches."""
     page = Page(source)
     lo, hi = region(page, weights)
     held = Counter()
     for k in range(lo, hi):
         held[page.main[k]] += len(page.tokens[k][1].split())
+    tokens: Iterable[int] = range(lo, hi)
     if hi > lo and held:
         top = held.most_common(1)[0][0]
         if top >= 0:
-            here = [k for k, x in enumerate(page.main) if x == top]
-            lo, hi = min(here), max(here) + 1
+            tokens = [k for k, x in enumerate(page.main) if x >= 0 and (x in held or page.parent[x] == page.parent[top])]
         else:
             first, last = page.block[lo], page.block[hi - 1]
             while lo > 0 and page.block[lo - 1] == first:
                 lo -= 1
             while hi < len(page.tokens) and page.block[hi] == last:
                 hi += 1
-    return "\n\n".join(blocks(page, lo, hi))
+            tokens = range(lo, hi)
+    return "\n\n".join(blocks(page, tokens))
 
 
 def fit(pages: DataFrame, column: str = "html", most: int = TRAIN_PAGES) -> Weights:
