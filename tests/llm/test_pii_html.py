@@ -59,6 +59,17 @@ def test_distant_mentions_take_the_label(spark):
     assert [text[a:b] for _, a, b in added] == ["kim.lee77"]
 
 
+def test_all_mentions_take_the_label_however_many(spark):
+    train = spark.createDataFrame([(f"call +1 (743) 555-{i:04d} or mail x{i}.y@mail.example.com from 10.0.{i % 250}.7 in {1900 + i} now", i) for i in range(300)], "text string, i long")
+    field = pii.fit(train)
+    mentions = ["then kimlee77 answered at length and left. " + "word " * 30] * 50
+    for place in (0, 25, 50):
+        text = "".join([*mentions[:place], "write to kimlee77@mail.example.com today. ", *mentions[place:]])
+        (base, added), = pii.find([text], field)
+        assert [k for k, _, _ in base] == ["email"]
+        assert [text[a:b] for _, a, b in added] == ["kimlee77"] * 50, place
+
+
 def test_messages_on_a_tree_are_exact():
     g = pii.Graph()
     g.add(0, "aa 12 bb 3.4 cc", [])

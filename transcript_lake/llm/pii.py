@@ -26,7 +26,8 @@ MIN_PROBABILITY = 0.9
 TRAIT_WEIGHT = 0.5
 CHECKS = ("sum", "parts")
 
-ROUNDS = 12
+#: Messages are sent until none changes by more than SETTLED; ROUNDS ends the rare ones that never settle.
+ROUNDS, SETTLED = 1_000, 1e-3
 DAMPING = 0.5
 
 #: Words beside a suspicious one that are nodes too.
@@ -106,11 +107,13 @@ class Graph:
     """The nodes of many documents: suspicious words, words like them, and their neighbours.
 
     All other words are fixed as other: they have no digit and no @, are like no word that has, and touch none.
-    Edges join neighbours in the text and, however distant, each two occurrences of like words that follow one another."""
+    Edges join neighbours in the text and, however distant, like words: each occurrence with the first one that a pattern gives a kind
+    (once for each kind), so that the kind reaches all alike, or, where no pattern gives one, each two that follow one another.
+    skip has those that follow one another, which the field is fitted on; like, those that labels take."""
 
     def __init__(self) -> None:
         self.doc, self.start, self.end, self.words, self.traits, self.label = [], [], [], [], [], []
-        self.chain, self.skip = [], []
+        self.chain, self.skip, self.like = [], [], []
 
     def add(self, number: int, text: str, spans: list[tuple[str, int, int]]) -> None:
         words = [(m.start(), m.end()) for m in WORDS.finditer(text)]
@@ -120,6 +123,7 @@ class Graph:
         chosen = sorted({j for k in {*suspect, *like} for j in range(max(0, k - CONTEXT), min(len(words), k + CONTEXT + 1))})
         covered, at = sorted(spans, key=lambda s: s[1]), 0
         last: dict[str, int] = {}
+        alike: dict[str, list[int]] = {}
         previous = None
         for j in chosen:
             lo, hi = words[j]
@@ -141,6 +145,16 @@ class Graph:
                 if name in last:
                     self.skip.append((last[name], node))
                 last[name] = node
+                alike.setdefault(name, []).append(node)
+        for nodes in alike.values():
+            first: dict[int, int] = {}
+            for node in nodes:
+                if self.label[node]:
+                    first.setdefault(self.label[node], node)
+            if first:
+                self.like += [(f, node) for f in first.values() for node in nodes if not self.label[node]]
+            else:
+                self.like += zip(nodes[:-1], nodes[1:], strict=True)
 
 
 class Field:
@@ -173,10 +187,10 @@ class Field:
         label = np.array(g.label)
         unary[label > 0] = -30.0
         unary[label > 0, label[label > 0]] = 0.0
-        edges = np.array(g.chain + g.skip, np.int64).reshape(-1, 2)
+        edges = np.array(g.chain + g.like, np.int64).reshape(-1, 2)
         if not len(edges):
             return normal(unary)
-        pots = np.concatenate([np.broadcast_to(self.chain, (len(g.chain), k, k)), np.broadcast_to(self.skip, (len(g.skip), k, k))])
+        pots = np.concatenate([np.broadcast_to(self.chain, (len(g.chain), k, k)), np.broadcast_to(self.skip, (len(g.like), k, k))])
         src, dst = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
         pots = np.concatenate([pots, pots.transpose(0, 2, 1)])
         back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
@@ -186,7 +200,10 @@ class Field:
             x = (belief[src] - messages[back])[:, :, None] + pots
             top = x.max(1, keepdims=True)
             new = np.log(np.exp(x - top).sum(1)) + top[:, 0]
-            messages = DAMPING * messages + (1 - DAMPING) * (new - new.max(1, keepdims=True))
+            new = DAMPING * messages + (1 - DAMPING) * (new - new.max(1, keepdims=True))
+            change, messages = np.abs(new - messages).max(), new
+            if change <= SETTLED:
+                break
         return normal(unary + np.stack([np.bincount(dst, messages[:, y], n) for y in range(k)], 1))
 
 
