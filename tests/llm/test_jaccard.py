@@ -73,7 +73,7 @@ def test_signatures_meet():
     rng = np.random.default_rng(2)
     for trial in range(400):
         n = int(rng.integers(2, 300))
-        levels = rng.integers(0, 40, 1 << jaccard.SLOTS, dtype=np.uint8) if trial < 2 else levels  # noqa: F821
+        levels = rng.integers(0, 40, 1 << 22, dtype=np.uint8) if trial < 2 else levels  # noqa: F821
         signer = jaccard.Signer(levels, (0, 20, 41)[trial % 3], 90, 100)
         x = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
         drop = int(rng.integers(0, len(x) - -(-9 * len(x) // 10) + 1))
@@ -85,7 +85,7 @@ def test_signatures_meet():
 
 def test_bitmap_never_loses():
     rng = np.random.default_rng(4)
-    signer = jaccard.Signer(np.zeros(1 << jaccard.SLOTS, np.uint8), 1, 90, 100)
+    signer = jaccard.Signer(np.zeros(1 << 22, np.uint8), 1, 90, 100)
     for _ in range(200):
         x = np.unique(rng.integers(0, 1 << 63, int(rng.integers(1, 700)), dtype=np.uint64))
         y = x[rng.random(len(x)) < 0.9]
@@ -93,6 +93,31 @@ def test_bitmap_never_loses():
             assert jaccard.close(signer.bitmap(x), signer.bitmap(y), len(x) - len(y))
 
 
+def test_words_of_algebraic_likeness_stay_apart(spark):
+    """Thue and Morse's words, whose polynomials agree modulo 2**64 for any odd base, and words that differ far inside."""
+    bit = [bin(i).count("1") % 2 for i in range(8192)]
+    rows = [(1, "".join("ab"[x] for x in bit)), (2, "".join("ba"[x] for x in bit)), (3, "".join("ab"[x] for x in bit[:250])), (4, "".join("ba"[x] for x in bit[:250]))]
+    got = dict(map(tuple, jaccard.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "component_id").collect()))
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4}
+    texts = ["a" * n + x for n in (0, 3, 7, 8, 15, 16, 300) for x in "bc"] + ["A" * 300 + "B"]
+    hashes = word_hashes(texts)[0].tolist()
+    assert len(set(hashes)) == len(texts) - 1 and hashes[-1] == hashes[-3]
+
+
+def test_rows_of_one_id_keep_the_links_of_both(spark):
+    w = [f"w{i}" for i in range(40)]
+    rows = [(5, " ".join(w)), (5, "another text altogether here"), (7, "another text altogether here"), (9, " ".join([*w, "x"])), (3, "alone here it is")]
+    got = sorted(map(tuple, jaccard.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "component_id").collect()))
+    assert got == [(3, 3), (5, 5), (5, 5), (7, 5), (9, 5)]
+
+
+def test_bitmap_of_signatures_keeps_all_shared(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, 9, 1, [int(x) for x in rng.integers(-(2**62), 2**62, 50)] + [i // 3 << 40]) for i in range(300)]
+    got = jaccard.signatures(spark.createDataFrame(rows, "node long, n long, rare long, sigs array<long>").repartition(5)).collect()
+    assert {(r.node, r.sig) for r in got} >= {(i, i // 3 << 40) for i in range(300)} and len(got) < 5000
+
+
 def test_hashes():
     texts = ["A b  c\nd", "", "a B c d e", " é日 é日 ", "x"]
     words, first, starts, ends = word_hashes(texts)

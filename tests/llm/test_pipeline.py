@@ -44,3 +44,11 @@ def test_stages(spark, tmp_path):
     assert set(kept["packing"]) == set(kept["mixing"])
     assert corpus_pipeline.STAGES[1][1](spark, docs.union(docs.limit(3)), None).count() == corpus_pipeline.STAGES[1][1](spark, docs, None).count()
     assert all(stage(spark, docs.limit(0), None).count() == 0 for _, stage in corpus_pipeline.STAGES)
+
+
+def test_rows_that_share_an_id(spark):
+    w = [f"w{i}" for i in range(60)]
+    rows = [(5, " ".join(w)), (5, "clean words of another kind stand in this one text here"), (5, " ".join(w)), (9, " ".join([*w, "x"])), (None, " ".join(w)), (7, None), (7, None)]
+    docs = spark.createDataFrame([(i, x, "mark", 1) for i, x in rows], "doc_id long, text string, kept_id string, component long")
+    got = sorted(map(repr, map(tuple, corpus_pipeline.keep_one_of_near(spark, docs, None).select("doc_id", "text").collect())))
+    assert got == sorted(map(repr, [rows[0], rows[1], rows[4], rows[5], rows[6]]))

@@ -6,13 +6,14 @@
    rare shingles count one each; frequent ones are dealt to classes by hash, and a class with c of them counts c - 1.
    Then two similar sets share a rare shingle, or a pair of frequent ones of one class, in their prefixes.
    How many classes there are follows from the set's size, by bands that similar sets share or have side by side.
-3. Sets that share such a signature are candidates. Each is compared with one pivot of the signature, the one with the
+3. A bitmap of signatures that more than one set has drops the others before they leave their task. Sets that share a
+   signature are candidates. Each is compared with one pivot of the signature, the one with the
    fewest rare shingles; links make components; then, where a signature's sets still lie in different components, the
    pairs across components are compared. So a group of near copies costs about one comparison a member, and no link
    between components is lost.
 4. Candidates pass a parity bitmap (whose difference never exceeds the sets' own), then the sets themselves are compared.
 
-Equal sets are one class from the start, represented by their least doc_id.
+Equal sets (by 128 bits of their hashes) are one class from the start.
 """
 
 from __future__ import annotations
@@ -23,15 +24,24 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from transcript_lake.llm.binary import slices
-from transcript_lake.llm.common import BROADCAST_ROWS, materialise, table
+from transcript_lake.llm.common import discard, materialise, table
 from transcript_lake.llm.graph import components
-from transcript_lake.llm.shingles import HASHED_CHARS, PRIME, mix, shingle_sets
+from transcript_lake.llm.shingles import HASHED_CHARS, PRIME, digest, mix, shingle_sets
 
 WORDS = 3
 SIMILARITY = (90, 100)
 
-#: The sketch: one byte for each of 2**SLOTS slots, dealt in 2**PARTS parts; it is all that is broadcast.
-SLOTS, PARTS = 25, 8
+#: The sketch: one byte a slot, as many slots as a quarter of the shingles, from 2**LEAST to 2**MOST; it is broadcast.
+LEAST, MOST = 20, 27
+
+#: The bitmap of shared signatures: eight bits a signature, up to 2**MOST_BITS in all; it is broadcast.
+MOST_BITS = 30
+
+#: When they are counted, both are dealt in parts of 2**PART slots.
+PART = 20
+
+#: Up to so many ids (8 bytes each) are broadcast; checked by a count.
+BROADCAST_IDS = 1_000_000
 
 #: Shingles in so many rows, and in four times the mean of a slot, are frequent.
 FREQUENT = 32
@@ -45,19 +55,31 @@ def level(counts: np.ndarray) -> np.ndarray:
     return np.minimum(255, np.floor(4 * np.log2(np.maximum(counts, 1)))).astype(np.uint8)
 
 
+def slots_for(n: int, least: int, most: int) -> int:
+    """Bits of a slot's number for about n slots."""
+    return min(most, max(least, n.bit_length()))
+
+
+def dealt(slot: np.ndarray, bits: int) -> pa.RecordBatch:
+    """Sorted slots of 2**bits, by part, each part as the differences of its slots."""
+    width = 1 << PART
+    cuts = np.searchsorted(slot, np.arange((1 << bits - PART) + 1) * width)
+    blobs = [np.diff(slot[lo:hi], prepend=np.uint32(p * width)).astype("<u4").tobytes() for p, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
+    rows = [(p, x) for p, x in enumerate(blobs) if x]
+    return pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["part", "slots"])
+
+
 def sketch(docs: DataFrame, k: int) -> tuple[np.ndarray, int]:
     """The level of each slot, and the one from which shingles are frequent. Slots that occur in a slice of text are sent
     to their part's task, which adds them up as they come; the driver gets one byte a slot."""
-    width = 1 << (SLOTS - PARTS)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = slots_for(size // 6 // 4, LEAST, MOST)  # a word and its blank are about six bytes
+    width = 1 << PART
 
     def occur(batches):
         for _, texts in slices(batches, 0, HASHED_CHARS):
             sets = shingle_sets(texts, k)
-            slot = np.sort(np.concatenate(sets) >> np.uint64(64 - SLOTS)).astype(np.uint32)
-            cuts = np.searchsorted(slot, np.arange((1 << PARTS) + 1) * width)
-            blobs = [np.diff(slot[lo:hi], prepend=np.uint32(p * width)).astype("<u4").tobytes() for p, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
-            rows = [(p, x) for p, x in enumerate(blobs) if x]
-            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["part", "slots"])
+            yield dealt(np.sort(np.concatenate(sets) >> np.uint64(64 - bits)).astype(np.uint32), bits)
 
     def add(batches):
         counts: dict[int, np.ndarray] = {}
@@ -68,12 +90,61 @@ def sketch(docs: DataFrame, k: int) -> tuple[np.ndarray, int]:
         if counts:
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int32()), pa.array([level(x).tobytes() for x in counts.values()], pa.binary()), pa.array([int(x.sum()) for x in counts.values()], pa.int64())], names=["part", "levels", "total"])
 
-    found = docs.select("text").mapInArrow(occur, "part int, slots binary").repartition(1 << PARTS, "part").mapInArrow(add, "part int, levels binary, total long")
-    out, total = np.zeros(1 << SLOTS, np.uint8), 0
+    found = docs.select("text").mapInArrow(occur, "part int, slots binary").repartition(1 << bits - PART, "part").mapInArrow(add, "part int, levels binary, total long")
+    out, total = np.zeros(1 << bits, np.uint8), 0
     for p, x, n in found.toLocalIterator():
         out[p * width : (p + 1) * width] = np.frombuffer(x, np.uint8)
         total += n
-    return out, int(level(np.array([max(FREQUENT, 4 * total >> SLOTS)]))[0])
+    return out, int(level(np.array([max(FREQUENT, 4 * total >> bits)]))[0])
+
+
+def shared_bits(classes: DataFrame) -> tuple[bytes, int]:
+    """A bitmap, and the bits of its slots' numbers, of the slots in which more than one signature of all sets lies."""
+    n = classes.agg(F.sum(F.size("sigs"))).first()[0] or 0
+    bits = slots_for(8 * n, LEAST, MOST_BITS)
+    width = 1 << PART
+
+    def occur(batches):
+        for batch in batches:
+            sigs = batch.column(0).flatten().to_numpy().view(np.uint64)
+            for lo in range(0, len(sigs), HASHED_CHARS):
+                yield dealt(np.sort(sigs[lo : lo + HASHED_CHARS] >> np.uint64(64 - bits)).astype(np.uint32), bits)
+
+    def add(batches):
+        found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            for p, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                once, twice = found.setdefault(p, (np.zeros(width, bool), np.zeros(width, bool)))
+                steps = np.frombuffer(x, "<u4")
+                slot = np.cumsum(steps)
+                twice[slot[once[slot]]] = True
+                twice[slot[1:][steps[1:] == 0]] = True
+                once[slot] = True
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([np.packbits(x).tobytes() for _, x in found.values()], pa.binary())], names=["part", "bits"])
+
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for p, x in classes.select("sigs").mapInArrow(occur, "part int, slots binary").repartition(1 << bits - PART, "part").mapInArrow(add, "part int, bits binary").toLocalIterator():
+        out[p * (width >> 3) : (p + 1) * (width >> 3)] = np.frombuffer(x, np.uint8)
+    return out.tobytes(), bits
+
+
+def signatures(classes: DataFrame) -> DataFrame:
+    """(sig, node, n, rare): the signatures of each set that another one may have too."""
+    shared = classes.sparkSession.sparkContext.broadcast(shared_bits(classes))
+
+    def run(batches):
+        raw, bits = shared.value
+        bitmap = np.frombuffer(raw, np.uint8)
+        for batch in batches:
+            lists = batch.column(3)
+            sigs, sizes = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+            slot = sigs.view(np.uint64) >> np.uint64(64 - bits)
+            keep = np.flatnonzero(bitmap[(slot >> np.uint64(3)).astype(np.int64)] >> (7 - (slot & np.uint64(7)).astype(np.uint8)) & 1)
+            row = np.repeat(np.arange(len(sizes)), sizes)[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(sigs[keep]), *[pa.array(batch.column(j).to_numpy()[row]) for j in range(3)]], names=["sig", "node", "n", "rare"])
+
+    return classes.select("node", "n", "rare", "sigs").mapInArrow(run, "sig long, node long, n long, rare long")
 
 
 class Signer:
@@ -82,11 +153,12 @@ class Signer:
     def __init__(self, levels: np.ndarray, frequent: int, num: int, den: int) -> None:
         self.levels, self.frequent, self.num, self.den = levels, frequent, num, den
         self.width = np.log(den / num) * 1.001
+        self.shift = np.uint64(64 - (len(levels) - 1).bit_length())
 
     def sign(self, s: np.ndarray) -> tuple[np.ndarray, int]:
         """The signatures of a set of hashes (even: a rare shingle, odd: a pair of frequent ones), and how many of its shingles are rare."""
         n = len(s)
-        lev = self.levels[s >> np.uint64(64 - SLOTS)]
+        lev = self.levels[s >> self.shift]
         s = s[np.lexsort((s, lev))]
         rare = int((lev < self.frequent).sum())
         need = n - -(-self.num * n // self.den) + 1
@@ -143,29 +215,28 @@ def wide(x: bytes) -> np.ndarray:
 
 
 def sketched_rows(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Per row of docs: doc_id, n (size of its set), the set's key, rare, bitmap and signatures (null where n is 0)."""
+    """Per row of docs: doc_id, mark (of its text), n (size of its set), the set's key, rare, bitmap and signatures (null where n is 0)."""
     levels, frequent = sketch(docs, k)
     shared = docs.sparkSession.sparkContext.broadcast((levels.tobytes(), frequent))
 
     def run(batches):
         raw, freq = shared.value
         signer = Signer(np.frombuffer(raw, np.uint8), freq, num, den)
-        for batch, texts in slices(batches, 1, HASHED_CHARS):
+        for batch, texts in slices(batches, 2, HASHED_CHARS):
             cols = [[], [], [], [], []]
             for s in shingle_sets(texts, k):
-                key = (int(np.bitwise_xor.reduce(mix(s ^ PRIME))) ^ int(s.sum())) if len(s) else 0
                 sigs, rare = signer.sign(s) if len(s) else (None, None)
-                for col, x in zip(cols, (len(s), np.uint64(key).astype(np.int64), rare, signer.bitmap(s) if len(s) else None, None if sigs is None else sigs.view(np.int64)), strict=True):
+                for col, x in zip(cols, (len(s), digest(s) if len(s) else None, rare, signer.bitmap(s) if len(s) else None, None if sigs is None else sigs.view(np.int64)), strict=True):
                     col.append(x)
-            arrays = [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["doc_id", "n", "key", "rare", "bitmap", "sigs"])
+            arrays = [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int64())), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names=["doc_id", "mark", "n", "key", "rare", "bitmap", "sigs"])
 
-    return materialise(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, key long, rare long, bitmap binary, sigs array<long>"), "signed")
+    return materialise(docs.select("doc_id", "mark", "text").mapInArrow(run, "doc_id long, mark long, n long, key binary, rare long, bitmap binary, sigs array<long>"), "signed")
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Of pairs (a, b) of classes, those that are similar; by bitmaps first, then by the sets, which are made again from the classes' texts."""
-    ends = classes.select("rep", "n", "bitmap")
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, num: int, den: int, salt: int) -> DataFrame:
+    """Of pairs (a, b) of nodes, those that are similar; by bitmaps first, then by the sets, which are made again from the classes' texts."""
+    ends = classes.select("node", "n", "bitmap")
 
     def near(batches):
         for batch in batches:
@@ -174,17 +245,18 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, num:
             keep = [close(x, y, m) for x, y, m in zip(batch.column(3).to_pylist(), batch.column(5).to_pylist(), most.tolist(), strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
-    both = pairs.join(ends.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("bitmap").alias("ma")), "a").join(ends.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("bitmap").alias("mb")), "b")
+    both = pairs.join(ends.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bitmap").alias("ma")), "a").join(ends.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bitmap").alias("mb")), "b")
     left = materialise(both.select("a", "b", "na", "ma", "nb", "mb").mapInArrow(near, "a long, b long"), "near")
 
     def make(batches):
-        for batch, texts in slices(batches, 1, HASHED_CHARS):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([short(s) for s in shingle_sets(texts, k)], pa.binary())], names=["rep", "hashes"])
+        for batch, texts in slices(batches, 0, HASHED_CHARS):
+            sets = shingle_sets(texts, k)
+            yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([short(s) for s in sets], pa.binary())], names=["key", "n", "hashes"])
 
-    needed = materialise(left.select(F.col("a").alias("doc_id")).union(left.select("b")).distinct(), "needed")
-    if needed.count() <= BROADCAST_ROWS:
-        needed = F.broadcast(needed)
-    sets = materialise(docs.select("doc_id", "text").join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(make, "rep long, hashes binary"), "sets")
+    needed = materialise(classes.join(left.select(F.col("a").alias("node")).union(left.select("b")).distinct(), "node", "left_semi").select("rep").distinct(), "needed")
+    few = F.broadcast(needed) if needed.count() <= BROADCAST_IDS else needed
+    # a text of another set under the same doc_id is made too, and finds no pair
+    sets = materialise(docs.select("doc_id", "text").join(few, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi").select("text").mapInArrow(make, "key binary, n long, hashes binary").select(node_of(salt), "hashes"), "sets")
 
     def similar(batches):
         for batch in batches:
@@ -195,26 +267,39 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, num:
                 keep.append(den * shared >= num * (len(a) + len(b) - shared))
             yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
-    whole = left.join(sets.select(F.col("rep").alias("a"), F.col("hashes").alias("ha")), "a").join(sets.select(F.col("rep").alias("b"), F.col("hashes").alias("hb")), "b")
-    return materialise(whole.select("a", "b", "ha", "hb").mapInArrow(similar, "a long, b long"), "similar")
+    whole = left.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb")), "b")
+    found = materialise(whole.select("a", "b", "ha", "hb").mapInArrow(similar, "a long, b long"), "similar")
+    discard(left, needed, sets)
+    return found
 
 
-def jaccard_classes(docs: DataFrame, k: int = WORDS, similarity: tuple[int, int] = SIMILARITY, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Per row of docs: doc_id, n_shingles and component_id, the least doc_id that links reach.
+def node_of(salt: int) -> Column:
+    return F.xxhash64("key", "n", F.lit(salt)).alias("node")
+
+
+def jaccard_rows(docs: DataFrame, k: int = WORDS, similarity: tuple[int, int] = SIMILARITY, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """Per row of docs: doc_id, mark (xxhash64 of its text), n_shingles, component_id, the least doc_id that links reach, and
+    component, a number of all rows that links reach (null where n_shingles is 0).
 
     Two rows link if 100 times the shingles that they share is at least 90 times those in either (or as similarity says).
-    Null text, or none of words: n_shingles 0, linked with nothing. Null doc_id: a row without a place in the links, so
-    component_id is null unless a row with the same set has a doc_id. Rows that share a doc_id with different texts
-    are one node for the links of both; equal rows repeat. No rows: no rows. Other columns are ignored."""
+    Null text, or none of words: n_shingles 0, linked with nothing, component_id its own doc_id. Null doc_id: linked as
+    any other; component_id is null unless links reach a row with a doc_id. Rows that share a doc_id are rows of their own;
+    equal rows repeat. No rows: no rows. Other columns are ignored."""
     num, den = similarity
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
     rows = sketched_rows(docs, k, num, den)
-    reps = materialise(rows.where("n > 0 and doc_id is not null").groupBy("key", "n").agg(F.min("doc_id").alias("rep")), "classes")
-    classes = materialise(rows.where("n > 0").join(reps.withColumnRenamed("rep", "doc_id"), ["doc_id", "key", "n"], "left_semi").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "rep"), "signed-classes")
-
-    signed = classes.select(F.explode("sigs").alias("sig"), "rep", "n", "rare")
-    hot = materialise(signed.groupBy("sig").agg(F.count("*").alias("sets"), F.min(F.struct("rare", "rep", "n")).alias("pivot")).where("sets > 1").select("sig", F.col("pivot.rep").alias("pivot"), F.col("pivot.n").alias("pivot_n"), F.col("pivot.rare").alias("pivot_rare")), "hot")
+    small = rows.select("doc_id", "mark", "n", "key")
+    once = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "rare", "bitmap", "sigs")])
+    keyed = materialise(once, "classes")
+    salt = 0
+    while keyed.groupBy(node_of(salt)).count().where("count > 1").limit(1).count():
+        salt += 1
+    classes = keyed.select("*", node_of(salt))
+
+    signed = materialise(signatures(classes), "signatures")
+    hot = signed.groupBy("sig").agg(F.count("*").alias("sets"), F.min(F.struct("rare", "node", "n")).alias("pivot")).where("sets > 1").select("sig", F.col("pivot.node").alias("pivot"), F.col("pivot.n").alias("pivot_n"), F.col("pivot.rare").alias("pivot_rare"))
     buckets = materialise(signed.join(hot, "sig"), "buckets")
+    discard(signed)
 
     def sized(n1: str, r1: str, n2: str, r2: str) -> Column:
         """Whether sets of a signature can be similar by their sizes. A set with a pair of frequent shingles among its signatures
@@ -224,24 +309,32 @@ def jaccard_classes(docs: DataFrame, k: int = WORDS, similarity: tuple[int, int]
         return shared * den >= (a + b - shared) * num
 
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    stars = materialise(buckets.where((F.col("rep") != F.col("pivot")) & sized("n", "rare", "pivot_n", "pivot_rare")).select(*pair("rep", "pivot")).distinct(), "stars")
-    links = verified(stars, classes, docs, k, num, den)
+    stars = materialise(buckets.where((F.col("node") != F.col("pivot")) & sized("n", "rare", "pivot_n", "pivot_rare")).select(*pair("node", "pivot")).distinct(), "stars")
+    links = verified(stars, classes, docs, k, num, den, salt)
 
-    first = components(links)
-    at = materialise(buckets.select("sig", "rep", "n", "rare").join(first.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "placed")
+    every = components(links)
+    at = materialise(buckets.select("sig", "node", "n", "rare").join(every, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
+    discard(buckets)
     mixed = at.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("sig")
     open_ = at.join(mixed, "sig")
-    other = open_.select("sig", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("rare").alias("rare2"), F.col("component").alias("component2"))
+    other = open_.select("sig", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("rare").alias("rare2"), F.col("component").alias("component2"))
     across = open_.join(other, "sig").where((F.col("component") < F.col("component2")) & sized("n", "rare", "n2", "rare2"))
-    more = materialise(across.select(*pair("rep", "rep2")).distinct().join(stars, ["a", "b"], "left_anti"), "across")
-    every = first
+    more = materialise(across.select(*pair("node", "node2")).distinct().join(stars, ["a", "b"], "left_anti"), "across")
+    discard(at, stars)
     if more.limit(1).count():
-        known = first.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        every = components(known.union(verified(more, classes, docs, k, num, den)))
+        known = every.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        every = components(known.union(verified(more, classes, docs, k, num, den, salt)))
+    discard(more, links)
 
-    classed = rows.select("doc_id", "n", "key").join(reps, ["key", "n"], "left").join(every.withColumnRenamed("node", "rep"), "rep", "left")
-    own = F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
-    return classed.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    rooted = materialise(keyed.select("key", "rep", node_of(salt)).join(every, "node", "left").select("key", "rep", F.coalesce("component", "node").alias("component")), "rooted")
+    least = rooted.groupBy("component").agg(F.min("rep").alias("component_id"))
+    classed = small.join(rooted.join(least, "component").select("key", "component", "component_id"), "key", "left")
+    return classed.select("doc_id", "mark", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "component")
+
+
+def jaccard_classes(docs: DataFrame, k: int = WORDS, similarity: tuple[int, int] = SIMILARITY, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """Per row of docs: doc_id, n_shingles and component_id, as jaccard_rows has them."""
+    return jaccard_rows(docs, k, similarity, text, doc_id).select("doc_id", "n_shingles", "component_id")
 
 
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
