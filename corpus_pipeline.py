@@ -20,15 +20,24 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that links make: the one of the least doc_id. Documents without words or id stay."""
-    found = jaccard.jaccard_classes(docs, NEAR_WORDS, NEAR_SIMILARITY)
-    gone = common.materialise(found.where("component_id <> doc_id").select("doc_id").distinct(), "near-copies")
-    if gone.count() <= common.BROADCAST_ROWS:
-        gone = F.broadcast(gone)
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    again = found.where("component_id = doc_id and n_shingles > 0").groupBy("doc_id").count().where("count > 1")
-    if again.limit(1).count():  # rows that share the id that stays: one of them
-        left = left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
+    """One document of each group that links make: the one of the least doc_id (rows that share it: of the least mark of
+    their texts). Documents without words or id stay. Equal rows of a document that stays are one."""
+    doc_id, mark, count = common.unused(docs, "kept_id", "kept_mark", "kept_count")
+    found = common.materialise(jaccard.jaccard_rows(docs, NEAR_WORDS, NEAR_SIMILARITY).where("component is not null and doc_id is not null"), "near-copies")
+    kept = found.where("component_id = doc_id").groupBy("component").agg(F.min("mark").alias("least"), F.count("*").alias("rows")).where("rows > 1")
+    kept = common.materialise(kept, "near-copies-kept")  # of rows that share the id that stays; mostly none
+    gone = found.where("component_id <> doc_id").select("doc_id", "mark")
+    twice = kept.limit(1).count() > 0
+    if twice:
+        gone = gone.union(found.where("component_id = doc_id").join(kept, "component").where("mark <> least").select("doc_id", "mark"))
+    gone = common.materialise(gone.select(F.col("doc_id").alias(doc_id), F.col("mark").alias(mark)).distinct(), "near-copies-gone")
+    small = gone.count() <= jaccard.BROADCAST_IDS
+    own = (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col(mark)) & (docs["doc_id"].cast("long") == F.col(doc_id))
+    left = docs.join(F.broadcast(gone) if small else gone, own, "left_anti")
+    if twice:  # rows with the id and text of one that stays more than once
+        again = found.where("component_id = doc_id").join(kept, "component").where("mark = least").groupBy(F.col("doc_id").alias(doc_id), F.col("mark").alias(mark)).agg(F.count("*").alias(count)).where(F.col(count) > 1)
+        again = common.materialise(again, "near-copies-again")
+        left = left.join(again, own, "left_anti").unionByName(docs.join(again, own).dropDuplicates([doc_id, mark]).select(*docs.columns))
     return left
 
 
