@@ -86,3 +86,24 @@ def test_query(spark):
         raw = texts[r.doc_id].encode()
         pad = raw.ljust(max(1, -(-len(raw) // 192)) * 192)
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(pad), hashlib.sha256(pad).hexdigest(), zlib.crc32(pad[-16:]))
+
+
+def test_blocks_are_the_stream_and_read_alone(spark):
+    text = "lorem ipsum é " * 9000
+    docs = spark.createDataFrame([(1, text, "x", 1), (2, None, "y", 2)], "doc_id long, text string, pcm string, sample long")
+    decoded = flac.decode_media(flac.encode_documents(docs))
+    whole = {r.doc_id: r for r in decoded.collect()}
+    blocks = {}
+    for r in flac.pcm_blocks(decoded).orderBy("doc_id", "sample").collect():
+        blocks.setdefault(r.doc_id, []).append(r)
+    assert len(blocks[1]) > 10 and len(blocks[2]) == 1
+    for key, rows in blocks.items():
+        assert b"".join(bytes(r.pcm) for r in rows) == bytes(whole[key].pcm)
+        at = 0
+        for r in rows:
+            assert r.sample == at and flac.read_block(bytes(whole[key].media), r.sample, r.byte) == bytes(r.pcm)
+            at += len(r.pcm)
+    damaged = bytearray(whole[1].media)
+    damaged[-40] ^= 1
+    with pytest.raises(ValueError, match="block"):
+        flac.read_block(bytes(damaged), blocks[1][-1].sample, blocks[1][-1].byte)

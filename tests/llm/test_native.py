@@ -85,3 +85,12 @@ def test_running_start(spark):
     for r in got:
         assert r.start == at
         at += r.v
+
+
+def test_columns_of_the_caller_stay(spark):
+    names = ["words", "lines", "host", "bad", "host_key", "against", "order", "size", "copies", "copy", "source_key", "whole", "last", "part", "own", "first", "total", "salt", "_words", "_host", "_order"]
+    docs = spark.createDataFrame([(i, "one two three four five six seven eight nine ten eleven " + str(i), f"s{i % 3}", *range(len(names))) for i in range(9)], f"doc_id long, text string, source string, {', '.join(f'{n} long' for n in names)}")
+    for out in (rules.judge(docs), mixing.repeat(docs)):
+        rows = out.select(*names).distinct().collect()
+        assert [tuple(r) for r in rows] == [tuple(range(len(names)))]
+    assert mixing.repeat(docs).columns == docs.columns

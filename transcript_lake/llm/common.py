@@ -65,25 +65,29 @@ def joined(left: DataFrame, right: DataFrame, key: str, how: str = "left", salts
     Beyond, right is repeated once a salt and left is salted by a hash of its row, so that a hot key spreads over as many tasks."""
     if right.count() <= BROADCAST_ROWS:
         return left.join(F.broadcast(right), key, how)
-    salted = left.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c, t in left.dtypes if "map" not in t and "variant" not in t]), F.lit(salts)).cast("int"))
-    many = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(many, [key, "_salt"], how).drop("_salt")
+    (salt,) = unused(left, "salt")
+    salted = left.withColumn(salt, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c, t in left.dtypes if "map" not in t and "variant" not in t]), F.lit(salts)).cast("int"))
+    many = right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(many, [key, salt], how).drop(salt)
 
 
 def hashed_sample(df: DataFrame, text: str, most: int) -> DataFrame:
-    """The distinct values of a text column whose hashes are the least, at most `most`. First the hashes alone find the
-    last one that belongs, then texts up to it are taken, so no task gathers the texts of many."""
-    key = F.md5(F.col(text))
-    last = df.where(F.col(text).isNotNull()).select(key.alias("_key")).distinct().orderBy("_key").limit(most).agg(F.max("_key")).first()[0]
-    return df.where(key <= F.lit(last)).select(F.col(text), key.alias("_key")).dropDuplicates(["_key"]).drop("_key")
+    """Distinct values of a text column, about `most` at most, those whose 64-bit hash is low: the rows are counted, the
+    hash is held under the share that leaves so many, and copies are dropped. No hash but the sample's is shuffled."""
+    rows = df.where(F.col(text).isNotNull())
+    n = rows.count()
+    least = -(1 << 63)
+    limit = least + (1 << 64) * most // max(n, most) - 1
+    return rows.where(F.xxhash64(text) <= F.lit(limit)).select(text).dropDuplicates([text])
 
 
 def running_start(df: DataFrame, order: list[Column], value: Column, name: str) -> DataFrame:
     """df with column name: the sum of value over all rows before, in the given order (ties: any order among equal keys).
     Ranges of the order are dealt to partitions; one total a partition is all that meets in one task."""
-    parts = materialise(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).withColumn("_value", value), "ranges")
-    totals = parts.groupBy("_part").agg(F.sum("_value").alias("_total"))
-    before = totals.select("_part", (F.sum("_total").over(Window.orderBy("_part")) - F.col("_total")).alias("_before"))
-    within = F.sum("_value").over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_value")
+    part, own, first, total = unused(df, "part", "own", "first", "total")
+    parts = materialise(df.repartitionByRange(*order).withColumn(part, F.spark_partition_id()).withColumn(own, value), "ranges")
+    totals = parts.groupBy(part).agg(F.sum(own).alias(total))
+    before = totals.select(part, (F.sum(total).over(Window.orderBy(part)) - F.col(total)).alias(first))
+    within = F.sum(own).over(Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col(own)
     # before has one row a partition of the shuffle
-    return parts.join(F.broadcast(before), "_part").withColumn(name, (within + F.col("_before")).cast("long")).drop("_part", "_value", "_before")
+    return parts.join(F.broadcast(before), part).withColumn(name, (within + F.col(first)).cast("long")).drop(part, own, first)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from transcript_lake.llm.common import table
+from transcript_lake.llm.common import materialise, table, unused
 
 FRAME = 192
 SEEK_FRAMES = 64
@@ -293,12 +293,12 @@ def decode_stream(data: bytes) -> list[int]:
     return out[:total]
 
 
-def frame_starts(buf: np.ndarray, lo: int, hi: int) -> np.ndarray:
-    """Where the frames of a stream in buf[lo:hi] begin: sync codes whose numbers go up by one from 0."""
+def frame_starts(buf: np.ndarray, lo: int, hi: int, first: int = 0) -> np.ndarray:
+    """Where the frames of a stream in buf[lo:hi] begin: sync codes whose numbers go up by one from first."""
     x = buf[lo:hi]
     at = np.flatnonzero((x[:-8] == 0xFF) & (x[1:-7] == 0xF8) & (x[2:-6] == 0x14) & (x[3:-5] == 0x02)) + lo
     want, kept = 0, []
-    digits, sizes = number_bytes(np.arange(len(at) + 1))
+    digits, sizes = number_bytes(first + np.arange(len(at) + 1))
     for k in at.tolist():
         n = int(sizes[want])
         if (buf[k + 4 : k + 4 + n] == digits[want, :n]).all():
@@ -461,14 +461,43 @@ def decode_media(media: DataFrame) -> DataFrame:
     return media.select(*rest, "media").mapInArrow(run, schema)
 
 
+def read_block(stream: bytes, sample: int, byte: int) -> bytes:
+    """The PCM block that begins at a seek point (its sample, and its byte from the first frame), decoded from there without
+    the frames before: up to SEEK_FRAMES frames, with their checksums verified."""
+    lo, first = metadata(stream)[0] + byte, sample // FRAME
+    most = lo + SEEK_FRAMES * (FRAME + 20)  # a frame is never longer than its samples as they are, with its header and checksums
+    buf = np.frombuffer(stream[lo:most] + bytes(16), np.uint8)
+    end = len(buf) - 16
+    starts = frame_starts(buf, 0, end, first)[: SEEK_FRAMES + 1]
+    sizes = np.diff(np.append(starts, end) if len(starts) <= SEEK_FRAMES else starts)
+    samples, good = decode_frames(buf, starts[: len(sizes)], sizes, first + np.arange(len(sizes)))
+    if not len(sizes) or starts[0] or not good.all():
+        raise ValueError("no intact block here")
+    return (samples + 128).astype(np.uint8).tobytes()
+
+
+def pcm_blocks(decoded: DataFrame) -> DataFrame:
+    """Of what decode_media returns, a row a block of SEEK_FRAMES frames: the columns of decoded but media, pcm, seek and
+    feature, and sample (its offset, in samples), byte (of its first frame in the stream, from the first one), and pcm, the
+    block's samples. Ordered by sample, the blocks are the stream's PCM. Null media: no block. Columns of these names are replaced."""
+    rest = [c for c in decoded.columns if c not in ("media", "pcm", "seek", "feature", "sample", "byte")]
+    (point,) = unused(decoded, "point")
+    rows = decoded.select(*[F.col(f"`{c}`") for c in rest], "pcm", F.explode("seek").alias(point))
+    at = F.col(point)["sample"]
+    return rows.select(*[F.col(f"`{c}`") for c in rest], at.alias("sample"), F.col(point)["byte"].alias("byte"), F.col("pcm").substr(at.cast("int") + 1, F.lit(SEEK_FRAMES * FRAME)).alias("pcm"))
+
+
 def features(pcm: bytes) -> str:
     x = np.frombuffer(pcm, np.uint8).astype(np.int32) - 128
     return f"samples={len(x)} mean16={16 * int(x.sum()) // len(x)} rms16={int(16 * (float((x * x).sum()) / len(x)) ** 0.5)} peak={int(np.abs(x).max())} crossings={int(((x[1:] < 0) != (x[:-1] < 0)).sum())}"
 
 
 def op2_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decode_media(encode_documents(table(spark, sf_dir, "documents")))
+    """The media column is written, and all but the count of text bytes is computed from what is read back."""
+    stored = materialise(encode_documents(table(spark, sf_dir, "documents")), "media")
+    found = decode_media(stored)
     return found.select(
         "doc_id", "n_bytes", F.length("pcm").cast("long").alias("payload_bytes"), F.sha2("pcm", 256).alias("payload_sha256"), F.crc32(F.expr("substring(pcm, -16, 16)")).alias("tail_crc32"),
         F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature",
+        F.array_join(F.transform("seek", lambda p: F.concat_ws(":", p["sample"], p["byte"])), ",").alias("seek"),
     )

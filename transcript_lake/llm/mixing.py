@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from transcript_lake.llm.common import WORD, joined, materialise, running_start, table
+from transcript_lake.llm.common import WORD, joined, materialise, running_start, table, unused
 
 WEIGHTS = (1, 2, 3)
 MAX_EPOCHS = 3
@@ -85,12 +85,13 @@ def repeat(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source:
     source needs to tell: docs are joined with one row a source and never moved. Equal rows at that last place are all taken."""
     dealt = _dealt(docs, text, doc_id, source, weights, max_epochs, seed)
     last = F.max(F.when(F.col("again"), F.struct("order", "doc_id", "size")))
-    ends = materialise(dealt.groupBy(F.col("source_key").alias("_source_key")).agg(F.max("whole").alias("_whole"), last.alias("_last")), "mix-ends")
-    keys = {f"_{k}": c for k, c in _keys(doc_id, source, text, seed).items()}
-    at = F.struct(F.col("_order").alias("order"), F.col(doc_id).alias("doc_id"), F.col("_size").alias("size"))
-    copies = F.when(F.col("_size") == 0, 0).otherwise(F.col("_whole") + F.coalesce(at <= F.col("_last"), F.lit(False)).cast("int"))
-    out = joined(docs.withColumns(keys), ends, "_source_key", "inner").withColumn("_copies", copies).where("_copies > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    source_key, order, size, whole, end, copies, copy = unused(docs, "source_key", "order", "size", "whole", "last", "copies", "copy")
+    ends = materialise(dealt.groupBy(F.col("source_key").alias(source_key)).agg(F.max("whole").alias(whole), last.alias(end)), "mix-ends")
+    keys = dict(zip((source_key, order, size), _keys(doc_id, source, text, seed).values(), strict=True))
+    at = F.struct(F.col(order).alias("order"), F.col(doc_id).alias("doc_id"), F.col(size).alias("size"))
+    times = F.when(F.col(size) == 0, 0).otherwise(F.col(whole) + F.coalesce(at <= F.col(end), F.lit(False)).cast("int"))
+    out = joined(docs.withColumns(keys), ends, source_key, "inner").withColumn(copies, times).where(F.col(copies) > 0)
+    return out.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

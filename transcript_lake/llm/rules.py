@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from transcript_lake.llm.common import WORD, joined, materialise, table
+from transcript_lake.llm.common import WORD, joined, materialise, table, unused
 
 MIN_WORDS = 10
 MAX_REPEATED_PERCENT = 20
@@ -52,14 +52,15 @@ def base_rules(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) and base_failed; these replace columns of the same names. Null text: no words."""
     whole = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(whole, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    out = docs.withColumns({"_words": F.regexp_extract_all(whole, F.lit(WORD), F.lit(0)), "_lines": lines})
+    words, real = unused(docs, "words", "lines")
+    out = docs.withColumns({words: F.regexp_extract_all(whole, F.lit(WORD), F.lit(0)), real: lines})
     out = out.withColumns({
-        "n_words": F.size("_words").cast("long"),
+        "n_words": F.size(words).cast("long"),
         "word_chars": (F.length(whole) - F.regexp_count(whole, F.lit(r"[\x20\x09-\x0D]"))).cast("long"),
         "n_symbols": F.regexp_count(whole, F.lit("[#*$%&|<>]")).cast("long"),
-        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-        "n_repeat_words": repeated_words(F.col("_words")).cast("long"),
-    }).drop("_words", "_lines")
+        "n_dup_lines": (F.size(real) - F.size(F.array_distinct(real))).cast("long"),
+        "n_repeat_words": repeated_words(F.col(words)).cast("long"),
+    }).drop(words, real)
     return out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words")))
 
 
@@ -86,9 +87,10 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", max_rate: f
     Null host: a host of its own. Repeated rows count as often as they come. No rows: no rows.
     Columns of docs with the names of the new ones are replaced. The ruled rows are written once and read for both the
     counts and the verdicts' join, in which the verdicts' size is checked."""
-    ruled = materialise(base_rules(docs, text).withColumn("_host", F.coalesce(F.concat(F.lit("="), F.col(host).cast("string")), F.lit(""))), "ruled")
-    bad = host_verdicts(ruled, "_host", max_rate).select("_host", F.lit(True).alias("_bad"))
-    return joined(ruled, bad, "_host").withColumn("kept", ~F.col("base_failed") & F.col("_bad").isNull()).drop("_bad", "_host")
+    key, against = unused(docs, "host_key", "against")
+    ruled = materialise(base_rules(docs.withColumn(key, F.coalesce(F.concat(F.lit("="), F.col(host).cast("string")), F.lit(""))), text), "ruled")
+    bad = host_verdicts(ruled, key, max_rate).select(key, F.lit(True).alias(against))
+    return joined(ruled, bad, key).withColumn("kept", ~F.col("base_failed") & F.col(against).isNull()).drop(key, against)
 
 
 def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
