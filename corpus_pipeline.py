@@ -5,7 +5,7 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from transcript_lake.llm import common, jaccard, mixing, packing, pii, rules
@@ -14,9 +14,15 @@ from transcript_lake.llm import common, jaccard, mixing, packing, pii, rules
 NEAR_WORDS, NEAR_SIMILARITY = 5, (80, 100)
 
 
+def apart(docs: DataFrame) -> tuple[DataFrame, list[Column]]:
+    """docs with "doc " before the names of its columns, which no operator's column has, and the columns that turn it back."""
+    return docs.toDF(*[f"doc {c}" for c in docs.columns]), [F.col(f"`doc {c}`").alias(c) for c in docs.columns]
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and whose source's verdict is not against them."""
-    return rules.judge(docs).where("kept").select(*docs.columns)
+    rows, back = apart(docs)
+    return rules.judge(rows, "doc text", "doc source").where("kept").select(*back)
 
 
 def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,9 +49,10 @@ def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data replaced by its kind; n_chars follows the text."""
-    found = pii.find_pii(docs)
-    length = F.when(F.size("base") + F.size("added") > 0, F.length("redacted").cast("long")).otherwise(F.col("n_chars"))
-    return found.withColumn("n_chars", length).withColumn("text", F.col("redacted")).select(*docs.columns)
+    rows, back = apart(docs)
+    found = pii.find_pii(rows, "doc text")
+    length = F.when(F.size("base") + F.size("added") > 0, F.length("redacted").cast("long")).otherwise(F.col("doc n_chars"))
+    return found.withColumn("doc n_chars", length).withColumn("doc text", F.col("redacted")).select(*back)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
