@@ -27,18 +27,13 @@ from transcript_lake.llm.binary import slices
 from transcript_lake.llm.common import discard, materialise, table
 from transcript_lake.llm.graph import components
 from transcript_lake.llm.shingles import HASHED_CHARS, PRIME, digest, mix, shingle_sets
+from transcript_lake.llm.slots import PART, dealt, places_of_shared, shared_bits, slots_for
 
 WORDS = 3
 SIMILARITY = (90, 100)
 
-#: The sketch: one byte a slot, as many slots as a quarter of the shingles, from 2**LEAST to 2**MOST; it is broadcast.
-LEAST, MOST = 20, 27
-
-#: The bitmap of shared signatures: eight bits a signature, up to 2**MOST_BITS in all; it is broadcast.
-MOST_BITS = 30
-
-#: When they are counted, both are dealt in parts of 2**PART slots.
-PART = 20
+#: The sketch: one byte a slot, as many slots as a quarter of the shingles, up to 2**MOST; it is broadcast.
+MOST = 27
 
 #: Up to so many ids (8 bytes each) are broadcast; checked by a count.
 BROADCAST_IDS = 1_000_000
@@ -55,25 +50,11 @@ def level(counts: np.ndarray) -> np.ndarray:
     return np.minimum(255, np.floor(4 * np.log2(np.maximum(counts, 1)))).astype(np.uint8)
 
 
-def slots_for(n: int, least: int, most: int) -> int:
-    """Bits of a slot's number for about n slots."""
-    return min(most, max(least, n.bit_length()))
-
-
-def dealt(slot: np.ndarray, bits: int) -> pa.RecordBatch:
-    """Sorted slots of 2**bits, by part, each part as the differences of its slots."""
-    width = 1 << PART
-    cuts = np.searchsorted(slot, np.arange((1 << bits - PART) + 1) * width)
-    blobs = [np.diff(slot[lo:hi], prepend=np.uint32(p * width)).astype("<u4").tobytes() for p, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
-    rows = [(p, x) for p, x in enumerate(blobs) if x]
-    return pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["part", "slots"])
-
-
 def sketch(docs: DataFrame, k: int) -> tuple[np.ndarray, int]:
     """The level of each slot, and the one from which shingles are frequent. Slots that occur in a slice of text are sent
     to their part's task, which adds them up as they come; the driver gets one byte a slot."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = slots_for(size // 6 // 4, LEAST, MOST)  # a word and its blank are about six bytes
+    bits = slots_for(size // 6 // 4, MOST)  # a word and its blank are about six bytes
     width = 1 << PART
 
     def occur(batches):
@@ -98,51 +79,14 @@ def sketch(docs: DataFrame, k: int) -> tuple[np.ndarray, int]:
     return out, int(level(np.array([max(FREQUENT, 4 * total >> bits)]))[0])
 
 
-def shared_bits(classes: DataFrame) -> tuple[bytes, int]:
-    """A bitmap, and the bits of its slots' numbers, of the slots in which more than one signature of all sets lies."""
-    n = classes.agg(F.sum(F.size("sigs"))).first()[0] or 0
-    bits = slots_for(8 * n, LEAST, MOST_BITS)
-    width = 1 << PART
-
-    def occur(batches):
-        for batch in batches:
-            sigs = batch.column(0).flatten().to_numpy().view(np.uint64)
-            for lo in range(0, len(sigs), HASHED_CHARS):
-                yield dealt(np.sort(sigs[lo : lo + HASHED_CHARS] >> np.uint64(64 - bits)).astype(np.uint32), bits)
-
-    def add(batches):
-        found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for batch in batches:
-            for p, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                once, twice = found.setdefault(p, (np.zeros(width, bool), np.zeros(width, bool)))
-                steps = np.frombuffer(x, "<u4")
-                slot = np.cumsum(steps)
-                twice[slot[once[slot]]] = True
-                twice[slot[1:][steps[1:] == 0]] = True
-                once[slot] = True
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([np.packbits(x).tobytes() for _, x in found.values()], pa.binary())], names=["part", "bits"])
-
-    out = np.zeros(1 << (bits - 3), np.uint8)
-    for p, x in classes.select("sigs").mapInArrow(occur, "part int, slots binary").repartition(1 << bits - PART, "part").mapInArrow(add, "part int, bits binary").toLocalIterator():
-        out[p * (width >> 3) : (p + 1) * (width >> 3)] = np.frombuffer(x, np.uint8)
-    return out.tobytes(), bits
-
-
 def signatures(classes: DataFrame) -> DataFrame:
     """(sig, node, n, rare): the signatures of each set that another one may have too."""
-    shared = classes.sparkSession.sparkContext.broadcast(shared_bits(classes))
+    shared = classes.sparkSession.sparkContext.broadcast(shared_bits(classes.select("sigs")))
 
     def run(batches):
-        raw, bits = shared.value
-        bitmap = np.frombuffer(raw, np.uint8)
         for batch in batches:
-            lists = batch.column(3)
-            sigs, sizes = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
-            slot = sigs.view(np.uint64) >> np.uint64(64 - bits)
-            keep = np.flatnonzero(bitmap[(slot >> np.uint64(3)).astype(np.int64)] >> (7 - (slot & np.uint64(7)).astype(np.uint8)) & 1)
-            row = np.repeat(np.arange(len(sizes)), sizes)[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(sigs[keep]), *[pa.array(batch.column(j).to_numpy()[row]) for j in range(3)]], names=["sig", "node", "n", "rare"])
+            sigs, row, _ = places_of_shared(batch.column(3), shared.value)
+            yield pa.RecordBatch.from_arrays([pa.array(sigs), *[pa.array(batch.column(j).to_numpy()[row]) for j in range(3)]], names=["sig", "node", "n", "rare"])
 
     return classes.select("node", "n", "rare", "sigs").mapInArrow(run, "sig long, node long, n long, rare long")
 
