@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,15 +17,14 @@ from transcript_lake.llm.common import hashed_sample, table
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
 
-#: The field is fitted on at most so many texts, those of the least hash among the ones with a digit or an @.
+#: The field is fitted on about so many texts, those of the least hash among the ones with a digit or an @.
 TRAIN_TEXTS = 2_000
 
 #: A word joins a span only if the field gives its label so much.
 MIN_PROBABILITY = 0.9
 
-#: Traits of a word's shape depend on each other, so each counts less than alone; the checks of its numbers count fully.
-TRAIT_WEIGHT = 0.5
-CHECKS = ("sum", "parts")
+#: The fit: steps uphill, their size, and the weight of the squared potentials against the sample's pseudo-likelihood.
+STEPS, PACE, RIDGE = 300, 0.1, 0.5
 
 #: Messages are sent until none changes by more than SETTLED; ROUNDS ends the rare ones that never settle.
 ROUNDS, SETTLED = 1_000, 1e-3
@@ -82,7 +82,10 @@ def traits(word: str) -> list[str]:
     """What the field sees of a word: its shape and whether its numbers can be right, not whether a pattern matches it."""
     digits, dots = sum(x in "0123456789" for x in word), word.count(".")
     letters = sum(map(str.isalpha, word))
+    inner = any(x in "0123456789._+-" for x in word.strip(".,;:!?\"'()[]<>{}#*$%&|=+-_")) and letters > 0
     out = [f"digits {min(digits, 16) if digits < 16 else 16}", f"dots {min(dots, 4)}", f"letters {min(letters, 3)}", f"at {word.count('@') if word.count('@') < 2 else 2}"]
+    if inner:
+        out.append("joined")
     out.append("first " + ("digit" if word[0] in "0123456789" else "letter" if word[0].isalpha() else word[0] if word[0] in "+(@#" else "sign"))
     if digits:
         groups = [len(x) for x in re.findall("[0-9]+", word)]
@@ -90,7 +93,7 @@ def traits(word: str) -> list[str]:
         if digits >= 13:
             out.append("sum " + ("right" if luhn(DIGITS.sub("", word)) else "wrong"))
         if dots == 3 and len(groups) == 4:
-            out.append("parts " + ("small" if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in re.findall("[0-9]+", word)) else "large"))
+            out.append("parts " + ("small" if all(len(x) <= 3 and int(x or "0") <= 255 for x in (p.lstrip("0") for p in re.findall("[0-9]+", word))) else "large"))
     return out
 
 
@@ -121,15 +124,17 @@ class Graph:
         keys = {key(text[words[k][0] : words[k][1]]) for k in suspect} - {None}
         like = [k for k, (lo, hi) in enumerate(words) if key(text[lo:hi]) in keys] if keys else []
         chosen = sorted({j for k in {*suspect, *like} for j in range(max(0, k - CONTEXT), min(len(words), k + CONTEXT + 1))})
-        covered, at = sorted(spans, key=lambda s: s[1]), 0
+        covered, at, reach = sorted(spans, key=lambda s: s[1]), 0, []
         last: dict[str, int] = {}
         alike: dict[str, list[int]] = {}
         previous = None
         for j in chosen:
             lo, hi = words[j]
-            while at < len(covered) and covered[at][2] <= lo:
+            while at < len(covered) and covered[at][1] < hi:
+                reach.append(covered[at])
                 at += 1
-            kind = next((s[0] for s in covered[at : at + 4] if s[1] < hi and s[2] > lo), "other")
+            reach = [s for s in reach if s[2] > lo]  # of one kind, spans do not overlap
+            kind = next((s[0] for s in reach), "other")
             node, word = len(self.words), text[lo:hi]
             self.doc.append(number)
             self.start.append(lo)
@@ -157,28 +162,63 @@ class Graph:
                 self.like += zip(nodes[:-1], nodes[1:], strict=True)
 
 
+def seen(g: Graph) -> Iterator[str]:
+    """What the fit counts: of each node whose label is known its label, traits, neighbours' labels and, of like words beside it in
+    the order of the text, labels; "-" where there is none. Words that no pattern covers but that are like one in the text that a pattern
+    does have an unknown label. So that like words teach what a mention in another form is, each labelled word is seen
+    again in its bare form: of its kind beside a like word of its kind, and, if no pattern knows that form, as other alone and beside like words that are other. Matches that fail a check are covered by none, so they count as other."""
+    labelled = {(g.doc[k], key(w)) for k, w in enumerate(g.words) if g.label[k]}
+    known = [bool(g.label[k]) or (g.doc[k], key(w)) not in labelled for k, w in enumerate(g.words)]
+    left, right, like = {}, {}, {}
+    for a, b in g.chain:
+        left[b], right[a] = a, b
+    for a, b in g.skip:
+        like.setdefault(a, []).append(b)
+        like.setdefault(b, []).append(a)
+    name = lambda k: str(g.label[k]) if k is not None and known[k] else "-"
+    for k, word in enumerate(g.words):
+        if not known[k]:
+            continue
+        beside = sorted(str(g.label[j]) for j in like.get(k, []) if known[j])
+        yield "\t".join([str(g.label[k]), name(left.get(k)), name(right.get(k)), "".join(beside), *g.traits[k]])
+        bare = key(word)
+        if g.label[k] and bare:
+            yield "\t".join([str(g.label[k]), "-", "-", str(g.label[k]), *traits(bare)])
+            if not base_spans(bare):
+                for like_too in ("", "0", "00"):
+                    yield "\t".join(["0", "-", "-", like_too, *traits(bare)])
+
+
 class Field:
-    """Log-linear potentials, fitted piece by piece: each trait, neighbour pair and skip pair by its smoothed frequency
-    under the labels that the patterns give, against its frequency whatever the label."""
+    """Log-linear potentials of traits, of neighbours and of like words, fitted together: they maximise the pseudo-likelihood of the
+    labels that the patterns give (each label given its neighbours'), less a penalty on their squares."""
 
-    def __init__(self, counts: dict[str, list[int]]) -> None:
+    def __init__(self, counts: dict[str, int]) -> None:
         n = len(LABELS)
-        get = lambda name: np.array(counts.get(name, [0] * n), float)
-        names = sorted({x[6:] for x in counts if x.startswith("trait ")})
-        totals = get("label") + 1
-        self.prior = np.log(totals / totals.sum())
-        self.trait = {}
-        for x in names:
-            c = get("trait " + x)
-            self.trait[x] = np.log((c + 0.5 * c.sum() / (c.sum() + 1) + 0.05) / (totals + 1))
-            self.trait[x] -= self.trait[x].max()
-            self.trait[x] *= 1 if x.startswith(CHECKS) else TRAIT_WEIGHT
-        pairs = lambda name: np.stack([get(f"{name} {x}") for x in LABELS]) + 0.5
-        chain = pairs("chain")
-        self.chain = np.log(chain / chain.sum() / np.outer(chain.sum(1), chain.sum(0)) * chain.sum() ** 2)
-        skip = pairs("skip") + np.eye(n) * 4
-        skip = skip + skip.T
-        self.skip = np.clip(np.log(skip / np.outer(skip.sum(1), skip.sum(0)) * skip.sum()), -4, 4)
+        rows = [(x.split("\t"), c) for x, c in sorted(counts.items())]
+        self.names = {t: i for i, t in enumerate(sorted({t for r, _ in rows for t in r[4:]}))}
+        weight = np.array([c for _, c in rows], float)
+        y = np.array([int(r[0]) for r, _ in rows], np.int64)
+        have = np.zeros((len(rows), len(self.names) + 1))
+        have[:, -1] = 1
+        left, right, beside = (np.zeros((len(rows), n)) for _ in range(3))
+        for i, (r, _) in enumerate(rows):
+            have[i, [self.names[t] for t in r[4:]]] = 1
+            for where, labels in ((left, r[1]), (right, r[2]), (beside, r[3])):
+                for z in labels.replace("-", ""):
+                    where[i, int(z)] += 1
+        sizes = (have.shape[1], n, n)
+        p, mean, square = (np.zeros((sum(sizes), n)) for _ in range(3))
+        for step in range(1, STEPS + 1 if rows else 1):
+            own, chain, skip = np.split(p, np.cumsum(sizes)[:2])
+            off = (np.eye(n)[y] - normal(have @ own + left @ chain + right @ chain.T + beside @ skip)) * weight[:, None]
+            up = np.concatenate([have.T @ off, left.T @ off + (right.T @ off).T, beside.T @ off])
+            up[-n:] = (up[-n:] + up[-n:].T) / 2
+            up = (up - RIDGE * p) / weight.sum()
+            mean, square = 0.9 * mean + 0.1 * up, 0.99 * square + 0.01 * up * up
+            p = p + PACE * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-9)
+        own, self.chain, self.skip = np.split(p, np.cumsum(sizes)[:2])
+        self.trait, self.prior = {t: own[i] for t, i in self.names.items()}, own[-1]
 
     def marginals(self, g: Graph) -> np.ndarray:
         """Label probabilities of each node by damped loopy sum-product; nodes in the patterns' matches are held at their kinds."""
@@ -230,34 +270,34 @@ def added_spans(g: Graph, probabilities: np.ndarray) -> dict[int, list[tuple[str
     return {d: [(a, b, c) for a, b, c, _ in spans] for d, spans in out.items()}
 
 
+def possible(kind: str, found: str) -> bool:
+    """Whether a span's numbers can be right: a card's sum, an address's parts."""
+    if kind == "card":
+        digits = DIGITS.sub("", found)
+        return 13 <= len(digits) <= 19 and luhn(digits)
+    return kind != "ip" or any(k == "ip" for k, _, _ in base_spans(found))
+
+
 def suspicious(text: str) -> bool:
     return SUSPECT.search(text) is not None
 
 
 def fit(docs: DataFrame, text: str = "text", texts: int = TRAIN_TEXTS) -> Field:
-    """The field, from at most `texts` texts with a digit or an @: those of the least hash, copies once. Tasks count; the
-    driver gets the sums, whose number is bounded by the traits."""
-    n = len(LABELS)
+    """The field, from about `texts` texts with a digit or an @: those of the least hash, copies once. Tasks count; the
+    driver gets the sums, one for each label with its traits and neighbours that occurs in the sample."""
 
     def count(batches):
-        sums: dict[str, np.ndarray] = {}
+        sums: Counter[str] = Counter()
         for _, values in slices(batches, 0):
             g = Graph()
             for k, x in enumerate(values):
                 g.add(k, x, base_spans(x))
-            for label, ts in zip(g.label, g.traits, strict=True):
-                for t in (f"trait {x}" for x in ts):
-                    sums.setdefault(t, np.zeros(n, np.int64))[label] += 1
-                sums.setdefault("label", np.zeros(n, np.int64))[label] += 1
-            for name, pairs in (("chain", g.chain), ("skip", g.skip)):
-                for a, b in pairs:
-                    sums.setdefault(f"{name} {LABELS[g.label[a]]}", np.zeros(n, np.int64))[g.label[b]] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([x.tolist() for x in sums.values()], pa.list_(pa.int64()))], names=["name", "counts"])
+            sums.update(seen(g))
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array(list(sums.values()), pa.int64())], names=["name", "count"])
 
     sample = hashed_sample(docs.where(F.col(text).rlike("[0-9@]")), text, texts)
-    found = sample.repartition(16).mapInArrow(count, "name string, counts array<long>")
-    sums = found.groupBy("name").agg(F.array(*[F.sum(F.col("counts")[k]) for k in range(n)]).alias("counts")).collect()
-    return Field({r.name: list(r.counts) for r in sums})
+    sums = sample.repartition(16).mapInArrow(count, "name string, count long").groupBy("name").agg(F.sum("count").alias("count"))
+    return Field({r["name"]: r["count"] for r in sums.toLocalIterator()})
 
 
 def find(texts: list[str], field: Field) -> Iterator[tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]]:
@@ -269,7 +309,7 @@ def find(texts: list[str], field: Field) -> Iterator[tuple[list[tuple[str, int,
             g.add(k, x, base[-1])
     more = added_spans(g, field.marginals(g)) if g.words else {}
     for k, spans in enumerate(base):
-        yield spans, [s for s in more.get(k, []) if all(s[2] <= b or s[1] >= e for _, b, e in spans)]
+        yield spans, [s for s in more.get(k, []) if possible(s[0], texts[k][s[1] : s[2]]) and all(s[2] <= b or s[1] >= e for _, b, e in spans)]
 
 
 def listed(spans: list[tuple[str, int, int]]) -> str:
