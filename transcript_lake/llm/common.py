@@ -41,11 +41,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(*spent: DataFrame) -> None:
-    """Deletes what materialise wrote; for tables that nothing reads again."""
+    """Deletes what materialise wrote; for tables that nothing reads again. The driver's JVM is asked to collect what is
+    unreachable, on which Spark deletes the shuffle files of finished jobs; else they stay until its heap fills."""
     for df in spent:
         jvm = df.sparkSession._jvm  # Hadoop's file systems are reached through the gateway only
         path = jvm.org.apache.hadoop.fs.Path(df.stored_at)
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    if spent:
+        spent[0].sparkSession._jvm.java.lang.System.gc()
 
 
 def unused(df: DataFrame, *names: str) -> list[str]:

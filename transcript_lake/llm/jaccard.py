@@ -9,7 +9,7 @@
 3. A bitmap of signatures that more than one set has drops the others before they leave their task. Sets that share a
    signature are candidates. Each is compared with one pivot of the signature, the one with the
    fewest rare shingles; links make components; then, where a signature's sets still lie in different components, the
-   pairs across components are compared. So a group of near copies costs about one comparison a member, and no link
+   pairs across components are compared whose sizes and folds of 256 bits allow it. So a group of near copies costs about one comparison a member, and no link
    between components is lost.
 4. Candidates pass a parity bitmap (whose difference never exceeds the sets' own), then the sets themselves are compared.
 
@@ -133,6 +133,15 @@ class Signer:
         return np.packbits(np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").astype(np.uint8).tobytes()
 
 
+FOLD = ("f0", "f1", "f2", "f3")
+
+
+def fold(s: np.ndarray) -> np.ndarray:
+    """256 bits of parity: those of two sets differ in no more bits than the sets in shingles."""
+    bits = np.bincount((s & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def least_shared(a, b, num: int, den: int):
     """Shingles that sets of sizes a and b must share at least."""
     return -(-num * (a + b) // (num + den))
@@ -167,15 +176,18 @@ def sketched_rows(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
         raw, freq = shared.value
         signer = Signer(np.frombuffer(raw, np.uint8), freq, num, den)
         for batch, texts in slices(batches, 2, HASHED_CHARS):
-            cols = [[], [], [], [], []]
+            cols, folds = [[], [], [], [], []], []
             for s in shingle_sets(texts, k):
+                folds.append(fold(s))
                 sigs, rare = signer.sign(s) if len(s) else (None, None)
                 for col, x in zip(cols, (len(s), digest(s) if len(s) else None, rare, signer.bitmap(s) if len(s) else None, None if sigs is None else sigs.view(np.int64)), strict=True):
                     col.append(x)
             arrays = [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int64())), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names=["doc_id", "mark", "n", "key", "rare", "bitmap", "sigs"])
+            folded = np.array(folds, np.int64).reshape(-1, len(FOLD))
+            arrays += [pa.array(folded[:, j].copy()) for j in range(len(FOLD))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names=["doc_id", "mark", "n", "key", "rare", "bitmap", "sigs", *FOLD])
 
-    return materialise(docs.select("doc_id", "mark", "text").mapInArrow(run, "doc_id long, mark long, n long, key binary, rare long, bitmap binary, sigs array<long>"), "signed")
+    return materialise(docs.select("doc_id", "mark", "text").mapInArrow(run, "doc_id long, mark long, n long, key binary, rare long, bitmap binary, sigs array<long>" + "".join(f", {c} long" for c in FOLD)), "signed")
 
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, num: int, den: int, salt: int) -> DataFrame:
@@ -233,7 +245,7 @@ def jaccard_rows(docs: DataFrame, k: int = WORDS, similarity: tuple[int, int] =
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
     rows = sketched_rows(docs, k, num, den)
     small = rows.select("doc_id", "mark", "n", "key")
-    once = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "rare", "bitmap", "sigs")])
+    once = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "rare", "bitmap", "sigs", *FOLD)])
     keyed = materialise(once, "classes")
     salt = 0
     while keyed.groupBy(node_of(salt)).count().where("count > 1").limit(1).count():
@@ -260,11 +272,14 @@ def jaccard_rows(docs: DataFrame, k: int = WORDS, similarity: tuple[int, int] =
     at = materialise(buckets.select("sig", "node", "n", "rare").join(every, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
     discard(buckets)
     mixed = at.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("sig")
-    open_ = at.join(mixed, "sig")
-    other = open_.select("sig", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("rare").alias("rare2"), F.col("component").alias("component2"))
-    across = open_.join(other, "sig").where((F.col("component") < F.col("component2")) & sized("n", "rare", "n2", "rare2"))
+    open_ = materialise(at.join(mixed, "sig").join(classes.select("node", *FOLD), "node"), "open")
+    other = open_.select("sig", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "rare", "component", *FOLD)])
+    apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}2"))) for c in FOLD[1:]), F.bit_count(F.col(FOLD[0]).bitwiseXOR(F.col(f"{FOLD[0]}2"))))
+    sizes = F.col("n") + F.col("n2")  # similar sets differ in at most sizes - 2 * least_shared shingles
+    alike = (num + den) * (sizes - apart) >= 2 * num * sizes
+    across = open_.join(other, "sig").where((F.col("component") < F.col("component2")) & sized("n", "rare", "n2", "rare2") & alike)
     more = materialise(across.select(*pair("node", "node2")).distinct().join(stars, ["a", "b"], "left_anti"), "across")
-    discard(at, stars)
+    discard(at, stars, open_)
     if more.limit(1).count():
         known = every.select(F.col("node").alias("a"), F.col("component").alias("b"))
         every = components(known.union(verified(more, classes, docs, k, num, den, salt)))
