@@ -96,7 +96,8 @@ def briefing(text: Column) -> Column:
 
 
 def rfc3339_millis(ts: Column) -> Column:
-    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    """In UTC, whatever the session's time zone."""
+    return F.date_format(F.to_utc_timestamp(ts, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
 
 def lines(text: Column) -> Column:

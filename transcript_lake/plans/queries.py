@@ -11,6 +11,7 @@ from transcript_lake.functions.text import clean_path, line_churn, shortened
 from transcript_lake.functions.usage import context_tokens, limit_status, raw_cost, tiered_cost, total_tokens
 from transcript_lake.operators import arms, blocks, catalog, codex, messages, metrics, outline, pricing, rollup, tree
 from transcript_lake.operators.dedup import dedup
+from transcript_lake.sources import claude, codex as codex_log
 from transcript_lake.plans.testdata import DEDUP_SQL, ENTRIES_SQL, RATE_SQL, TREE_SQL, published_prices, table, tree_rows, usage_entries
 
 QUERIES: dict = {}
@@ -373,3 +374,39 @@ def newest_transcript(spark, sf):
 def outline_folds(spark, sf):
     items = talk(spark, sf).select("session_id", "seq", F.lit(0).cast("long").alias("sub_seq"), F.when(F.col("role") == "assistant", 1).otherwise(0).alias("level"))
     return outline.with_folds(items).select("session_id", "seq", "has_kids", F.col("descendants").cast("long").alias("descendants"))
+
+
+def logged(rows: DataFrame, record) -> DataFrame:
+    """Raw lines (file_path, line_no, line) of rows with file_path and line_no: the record as one JSON object each."""
+    return rows.select("file_path", F.col("line_no").cast("long").alias("line_no"), F.to_json(record).alias("line"))
+
+
+@query(f"WITH {ENTRIES_SQL} SELECT arrival AS line_no, session_id, message_id, request_id, is_sidechain, model, input, output, cache_read, cache_write_5m, 0::BIGINT AS cache_write_1h FROM e")
+def claude_usage_lines(spark, sf):
+    """Every event as a logged line of a session, read by the source."""
+    rows = entries(spark, sf).withColumns({"file_path": F.concat(F.lit("/logs/projects/"), "project", F.lit("/"), "session_id", F.lit(".jsonl")), "line_no": F.col("arrival")})
+    usage = F.struct(F.col("input").alias("input_tokens"), F.col("output").alias("output_tokens"), F.col("cache_write_5m").alias("cache_creation_input_tokens"), F.col("cache_read").alias("cache_read_input_tokens"))
+    record = F.struct(F.lit("assistant").alias("type"), F.col("session_id").alias("sessionId"), F.col("request_id").alias("requestId"), F.col("is_sidechain").alias("isSidechain"), F.struct(F.col("message_id").alias("id"), "model", usage.alias("usage")).alias("message"))
+    return claude.usage_entries(logged(rows, record)).select("line_no", "session_id", "message_id", "request_id", "is_sidechain", "model", "input", "output", "cache_read", "cache_write_5m", "cache_write_1h")
+
+
+@query("SELECT 'c' || conv_id AS session_id, turn::BIGINT AS seq, role, text FROM conversations WHERE role IN ('user', 'assistant')")
+def claude_message_lines(spark, sf):
+    """Every turn as a logged line, read as an entry with one text part."""
+    rows = table(spark, sf, "conversations").withColumns({"file_path": F.concat(F.lit("/logs/projects/p/c"), "conv_id", F.lit(".jsonl")), "line_no": F.col("turn")})
+    record = F.struct(F.col("role").alias("type"), F.concat(F.lit("c"), "conv_id").alias("sessionId"), F.struct("role", F.col("text").alias("content")).alias("message"))
+    return claude.entries(logged(rows, record)).select("session_id", "seq", "role", F.get("parts", F.lit(0))["text"].alias("text"))
+
+
+@query(f"WITH {ENTRIES_SQL} SELECT session_id, arrival AS line_no, coalesce(model, 'codex/unknown') AS model, input, output FROM e")
+def codex_usage_lines(spark, sf):
+    """Every session as a log of cumulative counts, each after its model's line; the source takes the rises, also those of nothing."""
+    so_far = Window.partitionBy("session_id").orderBy("arrival").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = entries(spark, sf).withColumns({"file_path": F.concat(F.lit("/logs/"), "session_id", F.lit(".jsonl")), "line_no": 2 * F.col("arrival") + 1, "all_input": F.sum("input").over(so_far), "all_output": F.sum("output").over(so_far)})
+    total = F.struct(F.col("all_input").alias("input_tokens"), F.col("all_output").alias("output_tokens"))
+    counts = logged(rows, F.struct(F.lit("event_msg").alias("type"), F.struct(F.lit("token_count").alias("type"), F.struct(total.alias("total_token_usage")).alias("info")).alias("payload")))
+    models = logged(rows.withColumn("line_no", F.col("line_no") - 1), F.struct(F.lit("turn_context").alias("type"), F.struct("model").alias("payload")))
+    first = rows.groupBy("file_path", "session_id").agg(F.lit(-1).alias("line_no"))
+    heads = logged(first, F.struct(F.lit("session_meta").alias("type"), F.struct(F.col("session_id").alias("id"), F.lit("/work").alias("cwd")).alias("payload")))
+    found = codex_log.usage_entries(counts.union(models).union(heads))
+    return found.select("session_id", F.floor((F.col("line_no") - 1) / 2).cast("long").alias("line_no"), "model", "input", "output")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from transcript_lake.functions.text import rollout_session_id
+from transcript_lake.functions.text import filled, rollout_session_id
 from transcript_lake.functions.usage import zero
 from transcript_lake.operators.codex import carry_forward, cumulative_delta, final_value
 from transcript_lake.sources.jsonl import PART, entry_rows, instant, parsed, part, usage_rows
@@ -32,7 +32,7 @@ def _envelopes(lines: DataFrame) -> DataFrame:
     counted = (F.col("j.type") == "event_msg") & (p["type"] == "token_count")
     return rows.select(
         "file_path", "line_no", instant(F.col("j.timestamp")).alias("ts"), F.col("j.type").alias("type"), p.alias("p"),
-        F.when(F.col("j.type") == "session_meta", p["id"]).alias("session_id"), F.when(F.col("j.type") == "session_meta", p["cwd"]).alias("project"), F.when(F.col("j.type") == "turn_context", p["model"]).alias("model"),
+        F.when(F.col("j.type") == "session_meta", filled(p["id"])).alias("session_id"), F.when(F.col("j.type") == "session_meta", filled(p["cwd"])).alias("project"), F.when(F.col("j.type") == "turn_context", filled(p["model"])).alias("model"),
         F.when(counted, split(F.coalesce(p["info"]["total_token_usage"], p["total_token_usage"]))).alias("total"), F.when(counted, split(F.coalesce(p["info"]["last_token_usage"], p["last_token_usage"]))).alias("last"), p["info"]["model_context_window"].alias("context_window"),
     )
 
