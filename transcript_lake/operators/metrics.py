@@ -43,24 +43,20 @@ def _edit(old: list[str], new: list[str]):
 def file_touches(calls: DataFrame) -> DataFrame:
     """calls of the file tools with path, kind (read or edit), added and removed lines. Providers without rules have none.
 
-    Rules are in the code, so paths and churn are chosen by expressions and nothing is joined."""
-    rows = []
-    for provider, tool, kind, paths, old, new, edits in RULES:
-        here = calls.where((F.lower("provider") == provider) & (F.lower("name") == tool))
-        churn = F.struct(F.lit(0).cast("long").alias("added"), F.lit(0).cast("long").alias("removed"))
+    Rules are in the code, so paths and churn are chosen by expressions: one pass over calls, and nothing is joined."""
+    path, kind, churn = [], [], [F.struct(F.lit(None).cast("long").alias("added"), F.lit(None).cast("long").alias("removed"))]
+    for provider, tool, kind_, paths, old, new, edits in RULES:
+        here = (F.lower("provider") == provider) & (F.lower("name") == tool)
+        path.append(F.when(here, first_filled(F.col("input"), paths)))
+        kind.append(F.when(here, F.lit(kind_)))
         if old:
-            single = line_churn(first_filled(F.col("input"), old), first_filled(F.col("input"), new))
+            change = line_churn(first_filled(F.col("input"), old), first_filled(F.col("input"), new))
             if edits:
                 each = F.try_variant_get("input", f"$.{edits}", "array<variant>")
-                many = edits_churn(F.transform(each, _edit(old, new)))
-                churn = F.when(F.size(each) > 0, many).otherwise(single)
-            else:
-                churn = single
-        rows.append(here.withColumns({"path": first_filled(F.col("input"), paths), "kind": F.lit(kind), "_churn": churn}))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out.where("path is not null").withColumns({"added": F.coalesce("_churn.added", F.lit(0)), "removed": F.coalesce("_churn.removed", F.lit(0))}).drop("_churn")
+                change = F.when(F.size(each) > 0, edits_churn(F.transform(each, _edit(old, new)))).otherwise(change)
+            churn.insert(0, F.when(here, change))
+    rows = calls.withColumns({"path": F.coalesce(*path), "kind": F.coalesce(*kind)}).where("path is not null").withColumn("_churn", F.coalesce(*churn))
+    return rows.withColumns({"added": F.coalesce("_churn.added", F.lit(0)), "removed": F.coalesce("_churn.removed", F.lit(0))}).drop("_churn")
 
 
 def process_metrics(entries: DataFrame) -> DataFrame:

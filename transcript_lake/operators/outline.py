@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from transcript_lake.functions.text import first_line, prose_summary, result_status, tool_summary
 from transcript_lake.operators.messages import with_results
@@ -37,12 +39,22 @@ def outline(entries: DataFrame) -> DataFrame:
 
 
 def with_folds(items: DataFrame) -> DataFrame:
-    """Outline rows with has_kids and descendants, the run of deeper rows that follows."""
-    order = Window.partitionBy("session_id").orderBy("seq", "sub_seq")
-    rows = items.withColumns({"_at": F.row_number().over(order), "has_kids": F.coalesce(F.lead("level").over(order) > F.col("level"), F.lit(False)), "_n": F.count("*").over(Window.partitionBy("session_id"))})
-    ends = rows.select("session_id", F.col("_at").alias("_next"), F.col("level").alias("_level"))
-    after = rows.join(ends, "session_id").where("_next > _at and _level <= level").groupBy("session_id", "_at").agg(F.min("_next").alias("_next"))
-    return rows.join(after, ["session_id", "_at"], "left").withColumn("descendants", F.coalesce(F.col("_next"), F.col("_n") + 1) - F.col("_at") - 1).drop("_at", "_next", "_n")
+    """Outline rows with has_kids and descendants, the run of deeper rows that follows. level is never null.
+    One walk over a session's rows from their end, with the rows not yet passed by a row as high on a stack."""
+
+    def fold(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("seq", "ascending"), ("sub_seq", "ascending")])
+        levels = rows.column("level").to_pylist()
+        runs, stack = [0] * len(levels), []
+        for i in range(len(levels) - 1, -1, -1):
+            while stack and levels[stack[-1]] > levels[i]:
+                stack.pop()
+            runs[i] = (stack[-1] if stack else len(levels)) - i - 1
+            stack.append(i)
+        return rows.append_column("has_kids", pa.array([n > 0 for n in runs], pa.bool_())).append_column("descendants", pa.array(runs, pa.int64()))
+
+    schema = T.StructType([*items.schema.fields, T.StructField("has_kids", T.BooleanType()), T.StructField("descendants", T.LongType())])
+    return items.groupBy("session_id").applyInArrow(fold, schema)
 
 
 def activity_label(entries: DataFrame) -> DataFrame:

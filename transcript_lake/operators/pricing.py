@@ -38,9 +38,10 @@ def resolve_models(models: DataFrame, pricing: DataFrame) -> DataFrame:
     return pairs.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n")
 
 
-def with_cost(entries: DataFrame, pricing: DataFrame, mode: str = "auto") -> DataFrame:
-    """entries with cost and missing_model; native_cost is the log's own, if any."""
-    known = resolve_models(entries, pricing).join(pricing, "model_key").select("model", F.struct(*RATES).alias("_rates"))
+def with_cost(entries: DataFrame, pricing: DataFrame, mode: str = "auto", names: DataFrame | None = None) -> DataFrame:
+    """entries with cost and missing_model; native_cost is the log's own, if any. The models are looked for in names, which holds
+    all that entries have: rows as they were before dedup, so that their count need not run it."""
+    known = resolve_models(entries if names is None else names, pricing).join(pricing, "model_key").select("model", F.struct(*RATES).alias("_rates"))
     rows = entries.join(small(known), "model", "left")
     native = F.col("native_cost") if "native_cost" in entries.columns else F.lit(None).cast("double")
     return rows.withColumns({"cost": entry_cost(native, F.col("_rates"), mode), "missing_model": missing_model(native, F.col("_rates"), mode)}).drop("_rates")

@@ -7,11 +7,11 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from transcript_lake.functions.text import clean_path, line_churn, shortened
+from transcript_lake.functions.text import agent_label, clean_path, config_hash, line_churn, provider_of, session_parts, shortened
 from transcript_lake.functions.usage import context_tokens, limit_status, raw_cost, tiered_cost, total_tokens
 from transcript_lake.operators import arms, blocks, catalog, codex, messages, metrics, outline, pricing, rollup, tree
 from transcript_lake.operators.dedup import dedup
-from transcript_lake.sources import claude, codex as codex_log
+from transcript_lake.sources import claude, codex as codex_log, opencode, pi, workflow
 from transcript_lake.plans.testdata import DEDUP_SQL, ENTRIES_SQL, RATE_SQL, TREE_SQL, published_prices, table, tree_rows, usage_entries
 
 QUERIES: dict = {}
@@ -33,7 +33,8 @@ def entries(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def priced(spark: SparkSession, sf: str) -> DataFrame:
-    return pricing.with_cost(dedup(entries(spark, sf)), pricing.pricing_table(published_prices(spark)))
+    rows = entries(spark, sf)
+    return pricing.with_cost(dedup(rows), pricing.pricing_table(published_prices(spark)), names=rows)
 
 
 SUMS = "sum(input)::BIGINT AS input, sum(output)::BIGINT AS output, sum(cache_read)::BIGINT AS cache_read, sum(cache_write_5m)::BIGINT AS cache_write_5m, sum(input + output + cache_read + cache_write_5m)::BIGINT AS total_tokens, count(*) AS messages"
@@ -322,7 +323,14 @@ def turns_per_session(spark, sf):
     return metrics.process_metrics(rows).select("session_id", F.col("turns").cast("long").alias("turns"))
 
 
-@query()
+@query(
+    "WITH p AS (SELECT doc_id, text, lag(text) OVER (PARTITION BY source, lang, doc_id // 1000 ORDER BY doc_id) AS old FROM documents), "
+    "l AS (SELECT doc_id, CASE WHEN coalesce(old, '') = '' THEN [] ELSE string_split(CASE WHEN ends_with(old, chr(10)) THEN left(old, -1) ELSE old END, chr(10)) END AS a, "
+    "CASE WHEN coalesce(text, '') = '' THEN [] ELSE string_split(CASE WHEN ends_with(text, chr(10)) THEN left(text, -1) ELSE text END, chr(10)) END AS b FROM p), "
+    "f AS (SELECT *, least(len(a), len(b)) AS m, coalesce(nullif(list_position(list_transform(range(1, least(len(a), len(b)) + 1), lambda i: a[i] = b[i]), FALSE), 0) - 1, least(len(a), len(b))) AS front FROM l), "
+    "k AS (SELECT *, coalesce(nullif(list_position(list_transform(range(1, m - front + 1), lambda i: a[len(a) + 1 - i] = b[len(b) + 1 - i]), FALSE), 0) - 1, m - front) AS back FROM f) "
+    "SELECT doc_id, (len(b) - front - back)::BIGINT AS added, (len(a) - front - back)::BIGINT AS removed FROM k"
+)
 def line_churns(spark, sf):
     """Each document's lines against those of the document before it in its source and language."""
     docs = table(spark, sf, "documents").select("doc_id", "text", F.lag("text").over(Window.partitionBy("source", "lang", F.floor(F.col("doc_id") / 1000)).orderBy("doc_id")).alias("old"))
@@ -410,3 +418,115 @@ def codex_usage_lines(spark, sf):
     heads = logged(first, F.struct(F.lit("session_meta").alias("type"), F.struct(F.col("session_id").alias("id"), F.lit("/work").alias("cwd")).alias("payload")))
     found = codex_log.usage_entries(counts.union(models).union(heads))
     return found.select("session_id", F.floor((F.col("line_no") - 1) / 2).cast("long").alias("line_no"), "model", "input", "output")
+
+
+@query(f"WITH {ENTRIES_SQL} SELECT session_id, '/' || project AS project, arrival AS line_no, model, input, output, cache_read, cache_write_5m, output::DOUBLE AS native_cost FROM e")
+def pi_usage_lines(spark, sf):
+    """Every session as a tree log with a header; the log's own cost is read with the counts."""
+    rows = entries(spark, sf).withColumns({"file_path": F.concat(F.lit("/logs/.pi/"), "session_id", F.lit(".jsonl")), "line_no": F.col("arrival")})
+    usage = F.struct("input", "output", F.col("cache_read").alias("cacheRead"), F.col("cache_write_5m").alias("cacheWrite"), F.struct(F.col("output").alias("total")).alias("cost"))
+    said = logged(rows, F.struct(F.lit("message").alias("type"), F.struct(F.lit("assistant").alias("role"), "model", usage.alias("usage")).alias("message")))
+    first = rows.groupBy("file_path", "session_id", "project").agg(F.lit(-1).alias("line_no"))
+    heads = logged(first, F.struct(F.lit("session").alias("type"), F.col("session_id").alias("id"), F.concat(F.lit("/"), "project").alias("cwd")))
+    return pi.usage_entries(said.union(heads)).select("session_id", "project", "line_no", "model", "input", "output", "cache_read", "cache_write_5m", "native_cost")
+
+
+@query(
+    f"WITH {ENTRIES_SQL} SELECT session_id, CASE WHEN project = 'p3' THEN 'id3' ELSE '/' || project END AS project, 'e' || arrival AS message_id, concat_ws('/', provider, model) AS model, input, output, cache_read, cache_write_5m, "
+    "CASE WHEN output > 0 THEN output::DOUBLE END AS native_cost FROM e WHERE input > 0 OR output > 0"
+)
+def opencode_usage_fragments(spark, sf):
+    """Every event as a message fragment, its session as a session fragment; one project has no directory."""
+    rows = entries(spark, sf)
+    fragment = lambda record, schema: F.from_json(F.to_json(record), schema)
+    where = F.when(F.col("project") == "p3", "").otherwise(F.concat(F.lit("/"), "project"))
+    head = F.struct(F.col("session_id").alias("id"), F.lit("id3").alias("projectID"), where.alias("directory"))
+    sessions = rows.select("session_id", "project").distinct().select(fragment(head, opencode.SESSION).alias("r"), F.col("session_id").alias("file_path")).select("r.*", "file_path")
+    tokens = F.struct("input", "output", F.struct(F.col("cache_read").alias("read"), F.col("cache_write_5m").alias("write")).alias("cache"))
+    message = F.struct(F.concat(F.lit("e"), "arrival").alias("id"), F.col("session_id").alias("sessionID"), F.lit("assistant").alias("role"), F.col("provider").alias("providerID"), F.col("model").alias("modelID"), F.col("output").cast("double").alias("cost"), tokens.alias("tokens"))
+    messages_ = rows.select(fragment(message, opencode.MESSAGE).alias("r"), F.col("session_id").alias("file_path")).select("r.*", "file_path")
+    return opencode.usage_entries(sessions, messages_).select("session_id", "project", "message_id", "model", "input", "output", "cache_read", "cache_write_5m", "native_cost")
+
+
+FILE_DEDUP_SQL = DEDUP_SQL.replace("\ne AS (", "\ne0 AS (", 1).replace(
+    ",\nf AS (", ",\ne AS (SELECT * REPLACE (CASE WHEN message_id = '' THEN '' ELSE session_id || '/' || coalesce(agent_id, '') || '/' || message_id END AS message_id) FROM e0),\nf AS (", 1
+)
+
+
+@query(f"WITH {FILE_DEDUP_SQL} SELECT session_id || '/' || coalesce(agent_id, '') AS file_path, {SUMS} FROM d GROUP BY ALL")
+def transcript_usage(spark, sf):
+    """A file for each session and agent, replays taken out within it only."""
+    rows = entries(spark, sf).withColumn("file_path", F.concat("session_id", F.lit("/"), F.coalesce("agent_id", F.lit(""))))
+    return rollup.transcript_totals(rows).select("file_path", *SUMMED)
+
+
+@query(f"WITH {ENTRIES_SQL} SELECT session_id, CASE WHEN bool_or(agent_id IS NULL) THEN max(project) ELSE 'other' END AS project, {SUMS} FROM e GROUP BY session_id")
+def usage_with_agents(spark, sf):
+    """Agents' files, under names and projects of their own, count with the session that they name inside."""
+    own = F.col("agent_id").isNull()
+    name = F.when(own, F.col("session_id")).otherwise(F.concat("agent_id", F.lit("-"), "session_id"))
+    rows = entries(spark, sf).withColumns({"project": F.when(own, F.col("project")).otherwise("other"), "file_path": F.concat(F.lit("/logs/"), name, F.lit(".jsonl")), "line_no": F.lit(0).cast("long")})
+    inner = catalog.inner_session_ids(rows)
+    return rollup.by_inner_session(rows.withColumn("session_id", name), inner).groupBy("session_id", "project").agg(*rollup.sums()).select("session_id", "project", *SUMMED)
+
+
+@query(
+    f"WITH {DEDUP_SQL}, {RATE_SQL}, m AS (SELECT provider, project, session_id, model, sum(input + output + cache_read + cache_write_5m)::BIGINT AS total, max(ts) AS ts FROM d GROUP BY ALL) "
+    "SELECT session_id AS \"sessionId\", project AS \"projectPath\", sum(total)::BIGINT AS \"totalTokens\", strftime(max(ts), '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS \"lastActivity\", "
+    "coalesce(array_to_string(list_sort(list(model) FILTER (model IS NOT NULL)), ','), '') AS names FROM m GROUP BY provider, project, session_id HAVING sum(total) > 0"
+)
+def usage_report(spark, sf):
+    """The report's document a session; names are those of its breakdowns."""
+    rows = priced(spark, sf)
+    out = rollup.report(rollup.session_usage(rows), rollup.model_usage(rows))
+    return out.select("sessionId", "projectPath", "totalTokens", "lastActivity", F.array_join(F.transform("modelBreakdowns", lambda m: m["modelName"]), ",").alias("names"))
+
+
+@query(
+    "WITH v AS (SELECT conv_id AS c, turn AS t, TRUE AS s, NULL::VARCHAR AS r FROM conversations WHERE role = 'user' UNION ALL SELECT conv_id, turn - 1, FALSE, '{\"n\":' || coalesce(length(text), 0) || '}' FROM conversations WHERE role = 'assistant'), "
+    "j AS (SELECT c, t, bool_or(s) AS started, max(r) AS result FROM v GROUP BY c, t), f AS (SELECT DISTINCT conv_id AS c, turn AS t, '/runs/wf_' || conv_id || '/agent-a' || turn || '.jsonl' AS transcript FROM conversations) "
+    "SELECT 'wf_' || c AS run_id, 'a' || t AS agent_id, coalesce(started, FALSE) AS started, result, transcript FROM j FULL JOIN f USING (c, t)"
+)
+def workflow_runs(spark, sf):
+    """Conversations as runs: a user's turn starts an agent, the assistant's brings its result, every turn has a transcript."""
+    turns = table(spark, sf, "conversations")
+    folder = F.concat(F.lit("/runs/wf_"), "conv_id")
+    at = turns.where("role in ('user', 'assistant')").withColumns({"file_path": F.concat(folder, F.lit("/journal.jsonl")), "line_no": F.col("turn")})
+    started = F.struct(F.lit("started").alias("type"), F.concat(F.lit("a"), "turn").alias("agentId"))
+    result = F.struct(F.lit("result").alias("type"), F.concat(F.lit("a"), F.col("turn") - 1).alias("agentId"), F.struct(F.coalesce(F.length("text"), F.lit(0)).alias("n")).alias("result"))
+    agents = turns.withColumns({"file_path": F.concat(folder, F.lit("/agent-a"), "turn", F.lit(".jsonl")), "line_no": F.lit(0)})
+    lines = logged(at.where("role = 'user'"), started).union(logged(at.where("role = 'assistant'"), result)).union(logged(agents, F.struct(F.lit("user").alias("type"))))
+    return workflow.runs(lines)
+
+
+@query(
+    "SELECT doc_id, sha256('{' || CASE WHEN coalesce(lang, '') <> '' THEN '\"model\":\"' || lang || '\",' ELSE '' END || CASE WHEN coalesce(source, '') <> '' THEN '\"provider\":\"' || source || '\",' ELSE '' END || "
+    "'\"components\":{\"context\":\"' || coalesce(lang, '') || '\",\"plan\":\"' || coalesce(source, '') || '\"}}') AS config_hash FROM documents"
+)
+def config_hashes(spark, sf):
+    """A configuration for each document; its components are given out of order."""
+    components = F.create_map(F.lit("plan"), F.coalesce("source", F.lit("")), F.lit("context"), F.coalesce("lang", F.lit("")))
+    return table(spark, sf, "documents").select("doc_id", config_hash(F.col("lang"), F.col("source"), F.lit(None).cast("string"), components).alias("config_hash"))
+
+
+@query(
+    "WITH s AS (SELECT user_id AS session_id, event_id AS pos, event_type, (props->>'$.k')::BIGINT AS k FROM events), t AS (SELECT session_id, arg_max(k, pos) FILTER (event_type = 'click') AS turns FROM s GROUP BY session_id), "
+    "m AS (SELECT session_id, 'm.k' || (k % 5) AS metric, arg_max(k, pos)::DOUBLE AS value FROM s WHERE event_type <> 'error' GROUP BY ALL) SELECT session_id, metric, value, turns::INT AS turns FROM m JOIN t USING (session_id)"
+)
+def merged_metrics(spark, sf):
+    """Every event as a metric stamp: a later value wins, keys of another form are left out, turns are the last ones given."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    name = F.when(F.col("event_type") == "error", "Bad key").otherwise(F.concat(F.lit("m.k"), k % 5))
+    data = F.to_json(F.struct(F.create_map(name, k).alias("metrics"), F.when(F.col("event_type") == "click", k).alias("turns")))
+    stamps = table(spark, sf, "events").select(F.col("user_id").alias("session_id"), F.lit("x").alias("leaf_id"), F.col("event_id").alias("pos"), F.col("event_id").alias("id"), F.lit(arms.METRIC_TYPE).alias("custom_type"), data.alias("data_json"))
+    return arms.metric_stamps(stamps).select("session_id", F.explode("component_metrics").alias("metric", "value"), "turns")
+
+
+@query(f"WITH {ENTRIES_SQL} SELECT arrival, provider, session_id, project, coalesce(agent_id, 'parent') AS agent FROM e")
+def path_facts(spark, sf):
+    """Runtime, session, project and agent, told from a log's path."""
+    home = F.element_at(F.create_map(*map(F.lit, ("claude", "/h/.claude", "codex", "/h/.codex", "opencode", "/h/opencode/storage", "pi", "/h/.pi"))), F.col("provider"))
+    file = F.when(F.col("agent_id").isNull(), ".jsonl").otherwise(F.concat(F.lit("/subagents/agent-"), "agent_id", F.lit(".jsonl")))
+    rows = entries(spark, sf).select("arrival", F.concat(home, F.lit("/projects/"), "project", F.lit("/"), "session_id", file).alias("path"))
+    parts = session_parts(F.col("path"))
+    return rows.select("arrival", provider_of(F.col("path")).alias("provider"), parts["session_id"].alias("session_id"), parts["project"].alias("project"), agent_label(F.col("path")).alias("agent"))
