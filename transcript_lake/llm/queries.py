@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from transcript_lake.llm import binary, chains, counts, flac, html, jaccard, mixing, packing, pii, rules
+from transcript_lake.llm import binary, chains, counts, flac, html, jaccard, merkle, mixing, packing, pii, rules
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_html": html.op8_html,
     "op9_rules": rules.op9_rules,
     "op10_mixing": mixing.op10_mixing,
+    "op12_merkle": merkle.op12_merkle,
 }
-ORACLES = {"op9_rules": rules.ORACLE, "op10_mixing": mixing.ORACLE}
+ORACLES = {"op9_rules": rules.ORACLE, "op10_mixing": mixing.ORACLE, "op12_merkle": merkle.ORACLE}
