@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from transcript_lake.llm import binary, chains, counts, flac, html, jaccard, merkle, mixing, packing, pii, rules
+from transcript_lake.llm import binary, chains, counts, flac, html, jaccard, merkle, mixing, packing, pii, resampling, rules
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -16,5 +16,6 @@ QUERIES = {
     "op9_rules": rules.op9_rules,
     "op10_mixing": mixing.op10_mixing,
     "op12_merkle": merkle.op12_merkle,
+    "op13_resampling": resampling.op13_resampling,
 }
-ORACLES = {"op9_rules": rules.ORACLE, "op10_mixing": mixing.ORACLE, "op12_merkle": merkle.ORACLE}
+ORACLES = {"op9_rules": rules.ORACLE, "op10_mixing": mixing.ORACLE, "op12_merkle": merkle.ORACLE, "op13_resampling": resampling.ORACLE}
