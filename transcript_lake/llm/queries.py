@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from transcript_lake.llm import binary, chains, counts, flac, html, jaccard, merkle, mixing, packing, pii, resampling, rules
+from transcript_lake.llm import binary, chains, counts, flac, html, jaccard, merkle, mixing, packing, pii, pitman_yor, resampling, rules
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_html": html.op8_html,
     "op9_rules": rules.op9_rules,
     "op10_mixing": mixing.op10_mixing,
+    "op11_pitman_yor": pitman_yor.op11_pitman_yor,
     "op12_merkle": merkle.op12_merkle,
     "op13_resampling": resampling.op13_resampling,
 }
