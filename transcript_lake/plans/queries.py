@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from transcript_lake.functions.text import agent_label, clean_path, config_hash, line_churn, provider_of, session_parts, shortened
 from transcript_lake.functions.usage import context_tokens, limit_status, raw_cost, tiered_cost, total_tokens
 from transcript_lake.operators import arms, blocks, catalog, codex, messages, metrics, outline, pricing, rollup, tree
+from transcript_lake.operators.common import shared_folder
 from transcript_lake.operators.dedup import dedup
-from transcript_lake.sources import claude, codex as codex_log, opencode, pi, workflow
+from transcript_lake.sources import claude, codex as codex_log, jsonl, opencode, pi, workflow
 from transcript_lake.plans.testdata import DEDUP_SQL, ENTRIES_SQL, RATE_SQL, TREE_SQL, published_prices, table, tree_rows, usage_entries
 
 QUERIES: dict = {}
@@ -530,3 +531,17 @@ def path_facts(spark, sf):
     rows = entries(spark, sf).select("arrival", F.concat(home, F.lit("/projects/"), "project", F.lit("/"), "session_id", file).alias("path"))
     parts = session_parts(F.col("path"))
     return rows.select("arrival", provider_of(F.col("path")).alias("provider"), parts["session_id"].alias("session_id"), parts["project"].alias("project"), agent_label(F.col("path")).alias("agent"))
+
+
+@query(
+    "SELECT role, row_number() OVER (PARTITION BY role ORDER BY conv_id, turn, text) - 1 AS line_no, conv_id, turn, coalesce(length(text), 0)::BIGINT AS chars FROM conversations"
+)
+def raw_log_lines(spark, sf):
+    """Turns written as one log a role, each read by ranges of 16 KB, and numbered as lines of their file."""
+    folder = shared_folder(spark, "logs")
+    turns = table(spark, sf, "conversations")
+    lines = turns.select("role", F.to_json(F.struct("conv_id", "turn", "text")).alias("value"), "conv_id", "turn", "text")
+    lines.repartition("role").sortWithinPartitions("role", "conv_id", "turn", "text").select("role", "value").write.partitionBy("role").text(folder)
+    read = jsonl.raw_lines(spark, folder, "*.txt", split_bytes=16 * 1024)
+    said = read.withColumn("j", F.from_json("line", "conv_id bigint, turn bigint, text string"))
+    return said.select(F.regexp_extract("file_path", "role=([^/]*)", 1).alias("role"), "line_no", "j.conv_id", "j.turn", F.coalesce(F.length("j.text"), F.lit(0)).cast("long").alias("chars"))

@@ -2,20 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from transcript_lake.functions.text import base_name
+from transcript_lake.operators.common import BROADCAST_ROWS
+from transcript_lake.sources.line_source import SPLIT_BYTES, LineSource, files_below
 
 #: Lines longer than this are rejected, whichever source they come from.
 MAX_LINE_BYTES = 16 * 1024 * 1024
 
 
-def raw_lines(spark: SparkSession, path: str, pattern: str = "*.jsonl") -> DataFrame:
-    """(file_path, modified_at, line_no, line) of all files below path. Files are read whole, so that lines keep their numbers."""
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path, wholetext=True)
-    rows = files.select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_modification_time").alias("modified_at"), F.posexplode(F.split("value", "\n", -1)).alias("line_no", "line"))
-    return rows.withColumn("line_no", F.col("line_no").cast("long"))
+def raw_lines(spark: SparkSession, path: str, pattern: str = "*.jsonl", split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """(file_path, modified_at, line_no, line) of all files below path, numbered from 0 in each file. Files larger than
+    split_bytes are read by several tasks; for those alone, a first pass counts the lines of each range, and its prefix sums
+    are joined on. A missing folder has no lines."""
+    spark.dataSource.register(LineSource)
+    options = {"path": path, "pattern": pattern, "splitBytes": split_bytes}
+    lines = spark.read.format("lines").options(**options).load()
+    further = sum(max(0, -(-size // split_bytes) - 1) for _, size, _ in files_below(path, pattern))
+    if not further:
+        return lines.select("file_path", "modified_at", F.col("nth").alias("line_no"), "line")
+    counts = spark.read.format("lines").options(**options, counts=True).load()
+    before = Window.partitionBy("file_path").orderBy("range_start")
+    # a range's first number is the sum of those before it
+    firsts = counts.select("file_path", (F.col("range_start") + split_bytes).alias("range_start"), F.sum("lines").over(before).alias("first"))
+    firsts = F.broadcast(firsts) if further <= BROADCAST_ROWS else firsts  # one row a range
+    numbered = lines.join(firsts, ["file_path", "range_start"], "left")
+    return numbered.select("file_path", "modified_at", (F.col("nth") + F.coalesce("first", F.lit(0))).alias("line_no"), "line")
+
+
+def head_lines(spark: SparkSession, path: str, n: int, pattern: str = "*.jsonl") -> DataFrame:
+    """raw_lines of the first n lines of each file, of which no more is read than holds them."""
+    spark.dataSource.register(LineSource)
+    lines = spark.read.format("lines").option("path", path).option("pattern", pattern).option("headLines", n).load()
+    return lines.select("file_path", "modified_at", F.col("nth").alias("line_no"), "line")
 
 
 def chat_lines(spark: SparkSession, path: str) -> DataFrame:
