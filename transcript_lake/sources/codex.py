@@ -54,8 +54,10 @@ def usage_entries(lines: DataFrame) -> DataFrame:
 
 def entries(lines: DataFrame) -> DataFrame:
     """Agent messages, reasoning, user messages, calls and results; token counts as entries without parts. Messages that only
-    set the environment are left out; arguments that are no JSON are kept as text."""
-    rows = carry_forward(_envelopes(lines), ["session_id"])
+    set the environment are left out; arguments that are no JSON are kept as text. In a stream, where no row knows those before
+    it, the session is that of the file's name."""
+    rows = _envelopes(lines)
+    rows = rows.withColumn("session_id", F.lit(None).cast("string")) if lines.isStreaming else carry_forward(rows, ["session_id"])
     p, kind = F.col("p"), F.concat_ws(".", "type", "p.type")
     arguments = F.coalesce(F.try_parse_json(p["arguments"]), F.parse_json(F.to_json(F.struct(F.nullif(p["arguments"], F.lit("")).alias("arguments")))))
     texts = F.transform(F.filter(p["content"], lambda c: c["type"].isin("input_text", "output_text") & (F.coalesce(c["text"], F.lit("")) != "")), lambda c: part(type=F.lit("text"), text=c["text"]))

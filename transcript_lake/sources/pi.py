@@ -15,7 +15,10 @@ BLOCK = "array<struct<type: string, text: string, thinking: string, id: string,
 
 
 def rows(lines: DataFrame) -> DataFrame:
-    """Parsed lines with the session id and directory of the file's header on each; without a header, the name tells the id."""
+    """Parsed lines with the session id and directory of the file's header on each; without a header, and in a
+    stream, where no row knows the header's, the name tells the id."""
+    if lines.isStreaming:
+        return parsed(lines, LINE).withColumns({"session_id": tree_session_id(F.col("file_path")), "cwd": F.lit(None).cast("string")})
     whole = Window.partitionBy("file_path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     out = parsed(lines, LINE)
     header = lambda f: F.last(F.when(F.col("j.type") == "session", F.col(f"j.{f}")), ignorenulls=True).over(whole)
