@@ -86,12 +86,42 @@ def test_blocks_follow_the_fold(spark):
         at[k] += timedelta(minutes=rng.choice([1, 20, 60, 120, 300, 301, 500]))
         rows.append((k, at[k], rng.randrange(100)))
     df = spark.createDataFrame(rows, "k string, ts timestamp, input long").selectExpr("*", *[f"0L as {c}" for c in usage.CLASSES if c != "input"], "'m' as model")
-    us = lambda d: [(r.k, r.start, r.first, r.gap) for r in d.collect()]
-    for hours in (1, 3, 5):
-        span = hours * blocks.MICROS
-        assert sorted(us(blocks._starts_by_hour(df, ["k"], span)), key=repr) == sorted(us(blocks._starts_by_fold(df, ["k"], span)), key=repr)
-    whole = blocks.usage_blocks(df, ["k"], 2.5).where("not is_gap")
-    assert whole.agg(F.sum("entries"), F.sum("total_tokens")).first() == (600, sum(r[2] for r in rows))
+    for minutes in (20, 59, 60, 90, 150, 300):
+        got = blocks.usage_blocks(df, ["k"], minutes / 60).collect()
+        assert sorted((r.k, r.start_ts, r.end_ts, r.first_ts, r.last_ts, r.entries, r.total_tokens, r.is_gap) for r in got if not r.is_gap) == folded(rows, timedelta(minutes=minutes))[0]
+        assert sorted((r.k, r.start_ts, r.end_ts) for r in got if r.is_gap) == folded(rows, timedelta(minutes=minutes))[1]
+
+
+def folded(rows, span):
+    """Blocks and gaps by a walk over all rows; those of one instant stay together."""
+    found, gaps = [], []
+    for k in sorted({r[0] for r in rows}):
+        start = None
+        for _, ts, tokens in sorted(r for r in rows if r[0] == k):
+            gap = start is not None and ts - last > span
+            if start is None or gap or (ts - start > span and ts != last):
+                if gap:
+                    gaps.append((k, last + span, ts))
+                start = ts.replace(minute=0, second=0, microsecond=0)
+                found.append([k, start, start + span, ts, ts, 0, 0, False])
+            last = ts
+            found[-1][4] = ts
+            found[-1][5] += 1
+            found[-1][6] += tokens
+    return sorted(map(tuple, found)), sorted(gaps)
+
+
+def test_blocks_at_the_edges(spark):
+    """Times at full hours and at the very end of a span, with a null scope, and none at all."""
+    base, rng = datetime(2025, 3, 1), random.Random(7)
+    times = [base + timedelta(hours=rng.randrange(60), minutes=rng.choice([0, 0, 29, 30, 31]), microseconds=rng.choice([0, 0, 1])) for _ in range(120)]
+    rows = [("x", t, 1) for t in times]
+    df = spark.createDataFrame([(None, t, n) for _, t, n in rows], "k string, ts timestamp, input long").selectExpr("*", *[f"0L as {c}" for c in usage.CLASSES if c != "input"], "'m' as model")
+    for minutes in (30, 60, 90, 300):
+        for scope in ([], ["k"]):
+            got = blocks.usage_blocks(df, scope, minutes / 60).where("not is_gap").collect()
+            assert sorted(("x", r.start_ts, r.end_ts, r.first_ts, r.last_ts, r.entries, r.total_tokens, False) for r in got) == folded(rows, timedelta(minutes=minutes))[0]
+    assert blocks.usage_blocks(df.limit(0), ["k"]).count() == blocks.usage_blocks(df.limit(0), hours=0.5).count() == 0
 
 
 def test_burn_and_projection(spark):

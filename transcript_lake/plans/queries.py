@@ -122,6 +122,16 @@ def usage_blocks(spark, sf):
     return rows.select("session_id", us("start_ts").alias("start_us"), us("end_ts").alias("end_us"), us("first_ts").alias("first_us"), us("last_ts").alias("last_us"), "entries", "total_tokens", F.array_join("models", ",").alias("models"))
 
 
+@query(
+    f"{BLOCK_SQL.replace('INTERVAL 5 HOUR', 'INTERVAL 90 MINUTE')} SELECT session_id, epoch_us(w.start) AS start_us, epoch_us(w.first) AS first_us, epoch_us(max(w.ts)) AS last_us, count(*) AS entries, sum(tokens)::BIGINT AS total_tokens "
+    "FROM w JOIN o USING (session_id, n) GROUP BY session_id, w.start, w.first"
+)
+def short_blocks(spark, sf):
+    """Blocks of 90 minutes."""
+    rows = blocks.usage_blocks(entries(spark, sf), ["session_id"], 1.5).where("not is_gap")
+    return rows.select("session_id", F.unix_micros("start_ts").alias("start_us"), F.unix_micros("first_ts").alias("first_us"), F.unix_micros("last_ts").alias("last_us"), "entries", "total_tokens")
+
+
 @query(f"{BLOCK_SQL} SELECT session_id, epoch_us(gap) + 18000000000 AS start_us, epoch_us(ts) AS end_us FROM w WHERE gap IS NOT NULL")
 def gap_blocks(spark, sf):
     return blocks.usage_blocks(entries(spark, sf), ["session_id"]).where("is_gap").select("session_id", F.unix_micros("start_ts").alias("start_us"), F.unix_micros("end_ts").alias("end_us"))
