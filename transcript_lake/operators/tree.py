@@ -6,6 +6,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from transcript_lake.operators import paths
+from transcript_lake.operators.common import stored
+
 
 def tree_nodes(rows: DataFrame) -> DataFrame:
     """From (session_id, seq, type, id, parent_id, …): the entries, without the header and rows without an id; of rows with one
@@ -32,7 +35,19 @@ def leaves(nodes: DataFrame) -> DataFrame:
 
 def branches(nodes: DataFrame, all_branches: bool = True) -> DataFrame:
     """(session_id, leaf_id, is_active, pos, id): each branch from its root to its leaf. The active branch ends at the last row
-    of the file, leaf or not; a walk stops where it meets an entry again. A session's rows meet in one task; sessions are files."""
+    of the file, leaf or not; a walk stops where it meets an entry again. Paths come from chains (operators.paths), whose
+    segments say the same in a row for each fork; only sessions whose entries are each other's ancestors are walked whole."""
+    placed, turning = paths.chains(nodes)
+    runs, forked = paths.segments(placed, all_branches)
+    astray = stored(turning.union(forked).distinct(), "tree-circles")
+    found = paths.along(runs, placed)
+    if astray.isEmpty():
+        return found
+    return found.join(astray, "session_id", "left_anti").unionByName(walked(nodes.join(astray, "session_id", "left_semi"), all_branches))
+
+
+def walked(nodes: DataFrame, all_branches: bool = True) -> DataFrame:
+    """branches by a walk up from each leaf, for logs that are broken so that entries are each other's ancestors; a session in a task."""
     id_type = dict(nodes.dtypes)["id"]
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
