@@ -24,20 +24,19 @@ def _linked(nodes: DataFrame) -> DataFrame:
     return known.join(last, KEY, "left")
 
 
-def chains(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def chains(nodes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """(session_id, id, seq, chain, k, up, upk): each entry with the leaf that ends its chain and its place in the chain from 0;
     up and upk are the chain and place of the entry that the chain forks off, null for a chain that begins at a root. And the
-    sessions in which entries are each other's ancestors; these have no place in the first table."""
+    sessions in which entries are each other's ancestors, or None if there are none; these entries are not in the first table."""
     links = stored(_linked(nodes), "tree-links")
     at = links.select("session_id", "id", F.coalesce("next", "id").alias("to"), F.col("next").isNotNull().cast("long").alias("far"), F.col("next").isNull().alias("done"))
-    at = stored(at, "tree-pointers")
-    left, before = at.where("not done").count(), None
+    left, before = links.where("next is not null").count(), None
     while left and left != before:  # as many as before: what is left runs in circles
         to = at.select("session_id", F.col("id").alias("to"), F.col("to").alias("_to"), F.col("far").alias("_far"), F.col("done").alias("_done"))
         moved = at.where("not done").join(to, ["session_id", "to"]).select("session_id", "id", F.col("_to").alias("to"), (F.col("far") + F.col("_far")).alias("far"), F.col("_done").alias("done"))
         at = stored(at.where("done").unionByName(moved), "tree-pointers")
         before, left = left, at.where("not done").count()
-    turning = at.where("not done").select("session_id").distinct()
+    turning = at.where("not done").select("session_id").distinct() if left else None
     rows = links.join(at.where("done").select("session_id", "id", F.col("to").alias("chain"), "far"), KEY)
     long = rows.groupBy("session_id", "chain").agg(F.max("far").alias("last"), F.max_by("parent_id", "far").alias("_fork"))
     placed = rows.join(long, ["session_id", "chain"]).withColumn("k", F.col("last") - F.col("far"))
@@ -46,10 +45,10 @@ def chains(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return out, turning
 
 
-def segments(placed: DataFrame, all_branches: bool = True) -> tuple[DataFrame, DataFrame]:
+def segments(placed: DataFrame, all_branches: bool = True) -> tuple[DataFrame, DataFrame | None]:
     """From chains: (session_id, leaf_id, is_active, chain, upto, base), a row for each chain that a branch runs along: its
     entries from place 0 to upto, the first of which is at base on the branch. The active branch ends at the last row of the
-    file, leaf or not. And the sessions in which chains fork off each other."""
+    file, leaf or not. And the sessions in which chains fork off each other, or None."""
     newest = placed.groupBy("session_id").agg(F.max_by("id", "seq").alias("_last"))
     ends = placed.join(newest, "session_id").where((F.col("id") == F.col("_last")) | ((F.col("id") == F.col("chain")) & F.lit(all_branches)))
     step = ends.select("session_id", F.col("id").alias("leaf_id"), (F.col("id") == F.col("_last")).alias("is_active"), "chain", F.col("k").alias("upto"), F.lit(0).alias("level"), "up", "upk")
@@ -62,7 +61,7 @@ def segments(placed: DataFrame, all_branches: bool = True) -> tuple[DataFrame, D
         step = stored(step.where("up is not null").join(above, ["session_id", "up"]).select("session_id", "leaf_id", "is_active", F.col("up").alias("chain"), F.col("upk").alias("upto"), F.lit(level).alias("level"), F.col("_up").alias("up"), F.col("_upk").alias("upk")), "tree-segments")
         found.append(step)
         before, left = left, step.where("up is not null").count()
-    turning = step.where("up is not null").select("session_id").distinct()
+    turning = step.where("up is not null").select("session_id").distinct() if left else None
     all_ = found[0]
     for x in found[1:]:
         all_ = all_.unionByName(x)

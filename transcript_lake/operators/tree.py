@@ -39,10 +39,11 @@ def branches(nodes: DataFrame, all_branches: bool = True) -> DataFrame:
     segments say the same in a row for each fork; only sessions whose entries are each other's ancestors are walked whole."""
     placed, turning = paths.chains(nodes)
     runs, forked = paths.segments(placed, all_branches)
-    astray = stored(turning.union(forked).distinct(), "tree-circles")
     found = paths.along(runs, placed)
-    if astray.isEmpty():
+    circles = [x for x in (turning, forked) if x is not None]
+    if not circles:
         return found
+    astray = stored(circles[0].union(circles[-1]).distinct(), "tree-circles")
     return found.join(astray, "session_id", "left_anti").unionByName(walked(nodes.join(astray, "session_id", "left_semi"), all_branches))
 
 
