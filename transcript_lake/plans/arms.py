@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from transcript_lake.functions.text import bundle_path, first_filled
 from transcript_lake.operators import arms, metrics, tree
+from transcript_lake.operators.common import stored
 from transcript_lake.sources import pi
 
 #: Between a session and a leaf where both make one key; no id holds it.
@@ -16,10 +17,10 @@ BETWEEN = "\x1f"
 def lift_arms(lines: DataFrame, all_branches: bool = False, config_type: str = arms.CONFIG_TYPE, metric_type: str = arms.METRIC_TYPE) -> tuple[DataFrame, DataFrame]:
     """(arms, warnings) of the active branch of each session, or of all its branches.
 
-    Sessions are rebuilt once; stamps, metrics, cost, process metrics and warnings join on (session_id, leaf_id)."""
-    rows = pi.tree_rows(lines)
+    Lines are parsed and sessions rebuilt once, and kept as tables; stamps, metrics, cost, process metrics and warnings join on (session_id, leaf_id)."""
+    rows = stored(pi.tree_rows(lines), "arm-rows")
     nodes = tree.tree_nodes(rows)
-    found = tree.branches(nodes, all_branches)
+    found = stored(tree.branches(nodes, all_branches), "arm-branches")
     on_branch = tree.linearised(found, nodes.select("session_id", "id", "type", "custom_type", "data_json", "model", "input", "output", "cache_read", "cache_write_5m", "native_cost"))
     custom = on_branch.where("type = 'custom'")
     stamps, marks = arms.config_stamps(custom, config_type), arms.metric_stamps(custom, metric_type)

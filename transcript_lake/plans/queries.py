@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from transcript_lake.functions.text import agent_label, clean_path, config_hash, line_churn, provider_of, session_parts, shortened
 from transcript_lake.functions.usage import context_tokens, limit_status, raw_cost, tiered_cost, total_tokens
-from transcript_lake.operators import arms, blocks, catalog, codex, messages, metrics, outline, pricing, rollup, tree
+from transcript_lake.operators import arms, blocks, catalog, codex, messages, metrics, outline, paths, pricing, rollup, tree
 from transcript_lake.operators.common import shared_folder
 from transcript_lake.operators.dedup import dedup
+from transcript_lake.plans import arms as arm_plans
 from transcript_lake.sources import claude, codex as codex_log, jsonl, opencode, pi, workflow
 from transcript_lake.plans.testdata import DEDUP_SQL, ENTRIES_SQL, RATE_SQL, TREE_SQL, published_prices, table, tree_rows, usage_entries
 
@@ -555,3 +556,94 @@ def raw_log_lines(spark, sf):
     read = jsonl.raw_lines(spark, folder, "*.txt", split_bytes=16 * 1024)
     said = read.withColumn("j", F.from_json("line", "conv_id bigint, turn bigint, text string"))
     return said.select(F.regexp_extract("file_path", "role=([^/]*)", 1).alias("role"), "line_no", "j.conv_id", "j.turn", F.coalesce(F.length("j.text"), F.lit(0)).cast("long").alias("chars"))
+
+
+def experiment_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations as tree logs of experiments. What a turn is, the length of a user's text tells: a compaction (to 60),
+    a stamp of the old flat shape (to 100), one that cannot be read (to 120), a metric (191 to 280), or a configuration (from 281; from 350
+    on with a wrong hash); all else is said."""
+    at = F.concat(F.lit("/logs/.pi/c"), "session_id", F.lit(".jsonl"))
+    rows = tree_rows(table(spark, sf, "conversations")).withColumns({"file_path": at, "line_no": F.col("seq"), "n": F.col("input")})
+    who = [F.concat(F.lit("t"), "id").alias("id"), F.when(F.col("parent_id").isNotNull(), F.concat(F.lit("t"), "parent_id")).alias("parentId")]
+    custom = lambda kind, data: F.struct(F.lit("custom").alias("type"), *who, F.lit(kind).alias("customType"), data.alias("data"))
+    user, n = rows.where("role = 'user'"), F.col("n")
+    plan = F.concat(F.lit("p"), F.floor(n / 100).cast("string"))
+    told = F.concat(F.lit('{"model":"x/alpha","provider":"pi","components":{"plan":"'), plan, F.lit('"}}'))
+    config = F.struct(F.lit("x/alpha").alias("model"), F.lit("pi").alias("provider"), F.struct(plan.alias("plan")).alias("components"))
+    nested = F.struct(F.lit(1).alias("schema"), config.alias("config"), F.when(n < 350, F.sha2(told, 256)).otherwise("wrong").alias("config_hash"), F.col("seq").alias("replicate"))
+    metric = F.struct(F.create_map(F.lit("plan.chars"), n, F.lit("Bad Key"), F.lit(1).cast("long")).alias("metrics"))
+    said = F.struct(
+        F.lit("message").alias("type"), *who,
+        F.struct(F.when(F.col("role") == "user", "user").otherwise("assistant").alias("role"), F.when(F.col("role") != "user", F.when(n < 1400, "alpha").otherwise("beta")).alias("model"), F.col("content"), F.struct(n.alias("input")).alias("usage")).alias("message"),
+    )
+    parts = [
+        logged(user.where("n <= 60"), F.struct(F.lit("compaction").alias("type"), *who)),
+        logged(user.where("n > 60 and n <= 100"), custom(arms.CONFIG_TYPE, F.struct(F.lit("flat").alias("plan"), F.lit("j1").alias("job_id")))),
+        logged(user.where("n > 100 and n <= 120"), custom(arms.CONFIG_TYPE, F.lit("no object"))),
+        logged(user.where("n > 190 and n <= 280"), custom(arms.METRIC_TYPE, metric)),
+        logged(user.where("n > 280"), custom(arms.CONFIG_TYPE, nested)),
+        logged(rows.where("role <> 'user' or (n > 120 and n <= 190)"), said),
+        logged(rows.select("file_path", "session_id").distinct().withColumn("line_no", F.lit(-1)), F.struct(F.lit("session").alias("type"), F.concat(F.lit("c"), "session_id").alias("id"), F.lit("/w").alias("cwd"))),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
+ARM_SQL = (
+    TREE_SQL
+    + """,
+x AS (SELECT 'c' || b.session_id AS session_id, 't' || leaf_id AS leaf_id, is_active, pos, 't' || b.id AS id, role = 'user' AS u, input AS n, b.id AS turn FROM b JOIN t USING (session_id, id)),
+arm AS (SELECT DISTINCT session_id, leaf_id, is_active FROM x),
+stamp AS (
+  SELECT session_id, leaf_id, arg_max(id, pos) AS entry_id, arg_max(n, pos) AS n, arg_max(turn, pos) AS turn FROM x WHERE u AND (n > 280 OR (n > 60 AND n <= 100)) GROUP BY ALL),
+metric AS (SELECT session_id, leaf_id, arg_max(n, pos)::DOUBLE AS chars FROM x WHERE u AND n > 190 AND n <= 280 GROUP BY ALL),
+model AS (SELECT session_id, leaf_id, count(DISTINCT n < 1400) AS models, bool_or(n >= 1400) AS beta FROM x WHERE NOT u GROUP BY ALL),
+cost AS (SELECT session_id, leaf_id, sum(CASE WHEN NOT u OR (n > 120 AND n <= 190) THEN n ELSE 0 END)::BIGINT AS input, bool_or(u AND n <= 60) AS compacted FROM x GROUP BY ALL),
+warning AS (
+  SELECT session_id, leaf_id, 'malformed_entry' AS code, id AS entry_id FROM x WHERE u AND n > 100 AND n <= 120
+  UNION ALL SELECT session_id, leaf_id, 'legacy_config_shape', entry_id FROM stamp WHERE n <= 100
+  UNION ALL SELECT session_id, leaf_id, 'config_hash_mismatch', entry_id FROM stamp WHERE n >= 350
+  UNION ALL SELECT session_id, leaf_id, 'bad_metric_key', id FROM x WHERE u AND n > 190 AND n <= 280
+  UNION ALL SELECT session_id, leaf_id, 'model_disagreement', NULL FROM model LEFT JOIN stamp USING (session_id, leaf_id) WHERE models > 1 OR (n > 280 AND beta)
+  UNION ALL SELECT session_id, leaf_id, 'compacted_arm', NULL FROM cost WHERE compacted)"""
+)
+
+
+@query(
+    f"WITH RECURSIVE {ARM_SQL} SELECT session_id, leaf_id, is_active, CASE WHEN n > 280 THEN 'x/alpha' END AS model, CASE WHEN n > 280 THEN 'p' || (n // 100) WHEN n IS NOT NULL THEN 'flat' END AS plan, "
+    "CASE WHEN n >= 350 THEN 'wrong' WHEN n > 280 THEN sha256('{\"model\":\"x/alpha\",\"provider\":\"pi\",\"components\":{\"plan\":\"p' || (n // 100) || '\"}}') END AS config_hash, CASE WHEN n > 280 THEN turn END::INT AS replicate, "
+    "CASE WHEN n <= 100 THEN 'j1' END AS job_id, chars, input, compacted, (SELECT count(*) FROM warning w WHERE w.session_id = arm.session_id AND w.leaf_id = arm.leaf_id) AS warnings "
+    "FROM arm LEFT JOIN stamp USING (session_id, leaf_id) LEFT JOIN metric USING (session_id, leaf_id) JOIN cost USING (session_id, leaf_id)"
+)
+def lifted_arms(spark, sf):
+    """Every branch as an arm, lifted from its log's lines: the last stamp that can be read, merged metrics, tokens of the branch alone."""
+    found, _ = arm_plans.lift_arms(experiment_lines(spark, sf), all_branches=True)
+    return found.select("session_id", "leaf_id", "is_active", "model", F.col("components")["plan"].alias("plan"), "config_hash", "replicate", "job_id", F.col("component_metrics")["plan.chars"].alias("chars"), "input", "compacted", "warnings")
+
+
+@query(f"WITH RECURSIVE {ARM_SQL} SELECT session_id, leaf_id, code, entry_id FROM warning")
+def arm_checks(spark, sf):
+    """What is odd about the arms: all six checks."""
+    _, warnings = arm_plans.lift_arms(experiment_lines(spark, sf), all_branches=True)
+    return warnings.select("session_id", "leaf_id", "code", "entry_id")
+
+
+@query(f"WITH RECURSIVE {ARM_SQL} SELECT session_id, leaf_id, is_active, pos::BIGINT AS pos, entry_id FROM stamp JOIN (SELECT session_id, leaf_id, is_active, id AS entry_id, pos FROM x) USING (session_id, leaf_id, entry_id)")
+def stamped_ancestors(spark, sf):
+    """The nearest stamped entry above each leaf, from chains alone: no path is spelled out."""
+    nodes = tree.tree_nodes(pi.tree_rows(experiment_lines(spark, sf)))
+    placed, _ = paths.chains(nodes)
+    runs, _ = paths.segments(placed)
+    marks = nodes.where(F.col("custom_type") == arms.CONFIG_TYPE).where("data_json like '{%'").select("session_id", "id", F.col("id").alias("entry_id"))
+    return paths.latest_along(runs, placed, marks, "entry_id").select("session_id", "leaf_id", "is_active", "pos", "entry_id")
+
+
+@query(f"WITH RECURSIVE {TREE_SQL} SELECT b.session_id, leaf_id, sum(input)::BIGINT AS input, count(*) AS entries FROM b JOIN t USING (session_id, id) GROUP BY ALL")
+def branch_sums(spark, sf):
+    """Sums over each branch, from prefix sums of chains."""
+    nodes = tree.tree_nodes(tree_rows(table(spark, sf, "conversations")))
+    placed, _ = paths.chains(nodes)
+    runs, _ = paths.segments(placed)
+    return paths.sums_along(runs, placed, nodes.select("session_id", "id", "input", F.lit(1).cast("long").alias("entries")), ["input", "entries"]).select("session_id", "leaf_id", "input", "entries")
