@@ -4,7 +4,7 @@ import json
 import os
 
 from transcript_lake.streaming import jobs
-from transcript_lake.streaming.tail_source import TailReader
+from transcript_lake.streaming.tail_source import NumberedReader, TailReader
 
 
 def line(i):
@@ -57,3 +57,70 @@ def test_stream_to_messages(spark, tmp_path):
     rows = spark.read.parquet(out)
     jobs.store_messages(out)(rows.drop("id"), 0)
     assert spark.read.parquet(out).count() == 2
+
+
+def test_idle_files_are_not_opened(tmp_path, monkeypatch):
+    for k in range(30):
+        (tmp_path / f"{k}.jsonl").write_text("a\n")
+    for reader in (TailReader({"path": str(tmp_path)}), NumberedReader({"path": str(tmp_path), "statepath": str(tmp_path / "state")})):
+        start = reader.latestOffset()
+        opened = []
+        monkeypatch.setattr(type(reader), "_read", staticmethod(lambda system, path, a, b, opened=opened: opened.append(path) or open(path, "rb").read()[a:b]))
+        assert reader.latestOffset() == start and opened == []
+        (tmp_path / "7.jsonl").open("a").write("b\n")
+        end = reader.latestOffset()
+        assert {os.path.basename(p) for p in opened if "state" not in p} == {"7.jsonl"}
+        assert [(os.path.basename(r.path), r.start, r.end) for r in reader.partitions(start, end)] == [("7.jsonl", 2, 4)]
+        monkeypatch.undo()
+        (tmp_path / "7.jsonl").write_text("a\n")
+
+
+def test_steps(tmp_path, monkeypatch):
+    """Offsets are numbers; a reader that starts again goes on, with the generations that files had, and can give any step again."""
+    from transcript_lake.streaming import tail_source
+
+    monkeypatch.setattr(tail_source, "SNAPSHOT_EVERY", 2)
+    logs, options = tmp_path / "logs", {"path": str(tmp_path / "logs"), "statepath": str(tmp_path / "state"), "maxbytesperfile": "8"}
+    logs.mkdir()
+    f = logs / "a.jsonl"
+    f.write_text("one\ntwo\nthree\nfour\nto")
+    reader = NumberedReader(options)
+    start = reader.initialOffset()
+    assert start == {"step": 0}
+    rows = lambda a, b, r=reader: [x[1:] for p in r.partitions(a, b) for x in r.read(p)]
+    seen, at = [], start
+    for _ in range(4):
+        end = reader.latestOffset()
+        seen += rows(at, end)
+        at = end
+    assert seen == [(0, 0, "one"), (0, 4, "two"), (0, 8, "three"), (0, 14, "four")]
+    f.write_text("reset\n")
+    reset = reader.latestOffset()
+    assert rows(at, reset) == [(1, 0, "reset")]
+    again = NumberedReader(options)
+    f.open("a").write("on\n")
+    later = again.latestOffset()
+    assert [x[1:] for p in again.partitions(reset, later) for x in again.read(p)] == [(1, 6, "on")]
+    assert rows(at, reset, again) == [(1, 0, "reset")] and again.latestOffset() == later
+    fresh = {**options, "statepath": str(tmp_path / "other"), "startingoffsets": "latest"}
+    late = NumberedReader(fresh)
+    assert late.partitions(late.initialOffset(), late.latestOffset()) == []
+
+
+def test_a_query_goes_on_after_a_reset(spark, tmp_path):
+    """A file that is rewritten has a new generation also for a query that starts again."""
+    logs, out = tmp_path / "logs", str(tmp_path / "lines")
+    logs.mkdir()
+    (logs / "s.jsonl").write_text("a\nb\n")
+
+    def run():
+        q = jobs.land(jobs.tail(spark, str(logs), statepath=str(tmp_path / "state")), out, str(tmp_path / "check"), "0 seconds")
+        q.processAllAvailable()
+        q.stop()
+        return sorted((r.generation, r.line) for r in jobs.current(spark.read.parquet(out)).collect())
+
+    assert run() == [(0, "a"), (0, "b")]
+    (logs / "s.jsonl").write_text("c\n")
+    assert run() == [(1, "c")]
+    (logs / "s.jsonl").open("a").write("d\n")
+    assert run() == [(1, "c"), (1, "d")]

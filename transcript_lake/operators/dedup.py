@@ -9,7 +9,8 @@ from transcript_lake.functions.usage import total_tokens
 
 
 def dedup(entries: DataFrame, total=None) -> DataFrame:
-    """One row a response. entries: message_id, request_id, is_sidechain, arrival and the token classes.
+    """One row a response. entries: message_id, request_id, is_sidechain, arrival (a number or a
+    struct that orders rows as they were scanned) and the token classes.
 
     A message's rows with one request are one response. A row whose request's first row is on a sidechain, or is the
     message's first row off one, falls into the message's common slot; others have a slot by request. Of a slot's rows
@@ -24,7 +25,7 @@ def dedup(entries: DataFrame, total=None) -> DataFrame:
         "_open": F.min(F.when(~F.col("is_sidechain"), F.col("arrival"))).over(message),
         "_first": F.min(F.struct("arrival", "is_sidechain")).over(request),
     })
-    common = F.col("_first.is_sidechain") | (F.col("_first.arrival") == F.coalesce("_open", F.lit(-1)))
+    common = F.col("_first.is_sidechain") | F.col("_first.arrival").eqNullSafe(F.col("_open"))
     rows = rows.withColumn("_slot", F.when(common, F.lit(None)).otherwise(F.coalesce("request_id", F.lit(""))))
     slot = Window.partitionBy("message_id", "_slot")
     rows = rows.withColumns({

@@ -13,8 +13,8 @@ from transcript_lake.operators import arms, blocks, catalog, codex, messages, me
 from transcript_lake.operators.common import shared_folder
 from transcript_lake.operators.dedup import dedup
 from transcript_lake.plans import arms as arm_plans
-from transcript_lake.sources import claude, codex as codex_log, jsonl, opencode, pi, workflow
-from transcript_lake.plans.testdata import DEDUP_SQL, ENTRIES_SQL, RATE_SQL, TREE_SQL, published_prices, table, tree_rows, usage_entries
+from transcript_lake.sources import claude, codex as codex_log, jsonl, opencode, pi, usage, workflow
+from transcript_lake.plans.testdata import DEDUP_SQL, ENTRIES_SQL, RATE_SQL, TREE_SQL, published_prices, table, tree_rows, usage_entries, write_logs
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -647,3 +647,61 @@ def branch_sums(spark, sf):
     placed, _ = paths.chains(nodes)
     runs, _ = paths.segments(placed)
     return paths.sums_along(runs, placed, nodes.select("session_id", "id", "input", F.lit(1).cast("long").alias("entries")), ["input", "entries"]).select("session_id", "leaf_id", "input", "entries")
+
+
+SCAN_DEDUP_SQL = DEDUP_SQL.replace("\ne AS (", "\ne0 AS (", 1).replace(
+    ",\nf AS (", ",\ne AS (SELECT * REPLACE (row_number() OVER (ORDER BY project || '/' || session_id || '.jsonl', arrival) AS arrival) FROM e0 WHERE provider = 'claude'),\nf AS (", 1
+)
+
+
+@query(
+    f"WITH {SCAN_DEDUP_SQL} SELECT 'claude' AS provider, project, session_id, message_id, model, input, output, cache_read, cache_write_5m FROM d "
+    "UNION ALL SELECT 'codex', '/work', session_id, '', coalesce(model, 'codex/unknown'), input, output, 0, 0 FROM e0 WHERE provider = 'codex' "
+    "UNION ALL SELECT 'opencode', '/' || project, session_id, 'e' || arrival, concat_ws('/', provider, model), input, output, cache_read, cache_write_5m FROM e0 WHERE provider = 'opencode' AND (input > 0 OR output > 0) "
+    "UNION ALL SELECT 'pi', '/' || project, session_id, '', model, input, output, cache_read, cache_write_5m FROM e0 WHERE provider = 'pi'"
+)
+def usage_of_runtimes(spark, sf):
+    """Events written as the logs of four runtimes, one file a session (fragments: one a message), read by one entry point, replays
+    taken out in the order of the scan."""
+    folder = shared_folder(spark, "stores")
+    rows = entries(spark, sf)
+    of = lambda name: rows.where(F.col("provider") == name)
+    file = lambda lines, path: lines.select(path.alias("path"), F.col("line_no").cast("long").alias("line_no"), "line")
+    at = lambda *parts: F.concat(*[F.lit(p) if "/" in p or "." in p else F.col(p) for p in parts])
+    line = lambda df, record, *keep: df.select(*keep, F.to_json(record).alias("line"))
+
+    c = of("claude").withColumn("line_no", F.col("arrival"))
+    used = F.struct(F.col("input").alias("input_tokens"), F.col("output").alias("output_tokens"), F.col("cache_write_5m").alias("cache_creation_input_tokens"), F.col("cache_read").alias("cache_read_input_tokens"))
+    said = F.struct(F.lit("assistant").alias("type"), F.col("request_id").alias("requestId"), F.col("is_sidechain").alias("isSidechain"), F.struct(F.col("message_id").alias("id"), "model", used.alias("usage")).alias("message"))
+    parts = [file(line(c, said, "project", "session_id", "line_no"), at("claude/projects/", "project", "/", "session_id", ".jsonl"))]
+
+    x = of("codex")
+    so_far = Window.partitionBy("session_id").orderBy("arrival").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    total = F.struct(F.sum("input").over(so_far).alias("input_tokens"), F.sum("output").over(so_far).alias("output_tokens"))
+    count = x.withColumns({"t": total, "line_no": 2 * F.col("arrival") + 1})
+    kinds = [
+        line(count, F.struct(F.lit("event_msg").alias("type"), F.struct(F.lit("token_count").alias("type"), F.struct(F.col("t").alias("total_token_usage")).alias("info")).alias("payload")), "session_id", "line_no"),
+        line(x.withColumn("line_no", 2 * F.col("arrival")), F.struct(F.lit("turn_context").alias("type"), F.struct("model").alias("payload")), "session_id", "line_no"),
+        line(x.select("session_id").distinct().withColumn("line_no", F.lit(-1).cast("long")), F.struct(F.lit("session_meta").alias("type"), F.struct(F.col("session_id").alias("id"), F.lit("/work").alias("cwd")).alias("payload")), "session_id", "line_no"),
+    ]
+    parts += [file(k, at("codex/sessions/2024/01/02/", "session_id", ".jsonl")) for k in kinds]
+
+    p = of("pi").withColumn("line_no", F.col("arrival"))
+    used = F.struct("input", "output", F.col("cache_read").alias("cacheRead"), F.col("cache_write_5m").alias("cacheWrite"))
+    kinds = [
+        line(p, F.struct(F.lit("message").alias("type"), F.struct(F.lit("assistant").alias("role"), "model", used.alias("usage")).alias("message")), "session_id", "line_no"),
+        line(p.select("session_id", "project").distinct().withColumn("line_no", F.lit(-1).cast("long")), F.struct(F.lit("session").alias("type"), F.col("session_id").alias("id"), F.concat(F.lit("/"), "project").alias("cwd")), "session_id", "line_no"),
+    ]
+    parts += [file(k, at("pi/sessions/", "session_id", ".jsonl")) for k in kinds]
+
+    o = of("opencode").withColumns({"line_no": F.lit(0).cast("long"), "m": F.concat(F.lit("e"), "arrival")})
+    used = F.struct("input", "output", F.struct(F.col("cache_read").alias("read"), F.col("cache_write_5m").alias("write")).alias("cache"))
+    message = F.struct(F.col("m").alias("id"), F.col("session_id").alias("sessionID"), F.lit("assistant").alias("role"), F.col("provider").alias("providerID"), F.col("model").alias("modelID"), used.alias("tokens"))
+    head = F.struct(F.col("session_id").alias("id"), F.lit("id").alias("projectID"), F.concat(F.lit("/"), "project").alias("directory"))
+    parts.append(file(line(o, message, "session_id", "m", "line_no"), at("opencode/storage/message/", "session_id", "/", "m", ".json")))
+    parts.append(file(line(o.select("session_id", "project", "line_no").distinct(), head, "session_id", "line_no"), at("opencode/storage/session/", "session_id", ".json")))
+    for part in parts[1:]:
+        parts[0] = parts[0].union(part)
+    write_logs(parts[0], folder)
+    stores = {"claude": f"{folder}/claude/projects", "codex": f"{folder}/codex/sessions", "pi": f"{folder}/pi/sessions", "opencode": f"{folder}/opencode/storage"}
+    return dedup(usage.usage_of(spark, stores)).select("provider", "project", "session_id", "message_id", "model", "input", "output", "cache_read", "cache_write_5m")

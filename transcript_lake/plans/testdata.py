@@ -76,3 +76,20 @@ walk AS (
   SELECT ends.session_id, ends.id AS leaf_id, ends.id AS id, 0 AS up FROM ends
   UNION ALL SELECT walk.session_id, leaf_id, t.parent_id, up + 1 FROM walk JOIN t ON t.session_id = walk.session_id AND t.id = walk.id WHERE t.parent_id IS NOT NULL AND EXISTS (SELECT 1 FROM t p WHERE p.session_id = t.session_id AND p.id = t.parent_id)),
 b AS (SELECT walk.session_id, leaf_id, leaf_id = last AS is_active, max(up) OVER (PARTITION BY walk.session_id, leaf_id) - up AS pos, id FROM walk JOIN top USING (session_id))"""
+
+
+def write_logs(lines: DataFrame, folder: str) -> None:
+    """Writes lines (path, line_no, line) as files below folder, each in the order of line_no; a task that runs again writes the
+    same files again. For queries that read logs as they lie on disk."""
+
+    def write(pdf):
+        from transcript_lake.sources.line_source import file_system
+
+        system, root, _ = file_system(folder)
+        path = f"{root}/{pdf['path'].iloc[0]}"
+        system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+        with system.open_output_stream(path) as out:
+            out.write("".join(x + "\n" for x in pdf.sort_values("line_no")["line"]).encode())
+        return pdf[["path"]].head(1)
+
+    lines.groupBy("path").applyInPandas(write, "path string").write.format("noop").mode("overwrite").save()

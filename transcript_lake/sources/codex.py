@@ -48,7 +48,7 @@ def usage_entries(lines: DataFrame) -> DataFrame:
     rows = cumulative_delta(token_counts(lines), CLASSES)
     return usage_rows(rows.select(
         F.lit("codex").alias("provider"), "file_path", "line_no", "project", F.coalesce("session_id", rollout_session_id(F.col("file_path"))).alias("session_id"), F.lit("").alias("message_id"), F.lit("").alias("request_id"), F.lit(False).alias("is_sidechain"),
-        F.coalesce("model", F.lit(UNKNOWN_MODEL)).alias("model"), "ts", "input", "output", "cache_read", F.lit(0).cast("long").alias("reasoning"),
+        F.coalesce("model", F.lit(UNKNOWN_MODEL)).alias("model"), "ts", "input", "output", "cache_read", *[F.lit(0).cast("long").alias(c) for c in ("cache_write_5m", "cache_write_1h", "reasoning")],
     ))
 
 

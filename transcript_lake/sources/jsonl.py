@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from transcript_lake.functions.text import base_name
 from transcript_lake.operators.common import BROADCAST_ROWS
+from transcript_lake.operators.rollup import PROVIDERS
 from transcript_lake.sources.line_source import SPLIT_BYTES, LineSource, files_below
 
 #: Lines longer than this are rejected, whichever source they come from.
@@ -91,11 +92,13 @@ def usage_rows(df: DataFrame) -> DataFrame:
     return shaped(df, USAGE, longs | {"is_sidechain": "boolean", "ts": "timestamp", "native_cost": "double"})
 
 
-def arrival(usage: DataFrame) -> DataFrame:
-    """usage with arrival, one long that orders rows as they are scanned: providers by rank, then paths, then lines.
-    Paths are ranked among distinct paths, and lines take 28 bits."""
-    from pyspark.sql import Window
+def scan_order(provider: Column, path: Column, line_no: Column) -> Column:
+    """A key that orders rows as they are scanned: runtimes by rank, then paths, then lines. It is compared where rows meet, so
+    nothing is ever ranked over all of them."""
+    rank = F.element_at(F.create_map(*[F.lit(x) for kv in enumerate(PROVIDERS) for x in kv[::-1]]), provider)
+    return F.struct(rank.alias("rank"), path.alias("path"), line_no.alias("line"))
+
 
-    rank = F.element_at(F.create_map(*[F.lit(x) for kv in {"claude": 0, "codex": 1, "opencode": 2, "pi": 3}.items() for x in kv]), F.col("provider"))
-    paths = usage.select("provider", "file_path").distinct().withColumn("_p", F.row_number().over(Window.partitionBy("provider").orderBy("file_path")))
-    return usage.join(paths, ["provider", "file_path"]).withColumn("arrival", F.shiftleft(rank.cast("long"), 60) + F.shiftleft(F.col("_p").cast("long"), 28) + F.col("line_no")).drop("_p")
+def arrival(usage: DataFrame) -> DataFrame:
+    """usage with arrival, its key in the order of the scan."""
+    return usage.withColumn("arrival", scan_order(F.col("provider"), F.col("file_path"), F.col("line_no")))
