@@ -705,3 +705,136 @@ def usage_of_runtimes(spark, sf):
     write_logs(parts[0], folder)
     stores = {"claude": f"{folder}/claude/projects", "codex": f"{folder}/codex/sessions", "pi": f"{folder}/pi/sessions", "opencode": f"{folder}/opencode/storage"}
     return dedup(usage.usage_of(spark, stores)).select("provider", "project", "session_id", "message_id", "model", "input", "output", "cache_read", "cache_write_5m")
+
+
+def part_rows(found: DataFrame) -> DataFrame:
+    """A row for each part of entries."""
+    parts = found.select("session_id", "seq", "role", F.posexplode("parts").alias("k", "p"))
+    return parts.select("session_id", "seq", "role", F.col("k").cast("long").alias("k"), "p.type", "p.text", "p.name", "p.tool_call_id", F.try_variant_get("p.input", "$.n", "bigint").alias("n"), "p.output", "p.is_error")
+
+
+def turn_lines(spark: SparkSession, sf: str, folder: str) -> DataFrame:
+    turns = table(spark, sf, "conversations").withColumns({"n": F.length("text").cast("long"), "t": F.col("turn").cast("long")})
+    return turns.withColumns({"file_path": F.concat(F.lit(folder), "conv_id", F.lit(".jsonl")), "line_no": 4 * F.col("t")})
+
+
+TURN_SQL = "v AS (SELECT 'c' || conv_id AS s, turn::BIGINT AS t, role, text, length(text)::BIGINT AS n FROM conversations)"
+
+
+@query(
+    f"WITH {TURN_SQL}, r AS (SELECT s, t - 1 AS t, text, n > 300 AS bad FROM v WHERE role = 'user') "
+    "SELECT s AS session_id, 4 * t AS seq, role, 0::BIGINT AS k, 'text' AS type, text, NULL AS name, NULL AS tool_call_id, NULL::BIGINT AS n, NULL AS output, NULL::BOOLEAN AS is_error FROM v WHERE role = 'assistant' "
+    "UNION ALL SELECT s, 4 * t, role, 1, 'reasoning', 'hm', NULL, NULL, NULL, NULL, NULL FROM v WHERE role = 'assistant' "
+    "UNION ALL SELECT v.s, 4 * v.t, role, 2, 'tool_call', NULL, 'run', 'c' || v.t, v.n, r.text, r.bad FROM v LEFT JOIN r USING (s, t) WHERE role = 'assistant' "
+    "UNION ALL SELECT s, 4 * t, role, 0, 'tool_result', NULL, NULL, 'c' || (t - 1), NULL, text, n > 300 FROM v WHERE role = 'user' AND n > 100 "
+    "UNION ALL SELECT s, 4 * t, role, 1, 'text', 'go on', NULL, NULL, NULL, NULL, NULL FROM v WHERE role = 'user' AND n > 100"
+)
+def claude_tool_parts(spark, sf):
+    """Assistant turns as text, thinking and a call; user turns as its result, with text beside it if they are long. Each call has its
+    result's output; entries that are nothing but results go."""
+    rows = turn_lines(spark, sf, "/logs/projects/p/c")
+    block = lambda **f: F.struct(*[c.cast(t).alias(k) for k, t in {"type": "string", "text": "string", "thinking": "string", "id": "string", "name": "string", "input": "struct<n: bigint>", "tool_use_id": "string", "content": "string", "is_error": "boolean"}.items() for c in [f.get(k, F.lit(None))]])
+    call = block(type=F.lit("tool_use"), id=F.concat(F.lit("c"), "t"), name=F.lit("run"), input=F.struct("n"))
+    result = block(type=F.lit("tool_result"), tool_use_id=F.concat(F.lit("c"), F.col("t") - 1), content=F.col("text"), is_error=F.col("n") > 300)
+    own = F.array(block(type=F.lit("text"), text=F.col("text")), block(type=F.lit("thinking"), thinking=F.lit("hm")), call)
+    content = F.when(F.col("role") == "assistant", own).otherwise(F.when(F.col("n") > 100, F.array(result, block(type=F.lit("text"), text=F.lit("go on")))).otherwise(F.array(result)))
+    record = F.struct(F.col("role").alias("type"), F.concat(F.lit("c"), "conv_id").alias("sessionId"), F.struct("role", content.alias("content")).alias("message"))
+    return part_rows(claude.merged_results(claude.entries(logged(rows, record))))
+
+
+@query(
+    f"WITH {TURN_SQL} SELECT s AS session_id, 4 * t AS seq, 'user' AS role, 0::BIGINT AS k, 'text' AS type, text, NULL AS name, NULL AS tool_call_id, NULL::BIGINT AS n, NULL AS output, NULL::BOOLEAN AS is_error FROM v WHERE role = 'user' AND n > 60 "
+    "UNION ALL SELECT s, 4 * t, 'assistant', 0, CASE WHEN n < 500 THEN 'reasoning' ELSE 'text' END, text, NULL, NULL, NULL, NULL, NULL FROM v WHERE role = 'assistant' "
+    "UNION ALL SELECT s, 4 * t + 1, 'assistant', 0, 'tool_call', NULL, 'shell', 'c' || t, CASE WHEN n < 900 THEN n END, NULL, NULL FROM v WHERE role = 'assistant' "
+    "UNION ALL SELECT s, 4 * t + 2, 'assistant', 0, 'tool_result', NULL, NULL, 'c' || t, NULL, 'out ' || n, n > 1000 FROM v WHERE role = 'assistant'"
+)
+def codex_parts(spark, sf):
+    """Turns as rollout lines: messages (short ones set the environment and go), reasoning, calls whose arguments may be no JSON, and their outputs with an exit code."""
+    rows = turn_lines(spark, sf, "/codex/sessions/2024/01/02/rollout-c")
+    said, own = rows.where("role = 'user'"), rows.where("role = 'assistant'")
+    item = lambda df, kind, payload, at=0: logged(df.withColumn("line_no", F.col("line_no") + at), F.struct(F.lit(kind).alias("type"), payload.alias("payload")))
+    text = F.when(F.col("n") > 60, F.col("text")).otherwise(F.concat(F.lit("<environment_context>"), "text"))
+    spoken = F.when(F.col("n") < 500, F.lit("agent_reasoning")).otherwise("agent_message")
+    given = F.when(F.col("n") < 900, F.to_json(F.struct("n"))).otherwise("no json {")
+    out = F.to_json(F.struct(F.concat(F.lit("out "), F.col("n")).alias("output"), F.struct(F.when(F.col("n") > 1000, 1).otherwise(0).alias("exit_code")).alias("metadata")))
+    lines = [
+        item(said, "response_item", F.struct(F.lit("message").alias("type"), F.lit("user").alias("role"), F.array(F.struct(F.lit("input_text").alias("type"), text.alias("text"))).alias("content"))),
+        item(own, "event_msg", F.struct(spoken.alias("type"), F.when(F.col("n") < 500, F.col("text")).alias("text"), F.when(F.col("n") >= 500, F.col("text")).alias("message"))),
+        item(own, "response_item", F.struct(F.lit("function_call").alias("type"), F.concat(F.lit("c"), "t").alias("call_id"), F.lit("shell").alias("name"), given.alias("arguments")), 1),
+        item(own, "response_item", F.struct(F.lit("function_call_output").alias("type"), F.concat(F.lit("c"), "t").alias("call_id"), out.alias("output")), 2),
+        item(rows.select("file_path", "conv_id").distinct().withColumn("line_no", F.lit(-1)), "session_meta", F.struct(F.concat(F.lit("c"), "conv_id").alias("id"))),
+    ]
+    for x in lines[1:]:
+        lines[0] = lines[0].union(x)
+    return part_rows(codex_log.entries(lines[0]))
+
+
+@query(
+    f"WITH {TURN_SQL} SELECT s AS session_id, 4 * t AS seq, 'user' AS role, 0::BIGINT AS k, 'text' AS type, text, NULL AS name, NULL AS tool_call_id, NULL::BIGINT AS n, NULL AS output, NULL::BOOLEAN AS is_error FROM v WHERE role = 'user' AND n > 60 "
+    "UNION ALL SELECT s, 4 * t, 'assistant', 0, 'reasoning', text, NULL, NULL, NULL, NULL, NULL FROM v WHERE role = 'assistant' "
+    "UNION ALL SELECT s, 4 * t, 'assistant', 1, 'tool_call', NULL, 'bash', 'c' || t, n, NULL, NULL FROM v WHERE role = 'assistant' "
+    "UNION ALL SELECT s, 4 * t + 1, 'user', 0, 'tool_result', NULL, 'bash', 'c' || t, NULL, text || chr(10) || 'end', n > 1000 FROM v WHERE role = 'assistant'"
+)
+def pi_parts(spark, sf):
+    """Turns as entries of a tree log; short user turns are injected and hidden."""
+    rows = turn_lines(spark, sf, "/h/.pi/x_c")
+    said, own = rows.where("role = 'user'"), rows.where("role = 'assistant'")
+    id_ = F.concat(F.lit("c"), "t")
+    blocks = F.array(
+        F.struct(F.lit("thinking").alias("type"), F.col("text").alias("thinking"), F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("struct<n: bigint>").alias("arguments")),
+        F.struct(F.lit("toolCall").alias("type"), F.lit(None).cast("string").alias("thinking"), id_.alias("id"), F.lit("bash").alias("name"), F.struct("n").alias("arguments")),
+    )
+    texts = F.array(*[F.struct(F.lit("text").alias("type"), x.alias("text")) for x in (F.col("text"), F.lit("end"))])
+    lines = [
+        logged(said.where("n > 60"), F.struct(F.lit("message").alias("type"), F.struct(F.lit("user").alias("role"), F.col("text").alias("content")).alias("message"))),
+        logged(said.where("n <= 60"), F.struct(F.lit("custom_message").alias("type"), F.lit("note").alias("customType"), F.lit(False).alias("display"), F.col("text").alias("content"))),
+        logged(own, F.struct(F.lit("message").alias("type"), F.struct(F.lit("assistant").alias("role"), blocks.alias("content")).alias("message"))),
+        logged(own.withColumn("line_no", F.col("line_no") + 1), F.struct(F.lit("message").alias("type"), F.struct(F.lit("toolResult").alias("role"), id_.alias("toolCallId"), F.lit("bash").alias("toolName"), (F.col("n") > 1000).alias("isError"), texts.alias("content")).alias("message"))),
+        logged(rows.select("file_path", "conv_id").distinct().withColumn("line_no", F.lit(-1)), F.struct(F.lit("session").alias("type"), F.concat(F.lit("c"), "conv_id").alias("id"))),
+    ]
+    for x in lines[1:]:
+        lines[0] = lines[0].union(x)
+    return part_rows(pi.entries(lines[0]))
+
+
+@query(
+    f"WITH {TURN_SQL}, q AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY t) AS seq FROM v) "
+    "SELECT s AS session_id, seq, role, 0::BIGINT AS k, 'text' AS type, text, NULL AS name, NULL AS tool_call_id, NULL::BIGINT AS n, NULL AS output, NULL::BOOLEAN AS is_error FROM q WHERE role <> 'system' "
+    "UNION ALL SELECT s, seq, role, 1, 'tool_call', NULL, 'grep', 'c' || t, n, 'out ' || n, n > 1000 FROM q WHERE role = 'assistant'"
+)
+def opencode_parts(spark, sf):
+    """Turns as message and part fragments, parts out of order; steps go, and messages of nothing else."""
+    rows = turn_lines(spark, sf, "/storage/")
+    fragment = lambda df, record, schema: df.select(F.from_json(F.to_json(record), schema).alias("r"), F.col("file_path")).select("r.*", "file_path")
+    session, message = F.concat(F.lit("c"), "conv_id"), F.concat(F.lit("m"), "conv_id", F.lit("_"), "t")
+    found = fragment(rows, F.struct(message.alias("id"), session.alias("sessionID"), "role", F.struct(F.col("t").alias("created")).alias("time")), opencode.MESSAGE)
+    part = lambda df, place, *f: fragment(df, F.struct(F.concat(F.lit(place), message).alias("id"), message.alias("messageID"), *f), opencode.PART)
+    state = F.struct(F.when(F.col("n") > 1000, "error").otherwise("completed").alias("status"), F.concat(F.lit("out "), F.col("n")).alias("output"), F.struct("n").alias("input"))
+    parts = part(rows.where("role = 'assistant'"), "b", F.lit("tool").alias("type"), F.concat(F.lit("c"), "t").alias("callID"), F.lit("grep").alias("tool"), state.alias("state"))
+    parts = parts.unionByName(part(rows, "c", F.lit("step-finish").alias("type"))).unionByName(part(rows.where("role <> 'system'"), "a", F.lit("text").alias("type"), "text"))
+    return part_rows(opencode.entries(found, parts))
+
+
+@query(
+    f"WITH {TURN_SQL} SELECT s AS session_id, 4 * t AS seq, role, role || '_u' || t AS message_id, text || chr(10) || 'end' AS content FROM v WHERE role = 'assistant' "
+    "UNION ALL SELECT s, 4 * t, role, 'id' || t, text FROM v WHERE role = 'user'"
+)
+def text_messages(spark, sf):
+    """Flat messages of logged turns: text blocks in a row, a message without an id by its type and entry."""
+    rows = turn_lines(spark, sf, "/logs/projects/p/c")
+    block = lambda kind, x: F.struct(F.lit(kind).alias("type"), x.alias("text"))
+    head = [F.col("role").alias("type"), F.concat(F.lit("c"), "conv_id").alias("sessionId"), F.concat(F.lit("u"), "t").alias("uuid")]
+    own = logged(rows.where("role = 'assistant'"), F.struct(*head, F.struct(F.array(block("text", F.col("text")), block("thinking", F.lit("no")), block("text", F.lit("end"))).alias("content")).alias("message")))
+    said = logged(rows.where("role = 'user'"), F.struct(*head, F.struct(F.concat(F.lit("id"), "t").alias("id"), F.lit("user").alias("role"), F.col("text").alias("content")).alias("message")))
+    return messages.messages(claude.entries(own.union(said))).select("session_id", "seq", "role", "message_id", "content")
+
+
+@query(
+    f"WITH {TURN_SQL} SELECT 'wf_' || s AS session_id, 4 * t AS seq, 'a' || t AS agent_id, CASE role WHEN 'user' THEN 'workflow agent a' || t || ' started (key k)' ELSE 'workflow agent a' || t || ' result (key k)' || chr(10) || '{{\"n\":' || n || '}}' END AS text FROM v WHERE role <> 'system'".replace("{{", "{").replace("}}", "}")
+)
+def journal_entries(spark, sf):
+    """Turns as journal events: starts and results; other events go."""
+    rows = turn_lines(spark, sf, "/runs/").withColumn("file_path", F.concat(F.lit("/runs/wf_c"), "conv_id", F.lit("/journal.jsonl")))
+    kind = F.when(F.col("role") == "user", "started").when(F.col("role") == "assistant", "result").otherwise("other")
+    record = F.struct(kind.alias("type"), F.concat(F.lit("a"), "t").alias("agentId"), F.lit("k").alias("key"), F.when(F.col("role") != "user", F.struct("n")).alias("result"))
+    return workflow.entries(logged(rows, record)).select("session_id", "seq", "agent_id", F.col("parts")[0]["text"].alias("text"))
