@@ -838,3 +838,50 @@ def journal_entries(spark, sf):
     kind = F.when(F.col("role") == "user", "started").when(F.col("role") == "assistant", "result").otherwise("other")
     record = F.struct(kind.alias("type"), F.concat(F.lit("a"), "t").alias("agentId"), F.lit("k").alias("key"), F.when(F.col("role") != "user", F.struct("n")).alias("result"))
     return workflow.entries(logged(rows, record)).select("session_id", "seq", "agent_id", F.col("parts")[0]["text"].alias("text"))
+
+
+@query(
+    f"WITH {TURN_SQL}, q AS (SELECT v.*, (SELECT count(*) FROM v x WHERE x.s = v.s AND x.t < v.t) AS i FROM v), h AS (SELECT * FROM q WHERE i < 3), "
+    "j AS (SELECT s, 'p' || (n // 100) AS plan, 'j' || (n // 10) || '.md' AS job, min(i) AS i FROM h WHERE role = 'user' GROUP BY ALL) "
+    "SELECT s AS session_id, arg_min('/w/' || role, i) FILTER (i > 0) AS cwd, epoch_us(min(TIMESTAMP '2024-01-01' + t * INTERVAL 1 MINUTE)) AS first_us, "
+    "coalesce((SELECT string_agg(plan || '/' || job || '@' || j.i, ',' ORDER BY j.i) FROM j WHERE j.s = h.s), '') AS jobs FROM h GROUP BY s"
+)
+def header_facts(spark, sf):
+    """Conversations written as logs, of which the first three lines are read and no more: where they ran, when, and their jobs."""
+    folder = shared_folder(spark, "heads")
+    rows = turn_lines(spark, sf, "")
+    told = F.concat(F.lit("Read the file /x/plans/p"), F.floor(F.col("n") / 100), F.lit("/j"), F.floor(F.col("n") / 10), F.lit(".md and execute the agent job"))
+    record = F.struct(
+        F.col("role").alias("type"), F.concat(F.lit("c"), "conv_id").alias("sessionId"), F.when(F.col("t") > 0, F.concat(F.lit("/w/"), "role")).alias("cwd"),
+        F.date_format(F.timestamp_seconds(F.lit(1704067200) + 60 * F.col("t")), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"), F.struct("role", F.when(F.col("role") == "user", told).otherwise(F.col("text")).alias("content")).alias("message"),
+    )
+    write_logs(rows.select(F.concat(F.lit("c"), "conv_id", F.lit(".jsonl")).alias("path"), "line_no", F.to_json(record).alias("line")), folder)
+    found = catalog.header_facts(claude.header_lines(jsonl.head_lines(spark, folder, 3)))
+    jobs = F.coalesce(F.array_join(F.transform("jobs", lambda j: F.concat(j["plan"], F.lit("/"), j["job"], F.lit("@"), j["line_index"])), ","), F.lit(""))
+    return found.select("session_id", "cwd", F.unix_micros("ts").alias("first_us"), jobs.alias("jobs"))
+
+
+@query(
+    f"WITH {TURN_SQL}, r AS (SELECT s, t - 1 AS t, n > 300 AS bad FROM v WHERE role = 'user') "
+    "SELECT s AS session_id, 4 * t AS seq, 0::BIGINT AS sub_seq, 1 AS level, 'prompt' AS kind, 'Ask ' || n AS title, NULL AS status FROM v WHERE role = 'user' AND (n > 100 OR NOT EXISTS (SELECT 1 FROM v c WHERE c.s = v.s AND c.t = v.t - 1 AND c.role = 'assistant')) "
+    "UNION ALL SELECT s, 4 * t, 0, 1, 'assistant', CASE WHEN n < 1000 THEN 'We look at ' || n || '.' ELSE 'Plan' END, NULL FROM v WHERE role = 'assistant' "
+    "UNION ALL SELECT s, 4 * t, 1, 2, 'heading', 'Plan', NULL FROM v WHERE role = 'assistant' UNION ALL SELECT s, 4 * t, 2, 3, 'heading', 'Step', NULL FROM v WHERE role = 'assistant' "
+    "UNION ALL SELECT v.s, 4 * v.t, 1000002, 1, 'tool', 'Run(make ' || n || ')', CASE WHEN bad THEN 'failed' WHEN bad IS NULL THEN 'running' ELSE 'completed' END FROM v LEFT JOIN r USING (s, t) WHERE role = 'assistant' "
+    "UNION ALL SELECT s, 4 * t, 2000000, 1, 'reasoning', 'hm', NULL FROM v WHERE role = 'assistant'"
+)
+def outline_items(spark, sf):
+    """Outlines of logged turns: prose before headings, headings outside code fences, calls with the state of their later results. A
+    short user turn after an assistant's brings its call's result only and has no row."""
+    rows = turn_lines(spark, sf, "/logs/projects/p/c")
+    kinds = {"type": "string", "text": "string", "thinking": "string", "id": "string", "name": "string", "input": "struct<command: string>", "tool_use_id": "string", "content": "string", "is_error": "boolean"}
+    block = lambda **f: F.struct(*[f.get(k, F.lit(None)).cast(t).alias(k) for k, t in kinds.items()])
+    prose = F.when(F.col("n") < 1000, F.concat(F.lit("We look at "), F.col("n"), F.lit(".\n"))).otherwise("")
+    text = F.concat(F.lit("# Plan\n```\nno prose\n# no heading\n```\n"), prose, F.lit("## Step"))
+    own = F.array(block(type=F.lit("thinking"), thinking=F.lit("hm")), block(type=F.lit("text"), text=text), block(type=F.lit("tool_use"), id=F.concat(F.lit("c"), "t"), name=F.lit("run"), input=F.struct(F.concat(F.lit("make "), F.col("n")).alias("command"))))
+    before = F.coalesce(F.lag("role").over(Window.partitionBy("conv_id").orderBy("t")) == "assistant", F.lit(False))
+    result = block(type=F.lit("tool_result"), tool_use_id=F.concat(F.lit("c"), F.col("t") - 1), content=F.lit("x"), is_error=F.col("n") > 300)
+    ask = block(type=F.lit("text"), text=F.concat(F.lit("Ask "), F.col("n")))
+    rows = rows.withColumn("after", before)
+    content = F.when(F.col("role") == "assistant", own).when(F.col("after") & (F.col("n") <= 100), F.array(result)).when(F.col("after"), F.array(result, ask)).otherwise(F.array(ask))
+    record = F.struct(F.col("role").alias("type"), F.concat(F.lit("c"), "conv_id").alias("sessionId"), F.struct("role", content.alias("content")).alias("message"))
+    return outline.outline(claude.entries(logged(rows, record)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from transcript_lake.functions.text import agent_id, session_parts
+from transcript_lake.functions.text import agent_id, filled, session_parts
 from transcript_lake.functions.usage import cache_creation_split, zero
 from transcript_lake.sources.jsonl import ENTRY, entry_rows, instant, parsed, part, usage_rows
 
@@ -43,6 +43,14 @@ def entries(lines: DataFrame) -> DataFrame:
     ))
 
 
+def header_lines(lines: DataFrame) -> DataFrame:
+    """(file_path, line_no, cwd, session_id, ts, text) of lines, as catalog.header_facts and inner_session_ids take them."""
+    content = F.col("j.message.content")
+    texts = F.array_join(F.transform(F.filter(F.try_variant_get(content, "$", BLOCK), lambda b: b["type"] == "text"), lambda b: b["text"]), "\n")
+    said = F.when(F.schema_of_variant(content) == "STRING", F.try_variant_get(content, "$", "string")).otherwise(texts)
+    return parsed(lines, LINE).select("file_path", "line_no", filled(F.col("j.cwd")).alias("cwd"), filled(F.col("j.sessionId")).alias("session_id"), instant(F.col("j.timestamp")).alias("ts"), F.coalesce(said, F.lit("")).alias("text"))
+
+
 def _part_type() -> str:
     from transcript_lake.sources.jsonl import PART
 
