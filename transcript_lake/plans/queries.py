@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from transcript_lake.functions.text import agent_label, clean_path, config_hash, line_churn, provider_of, session_parts, shortened
 from transcript_lake.functions.usage import context_tokens, limit_status, raw_cost, tiered_cost, total_tokens
 from transcript_lake.operators import arms, blocks, catalog, codex, messages, metrics, outline, paths, pricing, rollup, tree
-from transcript_lake.operators.common import shared_folder
+from transcript_lake.operators.common import shared_folder, small
 from transcript_lake.operators.dedup import dedup
 from transcript_lake.plans import arms as arm_plans
 from transcript_lake.sources import claude, codex as codex_log, jsonl, opencode, pi, usage, workflow
@@ -86,7 +86,7 @@ def usage_since(spark, sf):
 def priced_models(spark, sf):
     rows = entries(spark, sf)
     found = pricing.resolve_models(rows, pricing.pricing_table(published_prices(spark)))
-    return rows.join(F.broadcast(found), "model").groupBy("model", "model_key").agg(F.count("*").alias("entries"))
+    return rows.join(small(found), "model").groupBy("model", "model_key").agg(F.count("*").alias("entries"))
 
 
 @query(
