@@ -480,10 +480,11 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", folds: in
     known, trained, once, twice = numbered.where("block is null").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("known", "trained", "once", "twice")]).first()
     root_discount = discounted(once, twice)
     full = materialise(with_numbers(blocks, numbered.where("block is not null").select("block", "chunk", "numbers", "counts")), "lm-tokens")
-    discard(blocks, numbered)
+    discard(blocks)
     buckets = tokens // (2 * bucket_pairs) + 1
     split = max(split_tokens, trained // SPLIT_MOST)
     state = materialise(gathered(requests(full, buckets, split), 0.75, strength, moves, seed), "lm-seats")
+    discard(numbered)
     discount = discounted(*state.agg(F.sum("once"), F.sum("twice")).first())
 
     def again(sweep: int, tables: float, customers: float):
@@ -521,7 +522,8 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", folds: in
         found = [(block, bucket, packed(log[risen(x)])) for block, x in zip(left["blocks"].iloc[0], left["places"].iloc[0], strict=True)]
         return pd.DataFrame(found, columns=["block", "bucket", "log"])
 
-    answers = state.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInPandas(answer, "block long, bucket long, log binary")
+    answers = materialise(state.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInPandas(answer, "block long, bucket long, log binary"), "lm-answers")
+    discard(state, at_root)
     smooth = np.log10(trained + SMOOTHING * (known + 1)) if trained or known else np.log10(SMOOTHING)
 
     def add(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
