@@ -885,3 +885,52 @@ def outline_items(spark, sf):
     content = F.when(F.col("role") == "assistant", own).when(F.col("after") & (F.col("n") <= 100), F.array(result)).when(F.col("after"), F.array(result, ask)).otherwise(F.array(ask))
     record = F.struct(F.col("role").alias("type"), F.concat(F.lit("c"), "conv_id").alias("sessionId"), F.struct("role", content.alias("content")).alias("message"))
     return outline.outline(claude.entries(logged(rows, record)))
+
+
+@query(
+    "WITH s AS (SELECT 's' || o_orderkey AS session_id, CASE WHEN o_orderstatus = 'F' THEN '/p/' || o_orderkey END AS path, o_orderdate AS began, 'plan' || o_custkey AS plan FROM orders), "
+    "w AS (SELECT path AS spec, 0 AS way, * FROM s WHERE path IS NOT NULL UNION ALL SELECT session_id, 1, * FROM s UNION ALL SELECT plan || '/j.md', 2, * FROM s UNION ALL SELECT '/w/plans/' || plan || '/j.md', 3, * FROM s) "
+    "SELECT spec, session_id, way FROM (SELECT *, row_number() OVER (PARTITION BY spec ORDER BY way, path IS NULL, began DESC, session_id) AS n FROM w) WHERE n = 1"
+)
+def resolved_specs(spark, sf):
+    """Orders as sessions of their customer's job: every path, id, plan/job and job file resolved to one, those with a path first, then the newest."""
+    job = F.concat(F.lit("plan"), "o_custkey")
+    sessions = table(spark, sf, "orders").select(
+        F.concat(F.lit("s"), "o_orderkey").alias("session_id"), F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("/p/"), "o_orderkey")).alias("path"), F.col("o_orderdate").alias("started_at"),
+        F.array(F.struct(job.alias("plan"), F.lit("j.md").alias("job"), F.lit(0).cast("long").alias("line_index"))).alias("jobs"),
+    )
+    plan = F.col("jobs")[0]["plan"]
+    specs = sessions.select(F.explode(F.array("path", "session_id", F.concat(plan, F.lit("/j.md")), F.concat(F.lit("/w/plans/"), plan, F.lit("/j.md")))).alias("spec")).where("spec is not null")
+    return catalog.resolve(specs, sessions).select("spec", "session_id", "way")
+
+
+@query("SELECT c_custkey AS session_id FROM customer WHERE contains(lower(c_mktsegment), 'build') OR contains(lower(c_name), 'build') OR contains(lower('plan' || c_nationkey || ' job-' || c_custkey), 'n1 job-1')")
+def session_search(spark, sf):
+    """Customers as sessions: two searches whatever the case, over project, worktree and jobs."""
+    jobs = F.array(F.struct(F.concat(F.lit("PLAN"), "c_nationkey", F.lit(" job-"), "c_custkey").alias("plan"), F.lit("x.md").alias("job"), F.lit(0).cast("long").alias("line_index")))
+    sessions = table(spark, sf, "customer").select(F.col("c_custkey").alias("session_id"), F.col("c_mktsegment").alias("project"), F.col("c_name").alias("worktree"), jobs.alias("jobs"))
+    return catalog.search(sessions, "Build").union(catalog.search(sessions, "N1 Job-1")).select("session_id").distinct()
+
+
+@query(f"WITH {ENTRIES_SQL} SELECT '/logs/' || session_id || '.jsonl' AS file_path, count(*) AS messages, sum(input)::BIGINT AS input, sum(cache_read)::BIGINT AS cache_read, sum(output)::BIGINT AS output, arg_max(input, arrival) AS last_input, arg_max(output, arrival) AS last_output FROM e GROUP BY session_id")
+def rollout_stats(spark, sf):
+    """Every session as a log of cumulative counts: the last totals of each file, and the last turn's own figures."""
+    so_far = Window.partitionBy("session_id").orderBy("arrival").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = entries(spark, sf).withColumns({"file_path": F.concat(F.lit("/logs/"), "session_id", F.lit(".jsonl")), "line_no": F.col("arrival"), **{f"all_{c}": F.sum(c).over(so_far) for c in ("input", "output", "cache_read")}})
+    counts = lambda i, o, c: F.struct((F.col(i) + F.col(c)).alias("input_tokens"), F.col(c).alias("cached_input_tokens"), F.col(o).alias("output_tokens"))
+    info = F.struct(counts("all_input", "all_output", "all_cache_read").alias("total_token_usage"), counts("input", "output", "cache_read").alias("last_token_usage"))
+    lines = logged(rows, F.struct(F.lit("event_msg").alias("type"), F.struct(F.lit("token_count").alias("type"), info.alias("info")).alias("payload")))
+    found = rollup.cumulative_stats(codex_log.token_counts(lines))
+    return found.select("file_path", "messages", "total.input", "total.cache_read", "total.output", F.col("latest.input").alias("last_input"), F.col("latest.output").alias("last_output"))
+
+
+@query(
+    f"WITH RECURSIVE {ARM_SQL} SELECT session_id, leaf_id, CASE WHEN n > 280 THEN turn END::INT AS replicate, CASE WHEN n > 280 THEN 'p' || (n // 100) END AS plan, CASE WHEN n IS NULL THEN 'unattributed' WHEN n <= 280 THEN 'no replicate' END AS reason "
+    "FROM arm LEFT JOIN stamp USING (session_id, leaf_id)"
+)
+def arm_records(spark, sf):
+    """The record of each attributed arm with a replicate, and the others with the reason why they have none."""
+    found, _ = arm_plans.lift_arms(experiment_lines(spark, sf), all_branches=True)
+    good, skipped = arms.arm_partials(found)
+    good = good.select("key.session_id", "key.leaf_id", "key.replicate", F.col("config.components")["plan"].alias("plan"), F.lit(None).cast("string").alias("reason"))
+    return good.unionByName(skipped.select("session_id", "leaf_id", F.lit(None).cast("int").alias("replicate"), F.lit(None).cast("string").alias("plan"), "reason"))
