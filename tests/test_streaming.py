@@ -3,6 +3,7 @@
 import json
 import os
 
+from transcript_lake.sources import opencode
 from transcript_lake.streaming import jobs
 from transcript_lake.streaming.tail_source import NumberedReader, TailReader
 
@@ -124,3 +125,28 @@ def test_a_query_goes_on_after_a_reset(spark, tmp_path):
     assert run() == [(1, "c")]
     (logs / "s.jsonl").open("a").write("d\n")
     assert run() == [(1, "c"), (1, "d")]
+
+
+def test_fragments_as_they_come(spark, put, tmp_path):
+    """Messages of a fragment store come once each, as entries with the parts that the batch reader gives them."""
+    seen, store = [], str(tmp_path / "oc")
+    message = lambda k: put(f"oc/message/ses/msg_{k}.json", {"id": f"m{k}", "sessionID": "ses", "role": "assistant", "time": {"created": 1735776000000 + k}, "tokens": {"input": k, "output": 1}})
+
+    def run():
+        rows = jobs.new_fragments(spark, store, opencode.MESSAGE)
+        q = rows.writeStream.foreachBatch(jobs.fragment_entries(store, lambda d: seen.extend(d.collect()))).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        return sorted((r.message_id, [(p.type, p.text, p.name, p.output) for p in r.parts], r.tokens.input) for r in seen)
+
+    put("oc/part/m1/b.json", {"id": "b", "messageID": "m1", "type": "tool", "callID": "c", "tool": "grep", "state": {"status": "completed", "output": "found"}})
+    put("oc/part/m1/a.json", {"id": "a", "messageID": "m1", "type": "text", "text": "hello"})
+    message(1)
+    assert run() == [("m1", [("text", "hello", None, None), ("tool_call", None, "grep", "found")], 1)]
+    put("oc/part/m2/a.json", {"id": "a2", "messageID": "m2", "type": "text", "text": "more"})
+    message(2)
+    message(3)  # without parts: no entry
+    got = run()
+    _, messages, parts = opencode.store(spark, store)
+    batch = opencode.entries(messages, parts).collect()
+    assert got == sorted((r.message_id, [(p.type, p.text, p.name, p.output) for p in r.parts], r.tokens.input) for r in batch)
+    assert [x[0] for x in got] == ["m1", "m2"]

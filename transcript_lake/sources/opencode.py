@@ -23,6 +23,14 @@ def fragments(spark: SparkSession, storage: str, kind: str, schema: str) -> Data
     return read.json(f"{storage}/{kind}").withColumn("file_path", F.col("_metadata.file_path")).where("id is not null")
 
 
+def parts_in(spark: SparkSession, folders: list[str]) -> DataFrame:
+    """The parts in the given folders, as fragments gives those of all."""
+    if not folders:
+        return spark.createDataFrame([], f"{PART}, file_path string")
+    read = spark.read.schema(PART).option("multiLine", True).option("mode", "PERMISSIVE").option("pathGlobFilter", "*.json")
+    return read.json(folders).withColumn("file_path", F.col("_metadata.file_path")).where("id is not null")
+
+
 def store(spark: SparkSession, storage: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(sessions, messages, parts)."""
     return tuple(fragments(spark, storage, k, s) for k, s in (("session", SESSION), ("message", MESSAGE), ("part", PART)))

@@ -13,10 +13,14 @@ from pyspark.sql import functions as F
 
 from transcript_lake.functions.text import agent_id, provider_of
 from transcript_lake.operators import messages
-from transcript_lake.sources import claude, codex, pi
+from transcript_lake.sources import claude, codex, opencode, pi
+from transcript_lake.sources.line_source import files_below
 from transcript_lake.streaming.tail_source import TailSource
 
 WATERMARK = "24 hours"
+
+#: Message files of a fragment store that one batch takes.
+FRAGMENTS = 1000
 RUNNING_FOR = timedelta(minutes=2)
 RECENT = timedelta(minutes=5)
 SOURCES = {"claude": claude, "codex": codex, "pi": pi}
@@ -34,7 +38,8 @@ def tagged(lines: DataFrame) -> DataFrame:
 
 
 def normalised(lines: DataFrame) -> DataFrame:
-    """A batch of tailed lines as entries, each runtime's by its own rules; unknown ones as claude's. Calls come at once, results later, as rows of their own."""
+    """A batch of tailed lines as entries, each runtime's by its own rules; unknown ones as claude's;
+    opencode's are no lines, and come by fragment_entries. Calls and results are rows of their own; calls.held_calls joins them."""
     rows = lines.withColumns({"line_no": F.col("offset"), "_provider": provider_of(F.col("file_path"))})
     out = None
     for name, source in SOURCES.items():
@@ -105,7 +110,20 @@ def active_sessions(lines: DataFrame, sessions: DataFrame, now: datetime) -> Dat
     return lines.join(live.select("session_id").distinct(), "session_id", "left_semi")
 
 
-def new_fragments(spark: SparkSession, storage: str, schema: str, watermark: str = WATERMARK) -> DataFrame:
-    """Message files of a fragment store as they come, each id once."""
-    rows = spark.readStream.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "msg_*.json").json(f"{storage}/message")
-    return rows.withColumn("ts", F.timestamp_millis("time.created")).withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["id"])
+def new_fragments(spark: SparkSession, storage: str, schema: str, watermark: str = WATERMARK, most: int = FRAGMENTS) -> DataFrame:
+    """Message files of a fragment store as they come, each id once, at most so many a batch."""
+    rows = spark.readStream.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "msg_*.json").option("maxFilesPerTrigger", most).json(f"{storage}/message")
+    return rows.withColumns({"ts": F.timestamp_millis("time.created"), "file_path": F.col("_metadata.file_path")}).withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["id"])
+
+
+def fragment_entries(storage: str, report: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch over new_fragments of the opencode runtime: reports their entries, with the parts that are there by then.
+    Only the batch's own part folders are read; their names, no more than FRAGMENTS, are all that comes to the driver. seq is
+    the message's time in milliseconds, as a batch does not know the session's others."""
+
+    def add(batch: DataFrame, number: int) -> None:
+        ids = [r.id for r in batch.select("id").distinct().collect() if "/" not in r.id]
+        folders = [f"{storage}/part/{i}" for i in ids if next(files_below(f"{storage}/part/{i}", "*.json"), None)]
+        report(opencode.entries(batch, opencode.parts_in(batch.sparkSession, folders)).withColumn("seq", F.unix_millis("ts")))
+
+    return add
