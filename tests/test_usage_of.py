@@ -4,8 +4,12 @@ import json
 from datetime import datetime
 
 import pytest
+from pyspark.sql import GroupedData
 
 from transcript_lake.operators.dedup import dedup
+from transcript_lake.plans.testdata import write_logs
+from transcript_lake.sources import opencode
+from transcript_lake.sources.line_source import FragmentReader
 from transcript_lake.sources.usage import usage_of
 
 
@@ -48,3 +52,30 @@ def test_a_message_file_is_json(tmp_path, spark, stores):
     (tmp_path / "oc/message/ses/msg_2.json").write_text("{torn")
     assert usage_of(spark, stores, ["opencode"]).count() == 1
     assert json.loads((tmp_path / "oc/message/ses/msg_1.json").read_text())["id"] == "m1"
+
+
+def test_many_fragments_take_few_tasks_and_no_list_in_the_driver(tmp_path, spark):
+    """A file a message is neither a task's worth of overhead nor an entry of a list in the driver; deeper folders and flat files count, too."""
+    for k in range(600):
+        file = tmp_path / f"oc/message/s{k % 300}/{'deep/' if k % 7 == 0 else ''}m{k}.json"
+        file.parent.mkdir(parents=True, exist_ok=True)
+        file.write_text(json.dumps({"id": f"m{k}", "sessionID": f"s{k % 300}"}, indent=1))
+    (tmp_path / "oc/message/flat.json").write_bytes(b'\xef\xbb\xbf{"id": "flat"}')
+    (tmp_path / "oc/message/other.txt").write_text('{"id": "no"}')
+    dealt = FragmentReader({"path": str(tmp_path / "oc/message")}).partitions()
+    assert len(dealt) == 31 and sum(len(p.folders) for p in dealt) == 300 and sum(len(p.files) for p in dealt) == 1
+    found = opencode.fragments(spark, str(tmp_path / "oc"), "message", opencode.MESSAGE)
+    assert sorted(r.id for r in found.select("id").collect()) == sorted([f"m{k}" for k in range(600)] + ["flat"])
+    assert opencode.fragments(spark, str(tmp_path / "oc"), "none", opencode.PART).count() == 0
+
+
+def test_logs_are_written_without_a_group_a_file(tmp_path, spark, monkeypatch):
+    """Files of one line and of many batches, in order; written again, they are the same."""
+    monkeypatch.setattr(GroupedData, "applyInPandas", None)
+    rows = [(f"d{k}/{k}.json", 0, "é") for k in range(50)] + [("log.jsonl", n, f"line {n}") for n in range(25_000)]
+    lines = spark.createDataFrame(rows, "path string, line_no long, line string").repartition(7)
+    for _ in range(2):
+        write_logs(lines, str(tmp_path))
+        assert (tmp_path / "log.jsonl").read_text().splitlines() == [f"line {n}" for n in range(25_000)]
+        assert all((tmp_path / f"d{k}/{k}.json").read_text() == "é\n" for k in range(50))
+    assert len(list(tmp_path.rglob("*.json*"))) == 51

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from itertools import groupby
+from operator import itemgetter
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,16 +83,32 @@ b AS (SELECT walk.session_id, leaf_id, leaf_id = last AS is_active, max(up) OVER
 
 def write_logs(lines: DataFrame, folder: str) -> None:
     """Writes lines (path, line_no, line) as files below folder, each in the order of line_no; a task that runs again writes the
-    same files again. For queries that read logs as they lie on disk."""
+    same files again. For queries that read logs as they lie on disk. Rows meet by path and are streamed to its file, so that
+    neither many small files nor a large one are ever held."""
 
-    def write(pdf):
+    def write(batches):
         from transcript_lake.sources.line_source import file_system
 
         system, root, _ = file_system(folder)
-        path = f"{root}/{pdf['path'].iloc[0]}"
-        system.create_dir(path.rsplit("/", 1)[0], recursive=True)
-        with system.open_output_stream(path) as out:
-            out.write("".join(x + "\n" for x in pdf.sort_values("line_no")["line"]).encode())
-        return pdf[["path"]].head(1)
 
-    lines.groupBy("path").applyInPandas(write, "path string").write.format("noop").mode("overwrite").save()
+        def opened(path):
+            try:
+                return system.open_output_stream(path)
+            except FileNotFoundError:
+                system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                return system.open_output_stream(path)
+
+        at = out = None
+        for batch in batches:
+            for path, rows in groupby(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True), itemgetter(0)):
+                if path != at:
+                    if out is not None:
+                        out.close()
+                    at, out = path, opened(f"{root}/{path}")
+                out.write("".join(f"{line}\n" for _, line in rows).encode())
+        if out is not None:
+            out.close()
+        yield from ()
+
+    rows = lines.repartition("path").sortWithinPartitions("path", "line_no").select("path", "line")
+    rows.mapInArrow(write, "path string").write.format("noop").mode("overwrite").save()

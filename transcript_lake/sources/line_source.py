@@ -29,11 +29,18 @@ SPLIT_BYTES, CHUNK_BYTES = 64 * 1024 * 1024, 8 * 1024 * 1024
 #: Files that are dealt to one task, at most, however small.
 SMALL_FILES = 4096
 
+#: Folders of fragments that are dealt to one task, at most; and the tasks that are filled before any takes a second one.
+FOLDERS, FOLDER_TASKS = 256, 32
+
+#: Fragments go to Spark in batches of about so many bytes, or so many files.
+FRAGMENT_BYTES, FRAGMENT_FILES = 4 * 1024 * 1024, 4096
+
 #: The first bytes read where only the head is wanted; the next reads double.
 HEAD_CHUNK = 64 * 1024
 
 LINES = "file_path string, modified_at timestamp, range_start bigint, nth bigint, line string"
 COUNTS = "file_path string, range_start bigint, lines bigint"
+FRAGMENTS = "file_path string, text string"
 
 
 @dataclass
@@ -216,3 +223,66 @@ class LineSource(DataSource):
 
     def reader(self, schema) -> LineReader:
         return LineReader(dict(self.options), bool(self.options.get("counts")))
+
+
+class Folders(InputPartition):
+    def __init__(self, folders: list[str], files: list[str]) -> None:
+        self.folders, self.files = folders, files
+
+
+class FragmentReader(DataSourceReader):
+    def __init__(self, options: dict) -> None:
+        self.uri, self.pattern = options["path"], options.get("pattern", "*.json")
+
+    def partitions(self) -> list[Folders]:
+        from pyarrow import fs
+
+        system, root, _ = file_system(self.uri)
+        found = sorted(system.get_file_info(fs.FileSelector(root, allow_not_found=True)), key=lambda x: x.path)
+        folders, files = [x.path for x in found if x.type == fs.FileType.Directory], [x.path for x in found if x.is_file and fnmatch.fnmatchcase(x.base_name, self.pattern)]
+        n, m = min(FOLDERS, max(1, -(-len(folders) // FOLDER_TASKS))), SMALL_FILES
+        return [Folders(folders[k : k + n], []) for k in range(0, len(folders), n)] + [Folders([], files[k : k + m]) for k in range(0, len(files), m)] or [Folders([], [])]
+
+    def read(self, partition: Folders) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system, _, prefix = file_system(self.uri)
+
+        def below() -> Iterator[str]:
+            yield from partition.files
+            for folder in partition.folders:
+                for x in system.get_file_info(fs.FileSelector(folder, recursive=True, allow_not_found=True)):
+                    if x.is_file and fnmatch.fnmatchcase(x.base_name, self.pattern):
+                        yield x.path
+
+        batch = lambda paths, texts: pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(texts, pa.string())], names=["file_path", "text"])
+        paths, texts, load = [], [], 0
+        for path in below():
+            try:
+                with system.open_input_stream(path) as file:
+                    text = file.read().decode("utf-8", "replace")
+            except OSError:  # gone, or not to be read
+                continue
+            paths.append(prefix + path)
+            texts.append(text.removeprefix("\ufeff"))
+            load += len(text)
+            if load >= FRAGMENT_BYTES or len(paths) >= FRAGMENT_FILES:
+                yield batch(paths, texts)
+                paths, texts, load = [], [], 0
+        if paths:
+            yield batch(paths, texts)
+
+
+class FragmentSource(DataSource):
+    """Whole files, one a row: of stores that keep a file a record. The driver lists the first level alone; what is in its folders,
+    the tasks list that read them."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "fragments"
+
+    def schema(self) -> str:
+        return FRAGMENTS
+
+    def reader(self, schema) -> FragmentReader:
+        return FragmentReader(dict(self.options))

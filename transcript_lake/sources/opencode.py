@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from transcript_lake.functions.text import filled, patch_title
 from transcript_lake.functions.usage import zero
 from transcript_lake.sources.jsonl import entry_rows, part, usage_rows
-from transcript_lake.sources.line_source import files_below
+from transcript_lake.sources.line_source import FragmentSource
 
 SESSION = "id string, projectID string, directory string, title string, time struct<created: bigint, updated: bigint>"
 MESSAGE = "id string, sessionID string, role string, providerID string, modelID string, cost double, time struct<created: bigint, completed: bigint>, tokens struct<input: bigint, output: bigint, reasoning: bigint, cache: struct<read: bigint, write: bigint>>"
@@ -16,11 +16,11 @@ PART = "id string, sessionID string, messageID string, type string, text string,
 
 
 def fragments(spark: SparkSession, storage: str, kind: str, schema: str) -> DataFrame:
-    """The files of storage/kind; one that cannot be read gives a row without id, which goes. A folder that is not there has none."""
-    if next(files_below(f"{storage}/{kind}", "*.json"), None) is None:
-        return spark.createDataFrame([], f"{schema}, file_path string")
-    read = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json")
-    return read.json(f"{storage}/{kind}").withColumn("file_path", F.col("_metadata.file_path")).where("id is not null")
+    """The files of storage/kind; one that cannot be read gives a row without id, which goes. A folder that is not there has none.
+    Folders are listed where they are read, so a file a message asks neither for a task a file nor for a list of all in the driver."""
+    spark.dataSource.register(FragmentSource)
+    files = spark.read.format("fragments").option("path", f"{storage}/{kind}").load()
+    return files.select(F.from_json("text", schema, {"mode": "PERMISSIVE"}).alias("j"), "file_path").where("j.id is not null").select("j.*", "file_path")
 
 
 def parts_in(spark: SparkSession, folders: list[str]) -> DataFrame:
