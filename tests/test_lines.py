@@ -2,10 +2,13 @@
 
 import os
 import random
+from collections import Counter
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from transcript_lake.plans import queries
 from transcript_lake.sources import jsonl
 from transcript_lake.sources.line_source import LineReader, cut_lines
 
@@ -93,3 +96,42 @@ def test_nothing(spark, tmp_path):
 def test_cut_lines():
     assert cut_lines(b"a\n\nb").to_pylist() == ["a", "", "b"]
     assert cut_lines(b"\xff\n").to_pylist() == ["�"]
+
+
+def test_small_ranges_share_tasks_and_are_read_once(tmp_path):
+    """Neither a task a range nor the bytes of many ranges for each: what is read stays near the file's size."""
+    text = "".join("x" * (k % 90) + "\n" for k in range(40_000))
+    (tmp_path / "a.jsonl").write_text(text)
+    reader, taken, lines = LineReader({"path": str(tmp_path), "splitbytes": "8192"}, False), [], []
+    parts = reader.partitions()
+    assert len(parts) <= 128 < sum(len(p.ranges) for p in parts)
+    data = text.encode()
+    for p in parts:
+        for r in p.ranges:
+            for b in reader.lines(lambda at, n: taken.append(n) or data[at : at + n], r, len(data), ""):
+                lines += b["line"].to_pylist()
+    assert "".join(f"{x}\n" for x in lines) == text
+    assert sum(taken) < 2 * len(data)
+
+
+@pytest.mark.parametrize("split", [7, 10**9])
+def test_files_of_one_log_are_numbered_through(spark, tmp_path, split):
+    files = {"a/1.jsonl": "one\ntwo\n", "a/2.jsonl": "", "a/3.jsonl": "three\n\nfour", "b/1.jsonl": "x\n", "b/9.jsonl": "y" * 30 + "\nz\n"}
+    for name, text in files.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    log = F.regexp_extract("file_path", "/([ab])/[0-9]", 1)
+    rows = jsonl.raw_lines(spark, str(tmp_path), split_bytes=split, log=log).withColumn("log", log).collect()
+    assert sorted((r.log, r.line_no, r.line) for r in rows) == [("a", 0, "one"), ("a", 1, "two"), ("a", 2, "three"), ("a", 3, ""), ("a", 4, "four"), ("b", 0, "x"), ("b", 1, "y" * 30), ("b", 2, "z")]
+
+
+def test_logs_of_roles_against_sql(spark, tmp_path):
+    """No role, roles that no folder could be called, and nulls last, as in SQL; many files a role."""
+    turns = [(c, t, role, None if t == 3 else f"{role} {c}\n{t}") for c in [None, *range(40)] for t in (None, 2, 3) for role in (None, "", "user", "a/b%2F+ =é")]
+    turns += [(5, 3, "user", x) for x in ("", "zz", "Z")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = queries.raw_log_lines(spark, str(tmp_path)).collect()
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = db.execute(queries.ORACLES["raw_log_lines"]).fetchall()
+    assert Counter(map(tuple, got)) == Counter(want)

@@ -548,14 +548,19 @@ def path_facts(spark, sf):
     "SELECT role, row_number() OVER (PARTITION BY role ORDER BY conv_id, turn, text) - 1 AS line_no, conv_id, turn, coalesce(length(text), 0)::BIGINT AS chars FROM conversations"
 )
 def raw_log_lines(spark, sf):
-    """Turns written as one log a role, each read by ranges of 16 KB, and numbered as lines of their file."""
+    """Turns written as one log a role, cut into files as large logs are, each read by ranges of 16 KB, and numbered as lines of
+    their log. The folder spells the role's bytes, so any role comes back, also none."""
     folder = shared_folder(spark, "logs")
     turns = table(spark, sf, "conversations")
-    lines = turns.select("role", F.to_json(F.struct("conv_id", "turn", "text")).alias("value"), "conv_id", "turn", "text")
-    lines.repartition("role").sortWithinPartitions("role", "conv_id", "turn", "text").select("role", "value").write.partitionBy("role").text(folder)
-    read = jsonl.raw_lines(spark, folder, "*.txt", split_bytes=16 * 1024)
+    log = F.coalesce(F.concat(F.lit("x"), F.hex("role")), F.lit("none"))
+    lines = turns.select(log.alias("log"), F.to_json(F.struct("conv_id", "turn", "text")).alias("value"), "conv_id", "turn", "text")
+    order = ["log", *[F.col(c).asc_nulls_last() for c in ("conv_id", "turn", "text")]]
+    lines.repartitionByRange(*order).sortWithinPartitions(*order).select("log", "value").write.partitionBy("log").text(folder)
+    of = F.regexp_extract("file_path", "log=([^/]*)", 1)
+    read = jsonl.raw_lines(spark, folder, "*.txt", split_bytes=16 * 1024, log=of)
     said = read.withColumn("j", F.from_json("line", "conv_id bigint, turn bigint, text string"))
-    return said.select(F.regexp_extract("file_path", "role=([^/]*)", 1).alias("role"), "line_no", "j.conv_id", "j.turn", F.coalesce(F.length("j.text"), F.lit(0)).cast("long").alias("chars"))
+    role = F.when(of != "none", F.unhex(F.substring(of, 2, 2**31 - 1)).cast("string"))
+    return said.select(role.alias("role"), "line_no", "j.conv_id", "j.turn", F.coalesce(F.length("j.text"), F.lit(0)).cast("long").alias("chars"))
 
 
 def experiment_lines(spark: SparkSession, sf: str) -> DataFrame:

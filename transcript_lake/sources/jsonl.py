@@ -14,21 +14,29 @@ from transcript_lake.sources.line_source import SPLIT_BYTES, LineSource, files_b
 MAX_LINE_BYTES = 16 * 1024 * 1024
 
 
-def raw_lines(spark: SparkSession, path: str, pattern: str = "*.jsonl", split_bytes: int = SPLIT_BYTES) -> DataFrame:
+def raw_lines(spark: SparkSession, path: str, pattern: str = "*.jsonl", split_bytes: int = SPLIT_BYTES, log: Column | None = None) -> DataFrame:
     """(file_path, modified_at, line_no, line) of all files below path, numbered from 0 in each file. Files larger than
     split_bytes are read by several tasks; for those alone, a first pass counts the lines of each range, and its prefix sums
-    are joined on. A missing folder has no lines."""
+    are joined on. A missing folder has no lines.
+
+    log: an expression of file_path that tells which files are one log, cut into files as it was written. Its lines are numbered through,
+    files in the order of their paths; only the last may grow meanwhile."""
     spark.dataSource.register(LineSource)
     options = {"path": path, "pattern": pattern, "splitBytes": split_bytes}
     lines = spark.read.format("lines").options(**options).load()
-    further = sum(max(0, -(-size // split_bytes) - 1) for _, size, _ in files_below(path, pattern))
-    if not further:
+    ranges = [-(-size // split_bytes) for _, size, _ in files_below(path, pattern) if size]
+    wanted = sum(ranges) - (0 if log is not None else len(ranges))
+    if not wanted:
         return lines.select("file_path", "modified_at", F.col("nth").alias("line_no"), "line")
-    counts = spark.read.format("lines").options(**options, counts=True).load()
-    before = Window.partitionBy("file_path").orderBy("range_start")
+    counts = spark.read.format("lines").options(**options, counts=True, **({} if log is None else {"countLast": True})).load()
     # a range's first number is the sum of those before it
-    firsts = counts.select("file_path", (F.col("range_start") + split_bytes).alias("range_start"), F.sum("lines").over(before).alias("first"))
-    firsts = F.broadcast(firsts) if further <= BROADCAST_ROWS else firsts  # one row a range
+    if log is None:
+        before = Window.partitionBy("file_path").orderBy("range_start")
+        firsts = counts.select("file_path", (F.col("range_start") + split_bytes).alias("range_start"), F.sum("lines").over(before).alias("first"))
+    else:
+        before = Window.partitionBy(log).orderBy("file_path", "range_start").rowsBetween(Window.unboundedPreceding, -1)
+        firsts = counts.select("file_path", "range_start", F.sum("lines").over(before).alias("first"))
+    firsts = F.broadcast(firsts) if wanted <= BROADCAST_ROWS else firsts  # one row a range
     numbered = lines.join(firsts, ["file_path", "range_start"], "left")
     return numbered.select("file_path", "modified_at", (F.col("nth") + F.coalesce("first", F.lit(0))).alias("line_no"), "line")
 

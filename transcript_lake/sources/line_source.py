@@ -2,7 +2,7 @@
 
 A range holds the lines that begin in it, so a file of any size is read by as many tasks as it has ranges, and small files share
 a task. Lines are numbered within their range; `counts` has how many lines begin in each range of a file that has several, whose
-prefix sums turn numbers of a range into those of the file. Ranges are cut at multiples of splitBytes, so that a file that grows
+prefix sums turn numbers of a range into those of the file (with countLast, those of its last range, too). Ranges are cut at multiples of splitBytes, so that a file that grows
 between the two reads changes its last range only, on which no other range's numbers depend. headLines stops at so many lines a file,
 and reads no further.
 
@@ -18,6 +18,8 @@ import fnmatch
 from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import UTC, datetime
+from itertools import groupby
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,10 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 #: Bytes of a range; and those that are read from a file at once.
 SPLIT_BYTES, CHUNK_BYTES = 64 * 1024 * 1024, 8 * 1024 * 1024
 
+#: Ranges share tasks, however small they are, so that about so many tasks are filled before any takes more than its share; a task
+#: takes no more than SPLIT_BYTES unless a range is larger.
+TASKS = 64
+
 #: Files that are dealt to one task, at most, however small.
 SMALL_FILES = 4096
 
@@ -35,8 +41,8 @@ FOLDERS, FOLDER_TASKS = 256, 32
 #: Fragments go to Spark in batches of about so many bytes, or so many files.
 FRAGMENT_BYTES, FRAGMENT_FILES = 4 * 1024 * 1024, 4096
 
-#: The first bytes read where only the head is wanted; the next reads double.
-HEAD_CHUNK = 64 * 1024
+#: The first bytes read where only the head is wanted, and beyond the end of a range; the next reads double.
+HEAD_CHUNK, LINE_CHUNK = 64 * 1024, 4 * 1024
 
 LINES = "file_path string, modified_at timestamp, range_start bigint, nth bigint, line string"
 COUNTS = "file_path string, range_start bigint, lines bigint"
@@ -88,8 +94,9 @@ def cut(path: str, size: int, modified_at: datetime | None, split: int) -> list[
 
 
 def dealt(ranges: list[Range], split: int) -> list[Ranges]:
-    """Ranges in tasks: neighbours together until their bytes make up a split."""
+    """Ranges in tasks: neighbours together until their bytes make up a split, or a task's share of all if that is more."""
     out, held, load = [], [], 0
+    split = max(split, min(SPLIT_BYTES, sum(r.end - r.start for r in ranges) // TASKS))
     for r in ranges:
         if held and (load + r.end - r.start > split or len(held) >= SMALL_FILES):
             out.append(Ranges(held))
@@ -103,9 +110,10 @@ def first_start(read, r: Range) -> int:
     """Where the first line of a range begins; its end, or beyond, if none does."""
     if r.start == 0:
         return 0
-    at = r.start - 1
+    at, step = r.start - 1, LINE_CHUNK
     while at < r.end:
-        data = read(at, min(CHUNK_BYTES, r.end - at))
+        data = read(at, min(step, r.end - at))
+        step = min(2 * step, CHUNK_BYTES)
         found = data.find(b"\n")
         if found >= 0:
             return at + found + 1
@@ -121,7 +129,8 @@ def chunks(read, r: Range, size: int, most: int | None) -> Iterator[bytes]:
     at, rest, left = first_start(read, r), b"", most
     if at >= r.end:
         return
-    begun, step = at, CHUNK_BYTES if most is None else HEAD_CHUNK  # begun: where rest begins
+    # begun: where rest begins; a small range takes little more than itself, to the end of its last line
+    begun, step = at, min(CHUNK_BYTES, r.end - at + LINE_CHUNK) if most is None else HEAD_CHUNK
     while left is None or left > 0:
         data = read(at, min(step, size - at)) if at < size else b""
         at += len(data)
@@ -166,6 +175,7 @@ class LineReader(DataSourceReader):
     def __init__(self, options: dict, counts: bool) -> None:
         self.uri, self.pattern, self.counts = options["path"], options.get("pattern", "*.jsonl"), counts
         self.split = max(1, int(options.get("splitbytes", SPLIT_BYTES)))
+        self.count_last = bool(options.get("countlast"))
         self.head = int(options["headlines"]) if "headlines" in options else None
 
     def partitions(self) -> list[Ranges]:
@@ -174,21 +184,28 @@ class LineReader(DataSourceReader):
             of_file = cut(path, size, modified_at, self.split)
             if self.head is not None:
                 of_file = [Range(path, modified_at, 0, size)] if size else []
-            ranges += of_file[:-1] if self.counts else of_file  # after the last range, nothing is numbered
+            ranges += of_file[:-1] if self.counts and not self.count_last else of_file  # after a file's last range, nothing is numbered
         return dealt(ranges, self.split) or [Ranges([])]
 
     def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
         system, _, prefix = file_system(self.uri)
-        for r in partition.ranges:
+        counted = []
+        for path, ranges in groupby(partition.ranges, attrgetter("path")):
             try:
-                file = system.open_input_file(r.path)
+                file = system.open_input_file(path)
             except OSError:  # gone, or not to be read: skipped, as the reader of one file would
                 continue
             with file:
                 read = lambda at, n, file=file: file.read_at(n, at)
-                yield from self.counted(read, r, prefix) if self.counts else self.lines(read, r, file.size(), prefix)
-
-    def counted(self, read, r: Range, prefix: str) -> Iterator[pa.RecordBatch]:
+                for r in ranges:
+                    if self.counts:
+                        counted.append((prefix + path, r.start, self.counted(read, r)))
+                    else:
+                        yield from self.lines(read, r, file.size(), prefix)
+        if counted:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*counted, strict=True)], names=["file_path", "range_start", "lines"])
+
+    def counted(self, read, r: Range) -> int:
         lines, at = int(r.start == 0), max(0, r.start - 1)
         while at < r.end - 1:
             data = read(at, min(CHUNK_BYTES, r.end - 1 - at))
@@ -196,7 +213,7 @@ class LineReader(DataSourceReader):
                 break
             lines += data.count(b"\n")
             at += len(data)
-        yield pa.RecordBatch.from_arrays([pa.array([prefix + r.path]), pa.array([r.start]), pa.array([lines])], names=["file_path", "range_start", "lines"])
+        return lines
 
     def lines(self, read, r: Range, size: int, prefix: str) -> Iterator[pa.RecordBatch]:
         nth = 0
