@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from transcript_lake.llm import graph, jaccard
+from transcript_lake.llm import graph, jaccard, slots
 from transcript_lake.llm.graph import components
 from transcript_lake.llm.shingles import shingle_sets, word_hashes
 
@@ -119,6 +119,33 @@ def test_bitmap_of_signatures_keeps_all_shared(spark):
     assert {(r.node, r.sig) for r in got} >= {(i, i // 3 << 40) for i in range(300)} and len(got) < 5000
 
 
+def test_slots_are_added_up_once_for_many_blobs(monkeypatch):
+    """A part's slots are passed over for as many slots as it has, not for each blob of a slice of text."""
+    rng = np.random.default_rng(8)
+    width, passes, bincount = 1 << slots.PART, [], np.bincount
+    blobs = [np.sort(rng.integers(0, 2 * width, 50)).astype(np.uint32) for _ in range(300)]
+    monkeypatch.setattr(np, "bincount", lambda *a, **b: passes.append(1) or bincount(*a, **b))
+    got = slots.counted(slots.dealt(x, slots.PART + 1) for x in blobs)
+    assert len(passes) == 2
+    assert (np.concatenate([got[0], got[1]]) == bincount(np.concatenate(blobs), minlength=2 * width)).all()
+
+
+def test_parts_of_the_sketch_are_counted_by_tasks_of_few_jobs(spark, monkeypatch):
+    """As many parts as the sketch of a large table has, and no job for each of them."""
+    rows = corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(jaccard, "slots_for", lambda n, most: slots.PART + 5)
+    monkeypatch.setattr(slots, "slots_for", lambda n, most: slots.PART + 5)
+    jobs = lambda: max(spark.sparkContext.statusTracker().getJobIdsForGroup(None), default=0)
+    before = jobs()
+    levels, _ = jaccard.sketch(docs, 3)
+    bitmap, bits = slots.shared_bits(spark.createDataFrame([([i // 2 << 57],) for i in range(40)], "x array<long>"))
+    assert jobs() - before < 20
+    counts = np.bincount(np.concatenate(shingle_sets([x or "" for _, x in rows], 3)) >> np.uint64(64 - slots.PART - 5), minlength=1 << slots.PART + 5)
+    assert (levels == jaccard.level(counts)).all()
+    assert bits == slots.PART + 5 and np.flatnonzero(np.unpackbits(np.frombuffer(bitmap, np.uint8))).tolist() == [j << 18 for j in range(20)]
+
+
 def test_hashes():
     texts = ["A b  c\nd", "", "a B c d e", " é日 é日 ", "x"]
     words, first, starts, ends = word_hashes(texts)

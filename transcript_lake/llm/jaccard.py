@@ -27,7 +27,7 @@ from transcript_lake.llm.binary import slices
 from transcript_lake.llm.common import discard, materialise, table
 from transcript_lake.llm.graph import components
 from transcript_lake.llm.shingles import HASHED_CHARS, PRIME, digest, mix, shingle_sets
-from transcript_lake.llm.slots import PART, dealt, places_of_shared, shared_bits, slots_for
+from transcript_lake.llm.slots import PART, counted, dealt, parts_of, places_of_shared, shared_bits, slots_for
 
 WORDS = 3
 SIMILARITY = (90, 100)
@@ -52,7 +52,7 @@ def level(counts: np.ndarray) -> np.ndarray:
 
 def sketch(docs: DataFrame, k: int) -> tuple[np.ndarray, int]:
     """The level of each slot, and the one from which shingles are frequent. Slots that occur in a slice of text are sent
-    to their part's task, which adds them up as they come; the driver gets one byte a slot."""
+    to their part's task, which adds them up; the driver gets one byte a slot."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = slots_for(size // 6 // 4, MOST)  # a word and its blank are about six bytes
     width = 1 << PART
@@ -63,17 +63,13 @@ def sketch(docs: DataFrame, k: int) -> tuple[np.ndarray, int]:
             yield dealt(np.sort(np.concatenate(sets) >> np.uint64(64 - bits)).astype(np.uint32), bits)
 
     def add(batches):
-        counts: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for p, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                counts.setdefault(p, np.zeros(width, np.int64))
-                counts[p] += np.bincount(np.cumsum(np.frombuffer(x, "<u4")), minlength=width)
+        counts = counted(batches)
         if counts:
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int32()), pa.array([level(x).tobytes() for x in counts.values()], pa.binary()), pa.array([int(x.sum()) for x in counts.values()], pa.int64())], names=["part", "levels", "total"])
 
     found = docs.select("text").mapInArrow(occur, "part int, slots binary").repartition(1 << bits - PART, "part").mapInArrow(add, "part int, levels binary, total long")
     out, total = np.zeros(1 << bits, np.uint8), 0
-    for p, x, n in found.toLocalIterator():
+    for p, x, n in parts_of(found):
         out[p * width : (p + 1) * width] = np.frombuffer(x, np.uint8)
         total += n
     return out, int(level(np.array([max(FREQUENT, 4 * total >> bits)]))[0])
