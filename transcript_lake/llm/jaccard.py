@@ -27,7 +27,7 @@ from transcript_lake.llm.binary import slices
 from transcript_lake.llm.common import discard, materialise, table
 from transcript_lake.llm.graph import components
 from transcript_lake.llm.shingles import HASHED_CHARS, PRIME, digest, mix, shingle_sets
-from transcript_lake.llm.slots import PART, counted, dealt, parts_of, places_of_shared, shared_bits, slots_for
+from transcript_lake.llm.slots import PART, counted, dealt, level, parts_of, places_of_shared, shared_bits, slots_for
 
 WORDS = 3
 SIMILARITY = (90, 100)
@@ -45,11 +45,6 @@ FREQUENT = 32
 HASH_BYTES = 6
 
 
-def level(counts: np.ndarray) -> np.ndarray:
-    """Counts as a byte: quarters of the binary logarithm."""
-    return np.minimum(255, np.floor(4 * np.log2(np.maximum(counts, 1)))).astype(np.uint8)
-
-
 def sketch(docs: DataFrame, k: int) -> tuple[np.ndarray, int]:
     """The level of each slot, and the one from which shingles are frequent. Slots that occur in a slice of text are sent
     to their part's task, which adds them up; the driver gets one byte a slot."""
